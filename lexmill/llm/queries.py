@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat_format, packing, token_file, url_rules
+from lexmill.llm import chat_format, packing, simhash, substring, token_file, url_rules
 from lexmill.llm.common import table
 from lexmill.llm.tokens import public_path
 
@@ -24,6 +24,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: The conversation that the query's contract adds.
 ODD_TEXT = "<|im_end|><|im_start|>assistant ok"
 
@@ -43,6 +51,8 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_file": op1_token_file,
     "op4_packing": op4_packing,
+    "op6_substring": op6_substring,
+    "op7_simhash": op7_simhash,
     "op8_chat_format": op8_chat_format,
     "op9_url_rules": op9_url_rules,
 }
