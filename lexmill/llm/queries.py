@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import chat_format, packing, simhash, substring, token_file, url_rules
+from lexmill.llm import ann, chat_format, packing, quality, simhash, substring, token_file, url_rules
 from lexmill.llm.common import table
 from lexmill.llm.tokens import public_path
 
@@ -19,11 +19,19 @@ def op1_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_documents(blocks)
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), end_id=0, size=1024)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("copy")
+
+
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeats(table(spark, sf_dir, "documents"))
 
@@ -50,7 +58,9 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_file": op1_token_file,
+    "op2_ann": op2_ann,
     "op4_packing": op4_packing,
+    "op5_quality": op5_quality,
     "op6_substring": op6_substring,
     "op7_simhash": op7_simhash,
     "op8_chat_format": op8_chat_format,
