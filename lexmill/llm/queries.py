@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import ann, chat_format, packing, quality, simhash, substring, token_file, url_rules
+from lexmill.llm import ann, chat_format, decontaminate, licenses, packing, quality, simhash, substring, token_file, url_rules
 from lexmill.llm.common import table
 from lexmill.llm.tokens import public_path
 
@@ -23,6 +23,10 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), end_id=0, size=1024)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -56,15 +60,21 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_file": op1_token_file,
     "op2_ann": op2_ann,
+    "op3_licenses": op3_licenses,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
     "op6_substring": op6_substring,
     "op7_simhash": op7_simhash,
     "op8_chat_format": op8_chat_format,
     "op9_url_rules": op9_url_rules,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 OP8_SQL = """
