@@ -8,7 +8,7 @@ within its budget, the chain's later prefixes prune them, and the full Hamming c
 
 Equal fingerprints are one vertex, so copies are never paired. A group larger than ``block`` is
 split into blocks that meet pairwise in tasks of their own; a task reports only a spanning forest
-of the links it found, so what is written grows with the fingerprints, not with their pairs.
+of the links it found, closest links first, so what is written grows with the fingerprints, not with their pairs.
 """
 
 from __future__ import annotations
@@ -124,7 +124,7 @@ def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the given links: each tree as links to its smallest member."""
+    """A spanning forest of the given links, of those with the fewest differing bits."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -132,11 +132,13 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
             parent[x] = x = parent[parent[x]]
         return x
 
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+    order, out = np.argsort(popcount((a ^ b).view(np.uint64)), kind="stable"), []
+    for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True):
         rx, ry = root(x), root(y)
         if rx != ry:
             parent[max(rx, ry)] = min(rx, ry)
-    return [(x, r) for x in parent if (r := root(x)) != x]
+            out.append((x, y))
+    return out
 
 
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -170,16 +172,43 @@ def links(prints: DataFrame, radius: int = 3, segments: int = 4, block: int = 51
     return pairs.groupBy("start", "value", "p", "q").applyInArrow(run, LINKS)
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, segments: int = 4) -> DataFrame:
+def alike(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """Those ``pairs`` (a, b) whose ``texts`` (fp, text) have a Jaccard similarity of ``least`` and
+    more over their shingles of ``width`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                p, q = set(shingle_hashes(x, width).tolist()), set(shingle_hashes(y, width).tolist())
+                both = len(p & q)
+                good.append(both >= least * (len(p) + len(q) - both))
+            keep_at = pa.array(np.flatnonzero(good))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep_at), batch.column(1).take(keep_at)], names=LINKS.names)
+
+    one = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a")
+    both = one.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, LINKS)
+
+
+def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, segments: int = 4, verify: tuple[int, float] | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row with a doc_id.
 
     Null, empty and blank texts have fingerprint zero and are linked like any other. Rows that
     share a doc_id stay separate rows. component_id is the smallest doc_id that is reachable over
-    links of at most ``radius`` bits.
+    links of at most ``radius`` bits. With ``verify`` = (words, similarity), links between different
+    fingerprints count only if the first documents that have them are that alike in shingles.
     """
     prints = keep(fingerprints(docs, width), "prints")
     vertices = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "vertices")
-    tree = components(links(vertices.select("fp"), radius, segments), "simhash")
+    found = links(vertices.select("fp"), radius, segments)
+    if verify:
+        found = keep(found.distinct(), "pairs")
+        linked = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp"))).distinct()
+        firsts = vertices.join(linked, "fp").select("fp", F.col("first").alias("doc_id"))
+        texts = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(firsts, "doc_id").dropDuplicates(["fp"]).select("fp", "text"), "texts")
+        found = alike(found, texts, *verify)
+    tree = components(found, "simhash")
     rooted = keep(vertices.join(tree.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "first"), "rooted")
     classes = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     lone = vertices.join(classes, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
