@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 from collections.abc import Iterable
 
 import numpy as np
@@ -19,40 +20,82 @@ ODD_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\
 SPACED = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
 
 
+#: Signs that both pre-tokenizers keep apart from letters before them (no apostrophe: it may bind).
+SIGNS = ".,;:!?*$%&#()-"
+#: Byte-level vocabularies write a byte as a character: printable Latin-1 as itself, the others from 256 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(PRINTABLE)))}
+
+
 class Encoder:
-    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes."""
+    """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes.
+
+    A new piece that is letters with ASCII signs behind them is two pre-tokens. Its letters go
+    straight to the tokenizer's model, which skips the costly normalisation of a whole text;
+    anything else goes through the whole tokenizer.
+    """
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # control strings in a text are plain text
-        self.memo, self.limit = {}, memo
-        lone = [self._ids(x) for x in ("a b", " b", "b")]
+        self.memo, self.signs, self.limit = {}, {}, memo
         #: Whether white space leaves no trace in the ids.
-        self.drops_space = lone[1] == lone[2]
-
+        self.drops_space = self._ids(" b") == self._ids("b")
     def _ids(self, text: str) -> bytes:
-        return self._batch([text])[0]
-
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.asarray(found.ids, dtype="<u4").tobytes()
 
     def _pieces(self, text: str) -> list[str]:
         if ODD_SPACE.search(text):
             return [text]
         return text.split() if self.drops_space else SPACED.findall(text)
 
+    def _word(self, word: str) -> bytes | None:
+        """Ids of letters alone, or behind one space; None if the model may not be asked directly."""
+        letters = word[1:] if word[:1] == " " else word
+        if self.drops_space:
+            word = letters.lower()
+        if not letters.isascii():
+            if "\u03a3" in letters or not unicodedata.is_normalized("NFC", letters) or (self.drops_space and not word.isalpha()):
+                return None
+            word = word.encode().decode("latin-1")
+        return np.array([t.id for t in self.tokenizer.model.tokenize(word.translate(BYTE_CHARS))], "<u4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Add the ids of new pieces to the memo."""
+        memo = self.memo
+        for p in pieces:
+            head, found = b"", None
+            rest = p
+            if p[:1] == "\n" and not self.drops_space and p[1:] and not p[1].isspace():
+                head, rest = self._lone("\n"), p[1:]  # one line feed before a word is a pre-token of its own
+            word = rest.rstrip(SIGNS)
+            if (word[1:] if word[:1] == " " and not self.drops_space else word).isalpha():
+                found = memo.get(word)
+                if found is None:
+                    found = self._word(word)
+                    if found is not None:
+                        memo[word] = found
+                if found is not None and len(word) < len(rest):
+                    found += self._lone(rest[len(word) :])
+            memo[p] = self._ids(p) if found is None else head + found
+
+    def _lone(self, text: str) -> bytes:
+        found = self.signs.get(text)
+        if found is None:
+            if len(self.signs) > 10_000:
+                self.signs.clear()
+            found = self.signs[text] = self._ids(text)
+        return found
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         cut = [self._pieces(t or "") for t in texts]
         needed = set().union(*cut) if cut else set()
         if len(self.memo) + len(needed) > self.limit:
             self.memo.clear()
-        new = [p for p in needed if p not in self.memo]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.memo.update(zip(part, self._batch(part), strict=True))
+        self._learn([p for p in needed if p not in self.memo])
         get = self.memo.__getitem__
         return [b"".join(map(get, pieces)) for pieces in cut]
 
