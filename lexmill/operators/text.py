@@ -126,7 +126,7 @@ def reference_sentences(docs: DataFrame, sep: str = "\n\n") -> DataFrame:
 def keep_legal(sents: DataFrame, keywords: list[str] = L.LEGAL_KEYWORDS, least: int = 40) -> DataFrame:
     """Sentences with a keyword or a capitalised word that are long enough and no bare number or bullet."""
     t = strip(F.col("text"))
-    hit = F.lower(t).rlike("|".join(keywords)) | t.rlike(r"\b[A-Z][a-z]+")
+    hit = F.lower(t).rlike("|".join(keywords)) | t.rlike(r"(?<![A-Za-z0-9_])[A-Z][a-z]+")
     return sents.where((F.length(t) >= least) & ~t.rlike(r"^[\d.)(\-\s]+$") & hit)
 
 
