@@ -40,7 +40,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # control strings in a text are plain text
-        self.memo, self.signs, self.limit = {}, {}, memo
+        self.memo, self.words, self.signs, self.limit = {}, {}, {}, memo
         #: Whether white space leaves no trace in the ids.
         self.drops_space = self._ids(" b") == self._ids("b")
     def _ids(self, text: str) -> bytes:
@@ -65,7 +65,7 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """Add the ids of new pieces to the memo."""
-        memo = self.memo
+        memo, words = self.memo, self.words
         for p in pieces:
             head, found = b"", None
             rest = p
@@ -73,11 +73,11 @@ class Encoder:
                 head, rest = self._lone("\n"), p[1:]  # one line feed before a word is a pre-token of its own
             word = rest.rstrip(SIGNS)
             if (word[1:] if word[:1] == " " and not self.drops_space else word).isalpha():
-                found = memo.get(word)
+                found = words.get(word)
                 if found is None:
                     found = self._word(word)
                     if found is not None:
-                        memo[word] = found
+                        words[word] = found
                 if found is not None and len(word) < len(rest):
                     found += self._lone(rest[len(word) :])
             memo[p] = self._ids(p) if found is None else head + found
@@ -93,8 +93,9 @@ class Encoder:
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         cut = [self._pieces(t or "") for t in texts]
         needed = set().union(*cut) if cut else set()
-        if len(self.memo) + len(needed) > self.limit:
+        if len(self.memo) + len(self.words) + len(needed) > self.limit:
             self.memo.clear()
+            self.words.clear()
         self._learn([p for p in needed if p not in self.memo])
         get = self.memo.__getitem__
         return [b"".join(map(get, pieces)) for pieces in cut]
