@@ -31,7 +31,9 @@ COMPANY_PATTERNS = [
     r"\b\w+\s+(Company|Co\.?|Group|Enterprises|Holdings|Partners)\b",
     r"\b\w+\s+(Technologies|Tech|Systems|Solutions|Services)\b",
 ]
-DATE_KEYWORDS = "effective|commence|start|begin|date|term|execut"
+#: Words that speak for a date, and for a company.
+DATE_KEYWORDS = "entered into|effective|commence|term"
+COMPANY_KEYWORDS = "between|party|client|customer|provider"
 DATE_FORMATS = ["yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "M-d-yyyy", "MMMM d, yyyy", "MMMM d yyyy", "MMM d, yyyy", "MMM d yyyy", "d MMMM yyyy", "d MMM yyyy"]
 SPANS = "doc_id long, pattern int, pos int, end int, raw string, before string, after string"
 
@@ -59,7 +61,7 @@ def as_date(raw: Column) -> Column:
 
 def extract_dates(docs: DataFrame) -> DataFrame:
     """doc_id, pattern, pos, raw, date, confidence_pct; texts that are no calendar date are left out."""
-    around = F.lower(F.concat("before", F.lit(" "), "after"))
+    around = F.lower(F.concat("before", "raw", "after"))
     score = F.lit(50) + F.when(around.rlike(DATE_KEYWORDS), 30).otherwise(0) + F.when(around.rlike("agreement|contract"), 15).otherwise(0) + F.when(F.col("raw").rlike(r"\d{4}"), 10).otherwise(0)
     found = spans(docs, DATE_PATTERNS).withColumn("date", as_date(F.initcap("raw"))).where("date is not null")
     return found.select("doc_id", "pattern", "pos", "raw", F.date_format("date", "yyyy-MM-dd").alias("date"), F.least(F.lit(100), score).alias("confidence_pct"))
@@ -91,9 +93,9 @@ def start_date(docs: DataFrame, dates: DataFrame) -> DataFrame:
 
 
 def extract_companies(docs: DataFrame) -> DataFrame:
-    around = F.lower(F.concat(F.right("before", F.lit(30)), F.lit(" "), F.left("after", F.lit(30))))
-    name = F.trim(F.regexp_replace("raw", r"\s+", " "))
-    score = F.lit(60) + F.when(around.rlike("between|party|parties|agreement|company"), 20).otherwise(0) + F.when(F.lower("raw").rlike("inc|corp"), 15).otherwise(0)
+    around = F.lower(F.concat(F.right("before", F.lit(30)), "raw", F.left("after", F.lit(30))))
+    name = F.regexp_replace(F.trim(F.regexp_replace("raw", r"\s+", " ")), r"(?i)^(the|a|an)\s+", "")
+    score = F.lit(60) + F.when(around.rlike(COMPANY_KEYWORDS), 20).otherwise(0) + F.when(F.lower("raw").rlike("inc|corp"), 15).otherwise(0)
     return spans(docs, COMPANY_PATTERNS).select("doc_id", "pattern", "pos", name.alias("name"), F.least(F.lit(100), score).alias("confidence_pct")).where(F.length("name") > 3)
 
 
@@ -107,7 +109,8 @@ def contract_parties(docs: DataFrame) -> DataFrame:
     p = r'(?i)between\s+([^("]+?)(?:\s*\([^)]*\))?\s+(?:and|&)\s+([^(",.\n]+)'
 
     def tidy(g: int) -> Column:
-        return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("text", p, g), r"(?i)^(the|a|an)\s+", ""), r"[,\s]+$", ""))
+        bare = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("text", p, g), "[\"\u201c\u201d']", ""), r"\s+", " "))
+        return F.regexp_replace(bare, r"[,.\s]+$", "")
 
     return docs.where(F.col("text").rlike(p)).select("doc_id", tidy(1).alias("first"), tidy(2).alias("second"), F.lit(85).alias("confidence_pct"))
 
