@@ -365,3 +365,48 @@ def compliance_rate(verdicts: DataFrame) -> DataFrame:
 def evidence_pack(citations: DataFrame) -> DataFrame:
     """Per document and rule: citations, distinct pages."""
     return citations.groupBy("doc_id", "rule_id").agg(F.count("*").alias("citations"), F.array_sort(F.collect_set("page")).alias("pages"))
+
+
+def check_rule_schema(rules: DataFrame) -> DataFrame:
+    """rule_id and the constraints of the checked schema that a rule breaks."""
+    tests = [
+        (F.coalesce("rule_id", F.lit("")) == "", "rule_id: required"),
+        (~F.coalesce("rule_id", F.lit("")).rlike(r"^[A-Z]+-[0-9]{3}$"), "rule_id: pattern"),
+        (~F.coalesce("priority", F.lit("")).isin(SEVERITIES), "priority: not allowed"),
+        (F.length(F.coalesce("description", F.lit(""))) < 10, "description: too short"),
+    ]
+    return rules.select("rule_id", F.array_compact(F.array(*[F.when(c, m) for c, m in tests])).alias("issues"))
+
+
+#: Words looked for by family of the rule's name.
+KEYWORD_FAMILIES = [
+    ("favored|mfn|pricing", ["most favored", "mfn", "pricing", "price", "discount"]),
+    ("indemn", ["indemnify", "indemnification", "hold harmless"]),
+    ("terminat", ["terminate", "termination", "notice"]),
+    ("confiden", ["confidential", "non-disclosure", "nda"]),
+]
+
+
+def rule_keywords(name: Column, rule_text: Column, families: list[tuple[str, list[str]]] = KEYWORD_FAMILIES) -> Column:
+    """The family's words by the rule's name, else eight long words of its text."""
+    out = F.slice(F.array_distinct(F.filter(F.split(F.lower(rule_text), r"[^a-z]+"), lambda w: F.length(w) > 4)), 1, 8)
+    for pattern, words in reversed(families):
+        out = F.when(F.lower(name).rlike(pattern), F.array(*[F.lit(w) for w in words])).otherwise(out)
+    return out
+
+
+def validate_response(response: Column, required: tuple[str, ...] = ("status", "rationale"), allowed: tuple[str, ...] = ("compliant", "non_compliant", "not_applicable", "unknown")) -> Column:
+    """Messages on what a JSON response lacks; one message for what is no JSON."""
+    js = extract_json(response)
+    good = F.from_json(js, "map<string,string>")
+    missing = [F.when(good.isNotNull() & good[k].isNull(), f"missing: {k}") for k in required]
+    status = good["status"]
+    return F.array_compact(F.array(F.when(good.isNull(), "no json"), *missing, F.when(status.isNotNull() & ~status.isin(*allowed), "status: not allowed")))
+
+
+def audit_trail(verdicts: DataFrame, checks: DataFrame) -> DataFrame:
+    """One row per verdict with its method, and its errors and warnings of ``checks`` (doc_id, rule_id, level)."""
+    n = checks.groupBy("doc_id", "rule_id").agg(F.count_if(F.col("level") == "error").alias("errors"), F.count_if(F.col("level") == "warning").alias("warnings"))
+    both = verdicts.join(n, ["doc_id", "rule_id"], "left").na.fill(0, ["errors", "warnings"])
+    method = F.when(F.col("conclusive"), "deterministic").otherwise("model")
+    return both.select("doc_id", "rule_id", "status", "confidence", method.alias("method"), "errors", "warnings")

@@ -72,3 +72,17 @@ def prefer_processed(original: DataFrame, processed: DataFrame) -> DataFrame:
     """The converted text of a document where there is one."""
     done = processed.select("doc_id", F.col("text").alias("converted"))
     return original.join(done, "doc_id", "left").select("doc_id", F.coalesce("converted", "text").alias("text"))
+
+
+def scan_labels(spark: SparkSession, taxonomy: dict[str, dict]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Dimensions of a taxonomy {label: {category, aliases, keywords}}: labels, aliases, keywords."""
+    labels = spark.createDataFrame([(k, v.get("category", "other")) for k, v in taxonomy.items()], "label string, category string")
+    aliases = spark.createDataFrame([(k, a) for k, v in taxonomy.items() for a in v.get("aliases", [])], "label string, alias string")
+    keywords = spark.createDataFrame([(k, w) for k, v in taxonomy.items() for w in v.get("keywords", [])], "label string, keyword string")
+    return labels, aliases, keywords
+
+
+def scan_questionnaire(spark: SparkSession, sections: dict[str, list[dict]]) -> DataFrame:
+    """section, ordinal, question_id, prompt, guideline in the order of the file."""
+    rows = [(s, q["id"], q.get("prompt", ""), q.get("guideline", "")) for s, qs in sections.items() for q in qs]
+    return spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "ordinal int, section string, question_id string, prompt string, guideline string")
