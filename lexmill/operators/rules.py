@@ -70,7 +70,7 @@ def normalise_rules(rows: DataFrame) -> DataFrame:
             return F.array().cast("array<string>")
         if rows.schema[name].dataType.typeName() == "array":
             return F.coalesce(F.col(name), F.array().cast("array<string>"))
-        return F.filter(F.transform(F.split(F.coalesce(name, F.lit("")), "[,;]"), F.trim), lambda x: x != "")
+        return F.filter(F.transform(F.split(F.coalesce(name, F.lit("")), "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
 
     name, description = first("name", "title"), first("description", "summary")
     keywords = listed("keywords")
