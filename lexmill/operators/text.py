@@ -6,6 +6,8 @@ plain corpora. ``\\s``, ``\\w`` and ``\\d`` are ASCII classes throughout.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,7 +16,8 @@ from lexmill.functions import lexicons as L
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without the ASCII white space at both ends."""
+    return F.btrim(c, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def word_count(c: Column) -> Column:
@@ -108,9 +111,7 @@ def symbol_share(t: Column, symbols: str) -> Column:
 def is_noise(t: Column) -> Column:
     """Short, tell-tale or mostly symbols."""
     low = F.lower(strip(t))
-    tell = F.lit(False)
-    for word in L.NOISE_INDICATORS:
-        tell = tell | low.contains(word)
+    tell = low.rlike("|".join(map(re.escape, L.NOISE_INDICATORS)))
     return (F.length(low) < 15) | tell | (word_count(t) < 4) | (symbol_share(t, L.NOISE_SYMBOLS) > 0.3)
 
 
