@@ -130,11 +130,24 @@ def keyword_hits(docs: DataFrame, rules: list[Checks]) -> DataFrame:
     cells = []
     for r in rules:
         counts = [occurrences(low, w.lower()) for w in r.required]
-        cells.append(F.struct(
-            F.lit(r.rule_id).alias("rule_id"), _sum(counts).alias("required_hits"),
-            _sum([F.when(c > 0, 1).otherwise(0) for c in counts]).alias("required_found"),
-            _sum([F.when(low.contains(w.lower()), 1).otherwise(0) for w in r.forbidden]).alias("forbidden_hits"),
-        ))
+        cells.append(F.struct(F.lit(r.rule_id).alias("rule_id"), _sum(counts).alias("required_hits"), *_word_cells(low, r)))
+    return docs.select("doc_id", F.explode(F.array(*cells)).alias("x")).select("doc_id", "x.*")
+
+
+def _word_cells(low: Column, r: Checks) -> list[Column]:
+    def there(words: list[str]) -> Column:
+        return _sum([F.when(low.contains(w.lower()), 1).otherwise(0) for w in words])
+
+    return [there(r.required).alias("required_found"), there(r.forbidden).alias("forbidden_hits")]
+
+
+def factor_rows(docs: DataFrame, rules: list[Checks]) -> DataFrame:
+    """doc_id, rule_id, asked, required_found, forbidden_hits, pattern: what one look at a text decides."""
+    low = F.lower("text")
+    cells = [
+        F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(len(r.required)).alias("asked"), *_word_cells(low, r), (F.col("text").rlike("(?i)" + "|".join(f"(?:{p})" for p in r.patterns)) if r.patterns else F.lit(False)).alias("pattern"))
+        for r in rules
+    ]
     return docs.select("doc_id", F.explode(F.array(*cells)).alias("x")).select("doc_id", "x.*")
 
 
@@ -144,20 +157,12 @@ def regex_hits(docs: DataFrame, rules: list[Checks]) -> DataFrame:
 
 
 def word_positions(docs: DataFrame, words: list[str]) -> DataFrame:
-    """doc_id, term, pos (offset) of every occurrence of a term."""
+    """doc_id, term, pos (offset) of every occurrence of a term: running sums of the pieces between."""
     text = F.lower("text")
-
-    def starts(word: str) -> Column:
-        lengths = F.transform(F.split(text, re.escape(word), -1), F.length)
-        ends = F.transform(F.sequence(F.lit(1), F.size(lengths)), lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x) + (i - 1) * len(word))
-        return F.slice(ends, F.lit(1), F.size(lengths) - 1)
-
-    cells = [F.transform(starts(w), _tagged(w)) for w in words]
-    return docs.select("doc_id", F.explode(F.flatten(F.array(*cells))).alias("x")).select("doc_id", "x.term", "x.pos")
-
-
-def _tagged(word: str):
-    return lambda p: F.struct(F.lit(word).alias("term"), p.alias("pos"))
+    cells = F.array(*[F.struct(F.lit(w).alias("term"), F.lit(len(w)).alias("size"), F.transform(F.split(text, re.escape(w), -1), lambda x: F.length(x)).alias("pieces")) for w in words])
+    cut = docs.select("doc_id", F.explode(cells).alias("x")).select("doc_id", "x.term", "x.size", F.size("x.pieces").alias("n"), F.posexplode("x.pieces").alias("k", "piece")).where("k < n - 1")
+    before = F.sum("piece").over(Window.partitionBy("doc_id", "term").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    return cut.select("doc_id", "term", (before + F.col("k") * F.col("size")).cast("int").alias("pos"))
 
 
 def proximity_hits(docs: DataFrame, rules: list[Checks]) -> DataFrame:
@@ -194,15 +199,13 @@ def deterministic_verdicts(docs: DataFrame, sents: DataFrame, rules: list[Checks
     word is non-compliant at .9.
     """
     keys = ["doc_id", "rule_id"]
-    asked = F.create_map(*[F.lit(x) for r in rules for x in (r.rule_id, len(r.required))])
-    rows = keyword_hits(docs, rules)
-    patterns = regex_hits(docs, rules).select(*keys, F.lit(0.9).alias("pattern")).distinct()
+    rows = factor_rows(docs, rules)
     near = proximity_hits(docs, rules).select(*keys, F.lit(0.8).alias("near"))
     hints = section_hints(sents, rules).select(*keys, F.lit(0.5).alias("hint"))
-    all_ = rows.join(patterns, keys, "left").join(near, keys, "left").join(hints, keys, "left")
-    words = F.when(asked[F.col("rule_id")] > 0, F.col("required_found") / asked[F.col("rule_id")])
+    all_ = rows.join(near, keys, "left").join(hints, keys, "left")
+    words = F.when(F.col("asked") > 0, F.col("required_found") / F.col("asked"))
     forbidden = F.when(F.col("forbidden_hits") > 0, F.lit(0.0))
-    factors = F.array_compact(F.array(words, forbidden, F.col("pattern"), F.col("near"), F.col("hint")))
+    factors = F.array_compact(F.array(words, forbidden, F.when(F.col("pattern"), 0.9), F.col("near"), F.col("hint")))
     mean = F.when(F.size("factors") > 0, F.aggregate("factors", F.lit(0.0), lambda a, x: a + x) / F.size("factors")).otherwise(0.0)
     scored = all_.withColumn("factors", factors).withColumn("mean", mean).withColumn("positive", F.size(F.filter("factors", lambda x: x > 0)))
     banned = F.col("forbidden_hits") > 0
