@@ -31,7 +31,7 @@ def coverage(sents: DataFrame, critical: list[str]) -> DataFrame:
     labelled = F.size(named) > 0
     rows = sents.groupBy("doc_id").agg(
         F.count("*").alias("sentences"), F.avg(labelled.cast("int")).alias("coverage"), F.array_distinct(F.flatten(F.collect_set(named))).alias("seen"),
-        F.avg("confidence").alias("average"), F.avg((F.col("confidence") < 0.5).cast("int")).alias("low"),
+        F.round(F.avg("confidence"), 9).alias("average"), F.avg((F.col("confidence") < 0.5).cast("int")).alias("low"),
     )
     return rows.withColumn("missing", F.array_sort(F.array_except(F.array(*[F.lit(c) for c in critical]), "seen"))).drop("seen")
 

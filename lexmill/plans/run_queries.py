@@ -121,7 +121,7 @@ def q_stream_new_documents(spark, sf_dir):
 
 CRITICAL = ["licence", "rights", "secret"]
 COVER = f"""{SENT}, {KW_CTE}, j as (select s.doc_id, coalesce(l.classes, ['none']) as classes, (length(s.text) % 100) / 100 as confidence from sent s left join labelled l using (doc_id, sent_id)),
-cv as (select doc_id, count(*) as sentences, avg((classes <> ['none'])::int) as coverage, avg(confidence) as average, avg((confidence < 0.5)::int) as low,
+cv as (select doc_id, count(*) as sentences, avg((classes <> ['none'])::int) as coverage, round(avg(confidence), 9) as average, avg((confidence < 0.5)::int) as low,
   list_filter(['licence', 'rights', 'secret'], lambda x: not list_contains(list_distinct(flatten(list(classes))), x)) as missing from j group by 1)"""
 
 
@@ -249,9 +249,9 @@ def q_dedupe_companies(spark, sf_dir):
     return E.dedupe_companies(s.select(F.col("s_nationkey").alias("doc_id"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 50).cast("int").alias("confidence_pct"), F.col("s_suppkey").alias("pos")))
 
 
-@query("top_entities", "select * from (select user_id as doc_id, cast(value as integer) as confidence_pct, event_id as pos, cast(row_number() over (partition by user_id order by cast(value as integer) desc, event_id) as integer) as rank from events) where rank <= 5")
+@query("top_entities", "select * from (select user_id as doc_id, cast(floor(value) as integer) as confidence_pct, event_id as pos, cast(row_number() over (partition by user_id order by floor(value) desc, event_id) as integer) as rank from events) where rank <= 5")
 def q_top_entities(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.round("value").cast("int").alias("confidence_pct"), F.col("event_id").alias("pos"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.floor("value").cast("int").alias("confidence_pct"), F.col("event_id").alias("pos"))
     return E.top_entities(e, 5)
 
 
@@ -269,7 +269,7 @@ def q_upsert_documents(spark, sf_dir):
 
 @query("render_report", f"""with {SUMMARY}, fi as (select doc_id, rule_id, severity, row_number() over (partition by doc_id order by list_position(['critical', 'high', 'medium', 'low'], severity), rule_id) as rank, {ACTION} as action from v where status in ('non_compliant', 'partially_compliant', 'requires_review')),
 l as (select doc_id, string_agg('- [' || severity || '] ' || rule_id || ': ' || action, chr(10) order by rank) as ls from fi group by 1)
-select doc_id, concat_ws(chr(10), '# Document ' || doc_id, 'Score: ' || printf('%.2f', score), ls) as report from summary left join l using (doc_id)""")
+select doc_id, concat_ws(chr(10), '# Document ' || doc_id, 'Score: ' || cast(floor(score * 100 + 1e-9) as integer), ls) as report from summary left join l using (doc_id)""")
 def q_render_report(spark, sf_dir):
     return S.render_report(q_compliance_summary(spark, sf_dir), q_findings(spark, sf_dir))
 

@@ -65,7 +65,7 @@ def render_report(summary: DataFrame, findings: DataFrame) -> DataFrame:
     """A text report per document: a head line, then one line per finding in rank order."""
     lines = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.format_string("- [%s] %s: %s", "severity", "rule_id", "action").alias("line")))).alias("ls"))
     both = summary.join(lines, "doc_id", "left")
-    head = F.format_string("# Document %d\nScore: %.2f", F.col("doc_id"), F.col("score"))
+    head = F.format_string("# Document %d\nScore: %d", F.col("doc_id"), F.floor(F.col("score") * 100 + 1e-9))
     body = F.array_join(F.transform(F.coalesce("ls", F.array().cast("array<struct<rank:int,line:string>>")), lambda x: x["line"]), "\n")
     return both.select("doc_id", F.concat_ws("\n", head, F.nullif(body, F.lit(""))).alias("report"))
 
