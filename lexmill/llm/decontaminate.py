@@ -87,8 +87,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     windows = cut.select("item_id", F.size("h").alias("length"), F.explode_outer(F.transform(offsets, lambda o: F.struct(o.alias("offset"), simhash(F.col("h"), o, size).alias("fp")))).alias("x"))
     index = windows.select("item_id", "length", "x.offset", F.col("x.fp").alias("item_fp")).select("*", F.explode_outer(parts("item_fp")).alias("p")).select("item_id", "length", "offset", "item_fp", "p.part", "p.value")
 
-    texts = docs.where("doc_id is not null").select("doc_id", leak_words(F.col("text")).alias("w"))
-    coded = texts.select("doc_id", shingle_codes(F.col("w")).alias("h"))
+    texts = docs.where("doc_id is not null").select("doc_id", "text")
+    coded = texts.select("doc_id", leak_words(F.col("text")).alias("w")).select("doc_id", shingle_codes(F.col("w")).alias("h"))
     h = F.col("h")
     blocks = F.when(F.size(h) < size, F.array().cast("array<bigint>")).otherwise(
         F.transform(F.sequence(F.lit(0), F.floor(F.size(h) / size).cast("int") - 1), lambda b: simhash(h, b * size, size))
@@ -104,7 +104,9 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         "cs",
         lambda c: F.struct(c["item_id"].alias("item_id"), c["start"].alias("start"), F.slice(F.col("w"), F.greatest(c["start"], F.lit(0)) + 1, c["length"] + SHINGLE - 1 + F.least(c["start"], F.lit(0))).alias("words")),
     )
-    stretches = texts.join(by_doc, "doc_id").select("doc_id", F.explode_outer(regions).alias("r")).select("doc_id", "r.item_id", F.greatest("r.start", F.lit(0)).alias("start"), shingle_texts(F.col("r.words")).alias("found"))
+    # texts travel as they are; words are cut behind the join, of documents with a match alone
+    matched = texts.join(by_doc, "doc_id").select("doc_id", leak_words(F.col("text")).alias("w"), "cs")
+    stretches = matched.select("doc_id", F.explode_outer(regions).alias("r")).select("doc_id", "r.item_id", F.greatest("r.start", F.lit(0)).alias("start"), shingle_texts(F.col("r.words")).alias("found"))
     compared = stretches.join(within_bound(cut.select("item_id", "texts")), "item_id")
 
     def times(a: str, x: Column) -> Column:
