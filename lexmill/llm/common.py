@@ -52,6 +52,13 @@ def salted(id_column: str, n: int) -> Column:
     return F.pmod(F.xxhash64(F.col(id_column)), F.lit(n)).cast("int")
 
 
+def give_back() -> None:
+    """Return what Arrow holds but no longer uses, as Python workers outlive their tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (xor-shift and odd multipliers)."""
     x = x.astype(np.uint64, copy=True)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import keep
+from lexmill.llm.common import give_back, keep
 from lexmill.llm.components import components
 
 SEED = 42
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
         for batch in batches:
             fps = [fingerprint(shingle_hashes(t, width)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=PRINTS.names)
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     return rows.mapInArrow(run, PRINTS)
@@ -185,6 +186,7 @@ def alike(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataF
                 good.append(both >= least * (len(p) + len(q) - both))
             keep_at = pa.array(np.flatnonzero(good))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep_at), batch.column(1).take(keep_at)], names=LINKS.names)
+        give_back()
 
     one = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a")
     both = one.join(texts.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b")

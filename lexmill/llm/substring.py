@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import mix64, partitions
+from lexmill.llm.common import give_back, mix64, partitions
 
 U = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so invertible modulo 2^64
@@ -169,6 +169,7 @@ WINDOWS = T.StructType([
 def arrow(schema: T.StructType, rows: list[tuple]) -> pa.Table:
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    give_back()
     columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, to_arrow_schema(schema), strict=True)], schema=to_arrow_schema(schema))
 
