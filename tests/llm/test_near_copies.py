@@ -66,3 +66,32 @@ def test_near_copies_equal_all_pairs(spark):
     want = brute(texts)
     assert {r.doc_id: r.component_id for r in near_copies.near_copies(frame(spark, texts)).collect()} == want
     assert near_copies.near_copies(frame(spark, [])).count() == 0
+
+
+def test_links_are_thinned_only_after_verification(spark):
+    rng = np.random.default_rng(24)
+    texts, kept = [], None
+    for _ in range(4000):  # a-b is 0.8 alike; c, which holds a and a piece of b, is closer in bits to each but not alike
+        w = ["v%d" % x for x in rng.integers(0, 10**6, 90)]
+        a, b = w, edited(rng, w, 0.82)
+        c = [*a, *("x%d" % x for x in rng.integers(0, 10**6, 12)), *b[60:75]]
+        three = [" ".join(x) for x in (a, b, c)]
+        ab, ac, cb = distance(three[0], three[1]), distance(three[0], three[2]), distance(three[2], three[1])
+        sets = [cut(x) for x in three]
+        alike = [len(x & y) / len(x | y) for x, y in ((sets[0], sets[1]), (sets[0], sets[2]), (sets[2], sets[1]))]
+        if alike[0] >= 0.8 > max(alike[1:]) and max(ac, cb) < ab <= 7:
+            kept = three
+            break
+    assert kept
+    texts += kept
+    want = brute(texts)
+    assert want == {0: 0, 1: 0, 2: 2}
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(frame(spark, texts)).collect()} == want
+
+
+def test_equal_fingerprints_alone_do_not_merge_texts(spark):
+    loop = " ".join(["again"] * 200)
+    texts = [loop + " " + " ".join(f"{k}{i}" for i in range(60)) for k in "pqr"]
+    assert len({simhash.fingerprint(simhash.shingle_hashes(t, 3)) for t in texts}) == 1
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(frame(spark, texts)).collect()} == {0: 0, 1: 1, 2: 2}
+    assert corpus_pipeline.near_duplicate_stage(spark, frame(spark, texts), "").count() == 3
