@@ -1,16 +1,10 @@
 """Benchmark decontamination with DataFrame expressions only.
 
-A document is cut into blocks of ``size`` shingles (five lower-case words each) end to end, and each
-block gets a 64-bit SimHash; a benchmark item gets one at every offset. ``size`` is half the
-shortest item, so a passage of item size holds a whole block wherever it stands, and that block
-lines up with one of the item's windows. Fingerprints are matched within ``RADIUS`` bits by a
-multi-index: cut into RADIUS + 1 parts, two fingerprints that close agree in one part at least, so
-none within the radius is missed. Every match says where the whole item would stand; there the
-exact similarity, of shingles weighted by how often they occur, decides.
-
-A SimHash is built without a loop over bits: shifted copies of a hash, masked to one bit a byte,
-add up eight counters in each of eight sums; a constant added to a sum then carries into a test bit
-of exactly those counters that are above half.
+An item of n shingles (five lower-case words each) is 0.8 like a stretch of n shingles only if at
+least 0.8 n places of that stretch hold a shingle of the item. Every shingle of every document is
+looked up by its 64-bit hash among the items' shingles; where a stretch holds enough places, it is
+compared. Nothing that is 0.8 alike is missed, wherever it stands and whatever was edited. At every
+such start the exact similarity, of shingles weighted by how often they occur, decides.
 """
 
 from __future__ import annotations
@@ -20,9 +14,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.common import SPACE_CLASS, ascii_lower, keep
 
-SHINGLE, RADIUS, LEAST = 5, 3, 0.8
-MOST_SIZE = 64
-LANES = 0x0101010101010101
+SHINGLE, LEAST = 5, 0.8
 #: Items up to here have their index broadcast (some hundred bytes a word); more are joined.
 MOST_BROADCAST = 20_000
 SPACES = " \t\n\x0b\x0c\r"
@@ -45,27 +37,6 @@ def shingle_texts(w: Column) -> Column:
     return F.when(F.size(w) < SHINGLE, F.array().cast("array<string>")).otherwise(_shingles(w, lambda *x: F.concat_ws(" ", *x)))
 
 
-def simhash(h: Column, start: Column, size: int) -> Column:
-    """Bit b of the result is 1 if over half of h[start : start + size] have it."""
-    part = F.slice(h, start + 1, F.lit(size))
-    raise_by = F.lit((63 - size // 2) * LANES)
-
-    def every_eighth(k: int) -> Column:
-        votes = F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, k).bitwiseAND(F.lit(LANES)))
-        return F.shiftleft(F.shiftrightunsigned((votes + raise_by).bitwiseAND(F.lit(0x40 * LANES)), 6), k)
-
-    bits = [every_eighth(k) for k in range(8)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
-    return out
-
-
-def parts(fp: str) -> Column:
-    width = 64 // (RADIUS + 1)
-    return F.array(*[F.struct(F.lit(k).alias("part"), F.shiftrightunsigned(fp, k * width).bitwiseAND((1 << width) - 1).cast("int").alias("value")) for k in range(RADIUS + 1)])
-
-
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, first_word: each benchmark item (item_id, text) that a document
     (doc_id, text) holds, at the place where it is most alike (the first, on ties).
@@ -77,29 +48,27 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     cut = items.where("item_id is not null").select("item_id", leak_words(F.col("text")).alias("w")).select("item_id", shingle_codes(F.col("w")).alias("h"), shingle_texts(F.col("w")).alias("texts"))
     cut = keep(cut, "items").where(F.size("h") > 0)
-    shortest, many = cut.agg(F.min(F.size("h")), F.count("*")).first()
-    size = max(1, min(MOST_SIZE, ((shortest or 1) + 1) // 2))
+    many = cut.count()
 
     def within_bound(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if many <= MOST_BROADCAST else df
 
-    offsets = F.sequence(F.lit(0), F.size("h") - size)
-    windows = cut.select("item_id", F.size("h").alias("length"), F.explode_outer(F.transform(offsets, lambda o: F.struct(o.alias("offset"), simhash(F.col("h"), o, size).alias("fp")))).alias("x"))
-    index = windows.select("item_id", "length", "x.offset", F.col("x.fp").alias("item_fp")).select("*", F.explode_outer(parts("item_fp")).alias("p")).select("item_id", "length", "offset", "item_fp", "p.part", "p.value")
-
+    index = cut.select("item_id", F.size("h").alias("length"), F.explode_outer(F.array_distinct("h")).alias("code"))
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     coded = texts.select("doc_id", leak_words(F.col("text")).alias("w")).select("doc_id", shingle_codes(F.col("w")).alias("h"))
-    h = F.col("h")
-    blocks = F.when(F.size(h) < size, F.array().cast("array<bigint>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.floor(F.size(h) / size).cast("int") - 1), lambda b: simhash(h, b * size, size))
-    )
-    # outer, as the plain form would add a filter that computes the blocks a second time
-    prints = coded.select("doc_id", blocks.alias("blocks")).select("doc_id", F.posexplode_outer("blocks").alias("block", "fp")).where("fp is not null")
-    probes = prints.select("doc_id", "block", "fp", F.explode_outer(parts("fp")).alias("p")).select("doc_id", "block", "fp", "p.part", "p.value")
-    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
-    near = probes.join(within_bound(index), ["part", "value"]).where(close)
-    places = near.select("doc_id", F.struct("item_id", (F.col("block") * size - F.col("offset")).alias("start"), "length").alias("c"))
-    by_doc = places.groupBy("doc_id").agg(F.collect_set("c").alias("cs"))  # bounded by a document's blocks and the items they meet
+    # outer, as the plain form would add a filter that computes the shingles a second time
+    probes = coded.select("doc_id", F.posexplode_outer("h").alias("place", "code")).where("code is not null")
+    met = probes.join(within_bound(index), "code")
+    # bounded by a document's words; rows that share an id may add places, never lose them
+    held = met.groupBy("doc_id", "item_id", "length").agg(F.sort_array(F.collect_list("place")).alias("at"))
+    needed = F.ceil(F.col("length") * LEAST - 1e-9).cast("int")
+    held = held.select("*", needed.alias("needed")).where(F.size("at") >= F.col("needed"))
+    # the starts of stretches that hold the i-th place and the next ones up to ``needed``
+    last = lambda i: F.get("at", i + F.col("needed") - 1)
+    starts = lambda i: F.when(last(i) - F.get("at", i) < F.col("length"), F.sequence(last(i) - F.col("length") + 1, F.get("at", i))).otherwise(F.array().cast("array<int>"))
+    found = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("at") - F.col("needed")), starts)))
+    places = held.select("doc_id", "item_id", "length", F.explode(found).alias("start")).select("doc_id", F.struct("item_id", "start", "length").alias("c"))
+    by_doc = places.groupBy("doc_id").agg(F.collect_set("c").alias("cs"))  # bounded by a document's places and the items they meet
     regions = F.transform(
         "cs",
         lambda c: F.struct(c["item_id"].alias("item_id"), c["start"].alias("start"), F.slice(F.col("w"), F.greatest(c["start"], F.lit(0)) + 1, c["length"] + SHINGLE - 1 + F.least(c["start"], F.lit(0))).alias("words")),
@@ -107,12 +76,14 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     # texts travel as they are; words are cut behind the join, of documents with a match alone
     matched = texts.join(by_doc, "doc_id").select("doc_id", leak_words(F.col("text")).alias("w"), "cs")
     stretches = matched.select("doc_id", F.explode_outer(regions).alias("r")).select("doc_id", "r.item_id", F.greatest("r.start", F.lit(0)).alias("start"), shingle_texts(F.col("r.words")).alias("found"))
-    compared = stretches.join(within_bound(cut.select("item_id", "texts")), "item_id")
+    repeats = F.filter(F.array_distinct("texts"), lambda x: F.size(F.filter(F.col("texts"), lambda y: y == x)) > 1)
+    compared = stretches.join(within_bound(cut.select("item_id", "texts", repeats.alias("repeats"))), "item_id")
 
     def times(a: str, x: Column) -> Column:
         return F.size(F.filter(F.col(a), lambda y: y == x))
 
-    shared = F.aggregate(F.array_distinct("texts"), F.lit(0), lambda n, x: n + F.least(times("texts", x), times("found", x)))
+    again = F.aggregate("repeats", F.lit(0), lambda n, x: n + F.greatest(F.least(times("texts", x), times("found", x)) - 1, F.lit(0)))
+    shared = F.size(F.array_intersect("texts", "found")) + again
     scored = compared.select("doc_id", "item_id", "start", F.size("texts").alias("a"), F.size("found").alias("b"), shared.alias("both"))
     alike = (F.col("both") / (F.col("a") + F.col("b") - F.col("both"))).alias("similarity")
     good = scored.select("doc_id", "item_id", "start", alike).where(F.col("similarity") >= LEAST)
