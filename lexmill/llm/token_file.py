@@ -18,6 +18,7 @@ in ascending doc_id order over (part, seq).
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -96,14 +97,29 @@ class EliasFano:
             low = raw >> (first % 8) & ((1 << self.low_bits) - 1)
         return (one - i) << self.low_bits | low
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        value = (ones - np.arange(self.n)).astype(np.int64) << self.low_bits
+    def select_range(self, first: int, end: int) -> np.ndarray:
+        """Values first..end-1 at once: only the unary and low bits from ``first``'s sample to the
+        sample behind ``end`` are read."""
+        if not 0 <= first <= end <= self.n:
+            raise IndexError((first, end))
+        if first == end:
+            return np.empty(0, np.int64)
+        sample = first // SAMPLE
+        start, stop = int(self.samples[sample]) // 8, -(-end // SAMPLE)
+        last = int(self.samples[stop]) // 8 + 1 if stop < len(self.samples) else len(self.high)
+        bits = np.unpackbits(np.frombuffer(self.high[start:last], np.uint8), bitorder="little")
+        bits[: int(self.samples[sample]) - 8 * start] = 0  # ones of values before the sample
+        ones = 8 * start + np.flatnonzero(bits)[first - sample * SAMPLE : end - sample * SAMPLE]
+        value = (ones - np.arange(first, end)).astype(np.int64) << self.low_bits
         if self.low_bits:
-            bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits]
-            value |= bits.reshape(self.n, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+            at, to = first * self.low_bits, end * self.low_bits
+            raw = np.unpackbits(np.frombuffer(self.low[at // 8 : (to + 7) // 8], np.uint8), bitorder="little")[at % 8 :][: to - at]
+            value |= raw.reshape(-1, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
         return value
 
+    def all(self) -> np.ndarray:
+        return self.select_range(0, self.n)
+
 
 def pack_block(doc_ids: list[int], parts: list[bytes], width: int) -> bytes:
     """One block; ``parts`` are each document's ids as unsigned 32-bit bytes."""
@@ -187,19 +203,23 @@ DOCUMENTS = T.StructType([
 ])
 
 
-def read_documents(blocks: DataFrame) -> DataFrame:
-    """One row per document of a written table: doc_id, global start, n_tokens, ids_crc32."""
+def read_documents(blocks: DataFrame, group: int = 16 * SAMPLE) -> DataFrame:
+    """One row per document of a written table: doc_id, global start, n_tokens, ids_crc32.
+
+    Boundaries and doc_ids are selected from the Elias-Fano sequences, ``group`` documents at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 b = Block(payload)
-                ends = b.ends.all()
-                starts = np.concatenate([[0], ends[:-1]])
-                crc = [zlib.crc32(b.ids[s:e].astype("<u4").tobytes()) for s, e in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(b.docs.all() + b.first), pa.array(starts + first), pa.array(ends - starts), pa.array(crc, pa.int64())], names=DOCUMENTS.names
-                )
+                for at in range(0, b.n_docs, group):
+                    end = min(at + group, b.n_docs)
+                    edges = np.concatenate([[b.ends.select(at - 1) if at else 0], b.ends.select_range(at, end)])
+                    crc = [zlib.crc32(b.ids[s:e].astype("<u4").tobytes()) for s, e in itertools.pairwise(edges)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(b.docs.select_range(at, end) + b.first), pa.array(edges[:-1] + first), pa.array(np.diff(edges)), pa.array(crc, pa.int64())], names=DOCUMENTS.names
+                    )
 
     placed = blocks.join(F.broadcast(block_starts(blocks)), "part")
     return placed.select((F.col("part_start") + F.col("start_in_part")).alias("first"), "payload").mapInArrow(run, DOCUMENTS)

@@ -11,7 +11,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
@@ -27,6 +27,18 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(PRINTABLE)))}
 
 
+class Memo(dict):
+    """A dictionary that finds what it lacks with ``find``."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, key: str) -> bytes:
+        found = self[key] = self.find(key)
+        return found
+
+
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes.
 
@@ -40,65 +52,69 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # control strings in a text are plain text
-        self.memo, self.words, self.signs, self.limit = {}, {}, {}, memo
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values()))]
         #: Whether white space leaves no trace in the ids.
         self.drops_space = self._ids(" b") == self._ids("b")
+        self.limit, self.signs = memo, Memo(self._ids)
+        before = "" if self.drops_space else BYTE_CHARS[32]
+        #: Ids of letters alone and of letters behind a space; None if the model may not be asked directly.
+        self.letters, self.spaced_letters = Memo(self._letters), Memo(lambda w: self._letters(w, before))
+        self.pieces, self.behind_space = Memo(self._piece), Memo(self._behind_space)
+        self.memos = (self.letters, self.spaced_letters, self.pieces, self.behind_space)
+
     def _ids(self, text: str) -> bytes:
         (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return np.asarray(found.ids, dtype="<u4").tobytes()
 
-    def _pieces(self, text: str) -> list[str]:
+    def _letters(self, word: str, before: str = "") -> bytes | None:
+        letters = word.lower() if self.drops_space else word
+        if not word.isascii():
+            if "\u03a3" in word or not unicodedata.is_normalized("NFC", word) or not letters.isalpha():
+                return None
+            letters = letters.encode().decode("latin-1").translate(BYTE_CHARS)
+        of = self.id_bytes
+        return b"".join([of[t.id] for t in self.tokenizer.model.tokenize(before + letters)])
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a word with any white space before it."""
+        word = piece.rstrip(SIGNS)
+        if word.isalpha():
+            found = self.letters[word]
+            if found is not None:
+                return found + self.signs[piece[len(word) :]] if len(word) < len(piece) else found
+        return self._ids(piece)
+
+    def _behind_space(self, piece: str) -> bytes:
+        """Ids of a word with one space before it, or of a line feed and the word behind it."""
+        if piece[0] == "\n":  # before a word, one line feed is a pre-token of its own
+            return self._ids(piece) if piece[1].isspace() else self.signs["\n"] + self._piece(piece[1:])
+        word = piece.rstrip(SIGNS)
+        if word.isalpha():
+            found = self.spaced_letters[word]
+            if found is not None:
+                return found + self.signs[piece[len(word) :]] if len(word) < len(piece) else found
+        return self._ids(" " + piece)
+
+    def _text(self, text: str) -> bytes:
         if ODD_SPACE.search(text):
-            return [text]
-        return text.split() if self.drops_space else SPACED.findall(text)
-
-    def _word(self, word: str) -> bytes | None:
-        """Ids of letters alone, or behind one space; None if the model may not be asked directly."""
-        letters = word[1:] if word[:1] == " " else word
+            return self._ids(text)
         if self.drops_space:
-            word = letters.lower()
-        if not letters.isascii():
-            if "\u03a3" in letters or not unicodedata.is_normalized("NFC", letters) or (self.drops_space and not word.isalpha()):
-                return None
-            word = word.encode().decode("latin-1")
-        return np.array([t.id for t in self.tokenizer.model.tokenize(word.translate(BYTE_CHARS))], "<u4").tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Add the ids of new pieces to the memo."""
-        memo, words = self.memo, self.words
-        for p in pieces:
-            head, found = b"", None
-            rest = p
-            if p[:1] == "\n" and not self.drops_space and p[1:] and not p[1].isspace():
-                head, rest = self._lone("\n"), p[1:]  # one line feed before a word is a pre-token of its own
-            word = rest.rstrip(SIGNS)
-            if (word[1:] if word[:1] == " " and not self.drops_space else word).isalpha():
-                found = words.get(word)
-                if found is None:
-                    found = self._word(word)
-                    if found is not None:
-                        words[word] = found
-                if found is not None and len(word) < len(rest):
-                    found += self._lone(rest[len(word) :])
-            memo[p] = self._ids(p) if found is None else head + found
-
-    def _lone(self, text: str) -> bytes:
-        found = self.signs.get(text)
-        if found is None:
-            if len(self.signs) > 10_000:
-                self.signs.clear()
-            found = self.signs[text] = self._ids(text)
-        return found
+            return b"".join(map(self.pieces.__getitem__, text.split()))
+        cut = text.replace("\n", " \n").split(" ")
+        if "" in cut or "\n" in cut or "\t" in text or "\r" in text:  # longer white space, or at an end
+            return b"".join(map(self.pieces.__getitem__, SPACED.findall(text)))
+        return self.pieces[cut[0]] + b"".join(map(self.behind_space.__getitem__, cut[1:]))
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        cut = [self._pieces(t or "") for t in texts]
-        needed = set().union(*cut) if cut else set()
-        if len(self.memo) + len(self.words) + len(needed) > self.limit:
-            self.memo.clear()
-            self.words.clear()
-        self._learn([p for p in needed if p not in self.memo])
-        get = self.memo.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        out = []
+        for t in texts:
+            if sum(map(len, self.memos)) > self.limit:
+                for memo in self.memos:
+                    memo.clear()
+            if len(self.signs) > 10_000:
+                self.signs.clear()
+            out.append(self._text(t or ""))
+        return out
 
 
 @functools.lru_cache(maxsize=2)

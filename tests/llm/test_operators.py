@@ -61,6 +61,9 @@ def test_elias_fano_round_trip(values):
     s, end = token_file.EliasFano.from_bytes(b"xx" + token_file.EliasFano.of(np.array(values, dtype=np.uint64)).to_bytes(), 2)
     assert s.all().tolist() == values
     assert [s.select(i) for i in range(len(values))] == values
+    for a, b in [(0, 1), (1, 70), (63, 64), (64, 200), (len(values) // 2, len(values)), (130, 131)]:
+        if a <= b <= len(values):
+            assert s.select_range(a, b).tolist() == values[a:b]
     with pytest.raises(IndexError):
         s.select(len(values))
 
