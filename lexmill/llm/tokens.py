@@ -47,7 +47,7 @@ class Encoder:
     anything else goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str, memo: int = 1_000_000):
+    def __init__(self, path: str, memo: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
