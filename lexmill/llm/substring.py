@@ -62,6 +62,7 @@ class Chunk:
         import xxhash
 
         order = sorted(range(len(doc_ids)), key=lambda i: (doc_ids[i], texts[i] or ""))
+        self.order = order
         self.doc_ids = np.array([doc_ids[i] for i in order], np.int64)
         self.words = [(texts[i] or "").encode("utf-8", "surrogatepass").split() for i in order]
         self.sizes = np.array([len(w) for w in self.words], np.int64)
@@ -188,9 +189,10 @@ def answered(bits: pa.Table, n: int) -> np.ndarray:
     return out
 
 
-def repeats(docs: DataFrame, window: int = 50, with_text: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 50, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256, and with ``with_text`` kept_text (the
-    kept words joined by one space; null where nothing was removed) and spans (removed word ranges).
+    kept words joined by one space; the text itself where nothing was removed) and spans (removed
+    word ranges). The columns in ``carry`` come along in a struct named ``carried``.
 
     A word goes if it lies in a window of ``window`` words that also starts in a document with a
     smaller doc_id, judged on the input. Null, empty and blank texts have no words. Rows without
@@ -199,7 +201,8 @@ def repeats(docs: DataFrame, window: int = 50, with_text: bool = False) -> DataF
     block, n = window // 2, partitions(docs.sparkSession)
     chunks, shards = 2 * n, n
     chunk = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(chunks)).cast("int").alias("chunk")
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null").select("*", chunk)
+    carried = [F.struct(*carry).alias("carried")] if carry else []
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried).where("doc_id is not null").select("*", chunk)
 
     def slices(h: np.ndarray) -> Iterator[tuple[int, slice]]:
         edges = np.searchsorted(shard_of(h, shards), np.arange(shards + 1))
@@ -252,7 +255,7 @@ def repeats(docs: DataFrame, window: int = 50, with_text: bool = False) -> DataF
     if with_text:
         span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
         fields += [T.StructField("kept_text", T.StringType()), T.StructField("spans", T.ArrayType(span))]
-    result = T.StructType(fields)
+    result, passed = T.StructType(fields), [dealt.schema["carried"]] if carry else []
 
     def remove(_key: tuple, rows: pa.Table, both: pa.Table) -> pa.Table:
         step = both.column("step").to_numpy()
@@ -264,7 +267,7 @@ def repeats(docs: DataFrame, window: int = 50, with_text: bool = False) -> DataF
         np.add.at(cover, at[gone], 1)
         np.add.at(cover, at[gone] + window, -1)
         removed = np.cumsum(cover)[:-1] > 0
-        out = []
+        out, texts = [], rows.column("text").to_pylist() if with_text else []
         for i, w in enumerate(chunk.words):
             r = removed[chunk.starts[i] : chunk.starts[i + 1]]
             count = int(r.sum())
@@ -272,13 +275,14 @@ def repeats(docs: DataFrame, window: int = 50, with_text: bool = False) -> DataF
             row = (int(chunk.doc_ids[i]), len(w), count, hashlib.sha256(kept).hexdigest())
             if with_text:
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], r.astype(np.int8), [0]])))
-                row += (kept.decode("utf-8", "surrogatepass") if count else None, [{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)])
+                row += (kept.decode("utf-8", "surrogatepass") if count else texts[chunk.order[i]], [{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)])
             out.append(row)
-        return arrow(result, out)
+        found = arrow(result, out)
+        return found.append_column("carried", rows.column("carried").take(pa.array(chunk.order))) if carry else found
 
     # one plan: the exchange of the texts, and that of the hits, are each made once and read again
     hits = dealt.groupBy("chunk").applyInArrow(send_probes, PROBES).groupBy("shard").applyInArrow(match_probes, BITS)
     seen = dealt.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(send_windows, WINDOWS)
     earlier = seen.groupBy("shard").applyInArrow(match_windows, BITS)
     both = hits.withColumn("step", F.lit(1)).unionByName(earlier.withColumn("step", F.lit(2)))
-    return dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(remove, result)
+    return dealt.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(remove, T.StructType([*fields, *passed]))
