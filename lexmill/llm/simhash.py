@@ -6,9 +6,11 @@ pigeonring principle). Fingerprints meet in groups of (start, value of that segm
 link allows no difference for t < m; in a group, candidates are looked up by the second segment
 within its budget, the chain's later prefixes prune them, and the full Hamming check decides.
 
-Equal fingerprints are one vertex, so copies are never paired. A group larger than ``block`` is
-split into blocks that meet pairwise in tasks of their own; a task reports only a spanning forest
-of the links it found, closest links first, so what is written grows with the fingerprints, not with their pairs.
+Equal fingerprints are one vertex, so copies are never paired. A group larger than ``block`` is keyed
+by two segments: its members ask for every second segment within their budget, so that 32 bits and not
+16 decide who meets. What is still larger is split into blocks that meet
+pairwise. A task handles many groups at once and reports only a spanning forest of the links it found,
+so what is written grows with the fingerprints, not with their pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import give_back, keep
+from lexmill.llm.common import give_back, keep, mix64, partitions
 from lexmill.llm.components import components
 
 SEED = 42
@@ -75,25 +77,32 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
 
-def close_pairs(left: np.ndarray, right: np.ndarray, start: int, segments: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of fingerprints within ``radius`` whose chain from ``start`` keeps its budgets."""
+Side = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def segment(side: Side, k: int, segments: int) -> np.ndarray:
+    """The ``k``-th segment behind each fingerprint's own start on the ring."""
+    fp, _, start = side
     width = 64 // segments
-    mask = np.uint64((1 << width) - 1)
-
-    def segment(x: np.ndarray, k: int) -> np.ndarray:
-        return x >> np.uint64((start + k) % segments * width) & mask
-
-    second = segment(right, 1)
-    order = np.argsort(second, kind="stable")
-    second = second[order]
-    allowed = 2 * radius // segments  # differences that the first two segments may have
-    flips = [0]
-    for k in range(1, allowed + 1):
-        flips += [sum(1 << b for b in bits) for bits in itertools.combinations(range(width), k)]
-    here, found_l, found_r = segment(left, 1), [], []
-    for flip in flips:
-        wanted = here ^ np.uint64(flip)
-        low, high = np.searchsorted(second, wanted, "left"), np.searchsorted(second, wanted, "right")
+    return fp >> ((start + k) % segments * width).astype(np.uint64) & np.uint64((1 << width) - 1)
+
+
+def flips(width: int, most: int) -> list[int]:
+    """All masks of at most ``most`` of ``width`` bits."""
+    return [sum(1 << b for b in bits) for k in range(most + 1) for bits in itertools.combinations(range(width), k)]
+
+
+def close_pairs(left: Side, right: Side, segments: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of fingerprints of one unit within ``radius`` whose chain keeps its budgets. A side
+    is (fingerprints, units, starts of their chains); many units are met at once."""
+    mix = lambda side, second: mix64(mix64(side[1]) + second)
+    key = mix(right, segment(right, 1, segments))
+    order = np.argsort(key, kind="stable")
+    key, second = key[order], segment(left, 1, segments)
+    found_l, found_r = [], []
+    for flip in flips(64 // segments, 2 * radius // segments):  # differences that the first two segments may have
+        wanted = mix(left, second ^ np.uint64(flip))
+        low, high = np.searchsorted(key, wanted, "left"), np.searchsorted(key, wanted, "right")
         many = high - low
         for a, b in _runs(many, 4_000_000):
             count = many[a:b]
@@ -102,10 +111,10 @@ def close_pairs(left: np.ndarray, right: np.ndarray, start: int, segments: int,
                 continue
             i = np.repeat(np.arange(a, b), count)
             j = order[np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[a:b], count)]
-            x = left[i] ^ right[j]
-            good, so_far = np.ones(total, bool), np.zeros(total, np.int64)
+            apart = (left[0][i] ^ right[0][j], left[1][i], left[2][i])
+            good, so_far = apart[0] != 0, np.zeros(total, np.int64)
             for k in range(segments):
-                so_far += popcount(segment(x, k))
+                so_far += popcount(segment(apart, k, segments))
                 good &= so_far * segments <= (k + 1) * radius
             found_l.append(i[good])
             found_r.append(j[good])
@@ -145,32 +154,48 @@ def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def links(prints: DataFrame, radius: int = 3, segments: int = 4, block: int = 512) -> DataFrame:
+UNITS = ["fp", "start", "unit", "left", "right"]
+
+
+def links(prints: DataFrame, radius: int = 3, segments: int = 4, block: int = 512, task_rows: int = 50_000) -> DataFrame:
     """Links (a, b) between the distinct ``fp`` of ``prints`` that keep every component of the
     graph "at most ``radius`` bits differ" together. Needs radius < segments, 64 % segments == 0."""
     if radius >= segments or 64 % segments:
         raise ValueError("the first link of a chain must allow no difference")
-    width = 64 // segments
-    starts = F.explode(F.array(*[F.struct(F.lit(k).alias("start"), F.shiftrightunsigned("fp", k * width).bitwiseAND((1 << width) - 1).alias("value")) for k in range(segments)])).alias("s")
-    members = prints.select("fp", starts).select("fp", "s.start", "s.value")
-    big = members.groupBy("start", "value").agg(F.count("*").alias("n")).where(F.col("n") > block)
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    split = members.join(big.select("start", "value", blocks.alias("blocks")), ["start", "value"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    meets = split.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = meets.select("fp", "start", "value", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        start, p, q = key[0].as_py(), key[2].as_py(), key[3].as_py()
-        fps = rows.column("fp").to_numpy()
-        own = rows.column("own").to_numpy()
-        left = fps[own == p].view(np.uint64)
-        right = left if p == q else fps[own == q].view(np.uint64)
-        i, j = close_pairs(left, right, start, segments, radius) if len(left) and len(right) else (np.empty(0, np.int64),) * 2
-        tree = forest(left[i].view(np.int64), right[j].view(np.int64)) if len(i) else []
+    width, spark = 64 // segments, prints.sparkSession
+
+    def part(k: int):
+        return F.shiftrightunsigned("fp", k % segments * width).bitwiseAND((1 << width) - 1)
+
+    starts = F.explode(F.array(*[F.struct(F.lit(k).alias("start"), part(k).alias("value"), part(k + 1).alias("second")) for k in range(segments)])).alias("s")
+    members = prints.select("fp", starts).select("fp", "s.*")
+    one, two = ["start", "value"], ["start", "value", "at"]
+    large = members.groupBy(*one).agg(F.count("*").alias("n")).where(F.col("n") > block).select(*one, F.lit(True).alias("large"))
+    marked = members.join(large, one, "left")
+    both = [F.lit(True).alias("left"), F.lit(True).alias("right")]
+    small = marked.where("large is null").select("fp", "start", F.xxhash64(*one).alias("unit"), *both)
+    # members of a large group ask for the second segments within their budget
+    near = F.explode(F.array(*[F.col("second").bitwiseXOR(F.lit(f)) for f in flips(width, 2 * radius // segments)])).alias("at")
+    asks = marked.where("large").select("fp", *one, "second", near).withColumn("stored", F.col("at") == F.col("second"))
+    sizes = asks.groupBy(*two).agg(F.count_if("stored").alias("stores"), F.count("*").alias("all")).where("stores > 0")
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    placed = asks.join(sizes.select(*two, blocks("stores").alias("ps"), blocks("all").alias("qs")), two)
+    p, q = F.pmod(F.xxhash64("fp"), F.col("ps")).cast("int"), F.pmod(F.xxhash64("fp"), F.col("qs")).cast("int")
+    unit = F.xxhash64(*two, "p", "q").alias("unit")
+    stores = placed.where("stored").withColumn("p", p).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
+    seekers = placed.withColumn("q", q).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("ps") - 1)))
+    split = stores.select("fp", "start", unit, F.lit(False).alias("left"), F.lit(True).alias("right")).unionByName(seekers.select("fp", "start", unit, F.lit(True).alias("left"), F.lit(False).alias("right")))
+    tasks = max(partitions(spark), -(-segments * prints.count() // task_rows))
+    dealt = small.unionByName(split).withColumn("task", F.pmod(F.xxhash64("unit"), F.lit(tasks)))
+
+    def run(_key: tuple, rows: pa.Table) -> pa.Table:
+        fp, start, unit, left, right = (rows.column(c).to_numpy() for c in UNITS)
+        fps = fp.view(np.uint64)
+        i, j = close_pairs(*((fps[x], unit[x].view(np.uint64), start[x].astype(np.int64)) for x in (left, right)), segments, radius)
+        tree = forest(fp[left][i], fp[right][j]) if len(i) else []
         return pa.table({"a": pa.array([x for x, _ in tree], pa.int64()), "b": pa.array([y for _, y in tree], pa.int64())})
 
-    return pairs.groupBy("start", "value", "p", "q").applyInArrow(run, LINKS)
+    return dealt.groupBy("task").applyInArrow(run, LINKS)
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, segments: int = 4) -> DataFrame:
