@@ -1,14 +1,17 @@
 """License scans with DataFrame expressions only.
 
-Texts and templates become lower-case words and shingles of three words. MinHash windows are runs
-of ``WINDOW`` neighbouring shingles, one at every word, so they overlap and any intact stretch of a
-template meets a window with the same content: such a pair agrees in every band, with probability
-one. A band is the smallest shingle of the window under one reordering of the hashes; a template of
-a single shingle is filed under that. The bands retrieve (template, place) pairs from a table of the
-templates' bands, whose size is checked; then exact containment, the share of the template's
-distinct shingles that stand around the place, decides.
-
-Everything up to the hits happens inside each text's row: texts are never shuffled.
+Texts and templates become lower-case words and shingles of three words. A template of n shingles
+belongs to the class of the next power of two, s; longer ones than the largest class are cut into
+overlapping segments of that size. Text windows of s shingles overlap by three quarters. Of each
+window BANDS MinHash values are taken, every one a band of its own, and what agrees in a band with a
+template is retrieved. If 0.8 of the template's shingles stand together, some window has a Jaccard
+similarity of 0.36 with it at least (0.29 if they stand in two halves), so that a band agrees with a
+probability of 0.9992 (0.996). Windows without any shingle of any template can agree in no band and
+are not hashed.
+
+A match is decided exactly: the share of the template's distinct shingles that stand in a stretch of
+twice the template's words. Everything up to the matches happens inside each text's row: texts are
+never shuffled.
 """
 
 from __future__ import annotations
@@ -16,11 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHINGLE, WINDOW = 3, 2
-#: Reorderings of the hashes, by exclusive or. Any constants do.
-ORDERS = [0x5851F42D4C957F2D, 0x2127599BF4325C37]
-MOST_TEMPLATES = 2_000
-SLACK = 2
+SHINGLE, BANDS, LARGEST = 3, 16, 64
+#: Template shingles up to here are looked up in each row and their bands broadcast; of more, every
+#: window of the texts is hashed and joined.
+MOST_SHINGLES = 20_000
 
 #: Fixed texts: (license, text of its notice or of its grant).
 TEMPLATES = [
@@ -53,63 +55,76 @@ def shingle_texts(w: Column) -> Column:
     )
 
 
-def band(h: Column, i: Column, order: int) -> Column:
-    """The smallest shingle of the window at ``i``; near the end of a text the window is shorter."""
-    return F.least(*[F.get(h, i + k).bitwiseXOR(F.lit(order)) for k in range(WINDOW)])
+def bands(window: Column) -> Column:
+    """The MinHash values of an array of shingle codes."""
+
+    def smallest(k: int) -> Column:
+        return F.array_min(F.transform(window, lambda x: F.xxhash64(x, F.lit(k))))
+
+    return F.array(*[smallest(k) for k in range(BANDS)])
+
+
+def hop_of(size: int) -> int:
+    return max(1, size // 4)
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """license, template, shingles and its (kind, key, place) bands. Kind 0: a single shingle."""
+    """template, license, n_words, h (shingle codes), shingles (distinct, as texts) and size (of its class)."""
     rows = spark.createDataFrame([(n, name, text) for n, (name, text) in enumerate(templates)], "template int, license string, text string")
     cut = rows.select("template", "license", license_words(F.col("text")).alias("w")).withColumn("h", shingle_codes(F.col("w")))
-    places = F.sequence(F.lit(0), F.greatest(F.size("h") - WINDOW, F.lit(0)))
-    kinds = [F.struct(F.lit(k + 1).alias("kind"), band(F.col("h"), F.col("place"), o).alias("key")) for k, o in enumerate(ORDERS)]
-    single = F.array(F.struct(F.lit(0).alias("kind"), F.get("h", F.col("place")).alias("key")))
-    placed = cut.where(F.size("h") > 0).select("*", F.explode(places).alias("place"))
-    keyed = placed.select("*", F.explode(F.when(F.size("h") == 1, single).otherwise(F.array(*kinds))).alias("b"))
-    return keyed.select("template", "license", F.size("w").alias("n_words"), F.array_distinct(shingle_texts(F.col("w"))).alias("shingles"), "place", "b.kind", "b.key")
+    size = F.least(F.pow(F.lit(2), F.ceil(F.log2(F.size("h")))), F.lit(LARGEST)).cast("int")
+    return cut.where(F.size("h") > 0).select("template", "license", F.size("w").alias("n_words"), "h", F.array_distinct(shingle_texts(F.col("w"))).alias("shingles"), size.alias("size"))
+
+
+def template_bands(table: DataFrame) -> DataFrame:
+    """The bands of each template, or of its segments of LARGEST shingles."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size("h") - LARGEST, F.lit(0)), F.lit(hop_of(LARGEST)))
+    cut = table.select("template", "license", "n_words", "shingles", "size", F.explode(F.transform(starts, lambda i: F.slice("h", i + 1, F.lit(LARGEST)))).alias("window"))
+    return cut.select("template", "license", "n_words", "shingles", "size", F.posexplode(bands(F.col("window"))).alias("band", "key")).distinct()
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.8) -> DataFrame:
-    """doc_id, license, containment (the best), first_word and n_matches of each license in a row
-    of ``docs`` (doc_id, text). Texts without any, null, empty and short ones give no rows; rows that
-    share a doc_id count as one document. Templates of under three words are refused.
+    """doc_id, license, containment (the best), first_word (of the first stretch that reaches ``least``)
+    and n_templates of each license in a row of ``docs`` (doc_id, text). Texts without any, null, empty
+    and short ones give no rows, nor do rows without doc_id; rows that share a doc_id count as one
+    document. Templates of under three words match nothing.
     """
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"over {MOST_TEMPLATES} templates; their bands are broadcast")
-    table = template_table(docs.sparkSession, templates).cache()
-    keys = table.select("kind", "key", "n_words").collect()  # bounded by the templates
-    by_kind = {k: [r["key"] for r in keys if r["kind"] == k] for k in range(len(ORDERS) + 1)}
-    reach = max((r["n_words"] for r in keys), default=0) + SLACK
-
-    def known(h: Column, i: Column) -> Column:
-        tests = [(F.get(h, i) if k == 0 else band(h, i, ORDERS[k - 1])).isin(v) for k, v in by_kind.items() if v]
-        out = tests[0]
-        for t in tests[1:]:
-            out = out | t
-        return out
-
+    table = template_table(docs.sparkSession, templates)
+    of = table.select("h", "size", "n_words").collect()  # as many as the caller's list
+    codes, longest = sorted({c for r in of for c in r["h"]}), {}
+    for r in of:
+        longest[r["size"]] = max(longest.get(r["size"], 0), r["n_words"])
+    few = len(codes) <= MOST_SHINGLES
     w, h = F.col("w"), F.col("h")
-    cut = docs.select("doc_id", license_words(F.col("text")).alias("w")).select("doc_id", "w", shingle_codes(w).alias("h"))
-    hits = F.when(F.size(h) == 0, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: known(h, i)))
-    found = cut.select("doc_id", "w", "h", hits.alias("hits"))
-    around = F.transform(
-        "hits",
-        lambda i: F.struct(
-            i.alias("at"),
-            F.array(F.get(h, i), *[band(h, i, o) for o in ORDERS]).alias("keys"),
-            F.greatest(i - reach, F.lit(0)).alias("base"),
-            F.slice(w, F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach + WINDOW + SHINGLE)).alias("words"),
-        ),
-    )
-    # outer, as the plain form would add a filter that computes the hits a second time
+    cut = docs.where("doc_id is not null").select("doc_id", license_words(F.col("text")).alias("w")).select("doc_id", "w", shingle_codes(w).alias("h"))
+    places = F.sequence(F.lit(0), F.size(h) - 1)
+    anchors = F.filter(places, lambda i: F.get(h, i).isin(codes)) if few else places
+    found = cut.select("doc_id", "w", "h", F.when(F.size(h) == 0, F.array().cast("array<int>")).otherwise(anchors).alias("anchors"))
+
+    def windows(size: int, reach: int) -> Column:
+        """Windows of ``size`` shingles that hold an anchor, with the words that a match may take up."""
+        hop = hop_of(size)
+        numbers = F.array_distinct(F.flatten(F.transform("anchors", lambda i: F.sequence(F.greatest(F.ceil((i - size + 1) / hop), F.lit(0)).cast("int"), F.floor(i / hop).cast("int")))))
+
+        def window(j: Column) -> Column:
+            start, base = (j * hop).alias("start"), F.greatest(j * hop - 2 * reach, F.lit(0))
+            return F.struct(F.lit(size).alias("size"), start, bands(F.slice(h, j * hop + 1, F.lit(size))).alias("keys"), base.alias("base"), F.slice(w, base + 1, F.lit(4 * reach + size)).alias("words"))
+
+        return F.transform(numbers, window)
+
+    if not longest:
+        return docs.sparkSession.createDataFrame([], "license string, containment double, first_word long, n_templates long").join(docs.select("doc_id").limit(0)).select("doc_id", "license", "containment", "first_word", "n_templates")
+    around = F.flatten(F.array(*[windows(size, reach) for size, reach in sorted(longest.items())]))
+    # outer, as the plain form would add a filter that computes the windows a second time
     each = found.select("doc_id", F.explode_outer(around).alias("hit")).where("hit is not null")
-    banded = each.select("doc_id", "hit", F.posexplode_outer("hit.keys").alias("kind", "key")).where("key is not null")
-    start = F.col("hit.at") - F.col("place")
-    pairs = banded.join(F.broadcast(table), ["kind", "key"]).select("doc_id", "license", "template", "n_words", "shingles", start.alias("start"), "hit.base", "hit.words")
-    region = F.slice("words", F.greatest(F.col("start") - SLACK - F.col("base"), F.lit(0)) + 1, F.col("n_words") + 2 * SLACK)
-    scored = pairs.select("doc_id", "license", "template", F.greatest("start", F.lit(0)).alias("start"), (F.size(F.array_intersect("shingles", shingle_texts(region))) / F.size("shingles")).alias("containment"))
-    good = scored.where(F.col("containment") >= least)
+    banded = each.select("doc_id", "hit.size", "hit.start", "hit.base", "hit.words", F.posexplode_outer("hit.keys").alias("band", "key"))
+    index = template_bands(table)
+    pairs = banded.join(F.broadcast(index) if few else index, ["size", "band", "key"])
+    cuts = pairs.select("doc_id", "license", "template", "n_words", "shingles", "start", "size", "base", shingle_texts(F.col("words")).alias("found"))
+    share = lambda i: F.size(F.array_intersect("shingles", F.slice("found", i + 1, 2 * F.col("n_words") - SHINGLE + 1))) / F.size("shingles")
+    begins = F.filter(F.sequence(F.lit(0), F.size("found") - 1), lambda i: (F.col("base") + i < F.col("start") + F.col("size")) & F.array_contains(F.col("shingles"), F.get("found", i)))
+    reached = F.filter(F.transform(begins, lambda i: F.struct(share(i).alias("containment"), (F.col("base") + i).alias("word"))), lambda x: x["containment"] >= least)
+    good = cuts.where(F.size("found") > 0).select("doc_id", "license", "template", F.explode(reached).alias("m"))
     return good.groupBy("doc_id", "license").agg(
-        F.max("containment").alias("containment"), F.min("start").cast("long").alias("first_word"), F.countDistinct("template", "start").alias("n_matches")
+        F.max("m.containment").alias("containment"), F.min("m.word").cast("long").alias("first_word"), F.countDistinct("template").alias("n_templates")
     )
