@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 
@@ -29,38 +30,19 @@ def format_chats(turns: DataFrame, trained_role: str = "assistant") -> DataFrame
 
     Turns are sorted by turn, then role and text, so ties have one order. A null text or role is
     empty; a null turn comes first; rows with a null conv_id are one conversation of that id.
-    Repeated rows are turns of their own.
+    Repeated rows are turns of their own. Other columns are ignored. The work is linear in the turns;
+    a conversation, being one row of the result, must fit in a task.
     """
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    block = "struct<role:string,texts:array<string>>"
-
-    def merge(done: Column, t: Column) -> Column:
-        last = F.element_at(done, -1)
-        same = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["role"] == t["role"])
-        longer = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(escape(t["text"]))).alias("texts"))))
-        return F.when(same, longer).otherwise(F.concat(done, F.array(F.struct(t["role"].alias("role"), F.array(escape(t["text"])).alias("texts")))))
-
-    blocks = chats.select("conv_id", F.aggregate("turns", F.array().cast(f"array<{block}>"), merge).alias("blocks"))
-    body = F.transform("blocks", lambda b: F.concat(F.lit(START), escape(b["role"]), F.lit("\n"), F.array_join(b["texts"], SEP), F.lit(END)))
-
-    def spans(state: Column, b: Column) -> Column:
-        first = state["at"] + F.length(escape(b["role"])) + len(START) + 1
-        inner = F.aggregate(
-            b["texts"],
-            F.struct(first.cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-            lambda s, t: F.struct(
-                (s["at"] + F.length(t) + len(SEP)).cast("long").alias("at"),
-                F.concat(s["spans"], F.array(F.struct(s["at"].alias("start"), F.length(t).cast("long").alias("length")))).alias("spans"),
-            ),
-        )
-        return F.struct(
-            (inner["at"] - len(SEP) + len(END)).cast("long").alias("at"),
-            F.when(b["role"] == trained_role, F.concat(state["spans"], inner["spans"])).otherwise(state["spans"]).alias("spans"),
-        )
-
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-    return blocks.select("conv_id", F.array_join(body, "").alias("formatted"), F.aggregate("blocks", empty, spans)["spans"].alias("loss_spans"))
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    placed = rows.select("conv_id", "role", escape(F.col("text")).alias("text"), F.row_number().over(order).alias("n"), F.lag("role").over(order).alias("before"))
+    opening = F.concat(F.when(F.col("n") > 1, END).otherwise(""), F.lit(START), escape(F.col("role")), F.lit("\n"))
+    marked = placed.withColumn("mark", F.when(F.col("before") == F.col("role"), SEP).otherwise(opening))
+    through = F.sum(F.length("mark") + F.length("text")).over(Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    piece = F.struct("n", "role", F.concat("mark", "text").alias("piece"), (through - F.length("text")).cast("long").alias("start"), F.length("text").cast("long").alias("length"))
+    chats = marked.select("conv_id", piece.alias("piece")).groupBy("conv_id").agg(F.sort_array(F.collect_list("piece")).alias("pieces"))
+    spans = F.transform(F.filter("pieces", lambda p: p["role"] == trained_role), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length")))
+    return chats.select("conv_id", F.concat(F.array_join(F.transform("pieces", lambda p: p["piece"]), ""), F.lit(END)).alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
