@@ -1,18 +1,22 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-A table turns every unit vector by a pseudo-rotation (three rounds of random signs and a fast
-Hadamard transform) and files it under the nearest signed axis. A query visits, per table, the
-``probes`` signed axes nearest to it; what it meets there is reranked by exact cosine.
-
-Equal vectors are one entry that carries its smallest ids, as many as an answer can use, so copies
-never fill a bucket. Buckets larger than a slice are split, and so are their queries: every slice
-of queries meets every slice of entries in a task of its own, and reports its best few per query.
-Queries for which the tables hold fewer entries than asked for are searched against all buckets of
-one table, which is every entry.
+A hash turns every unit vector by a pseudo-rotation (three rounds of random signs and a fast Hadamard
+transform) and takes the nearest signed axis. A table files a vector under several hashes together,
+one for each time the number of vectors holds the number of signed axes as a factor, so that buckets
+stay small as the vectors grow in number. A query visits, per table, those combinations of axes that
+are nearest to it in sum; the share of all vectors that it meets falls with every further hash.
+
+Only ids are filed and looked up. The pairs that meet are dealt by candidate into slices, each slice
+gets the vectors of its candidates and of the queries that ask for them, and reports its best few per
+query by exact cosine. Equal vectors are one entry that carries its smallest ids, as many as an answer
+can use, so copies never fill a bucket. Queries for which the tables hold fewer entries than asked for
+are compared with all entries.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lexmill.llm.common import keep
+from lexmill.llm.common import keep, partitions
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -45,99 +49,141 @@ def rotate(x: np.ndarray, table: int) -> np.ndarray:
     return y
 
 
-def axes(x: np.ndarray, table: int, many: int) -> np.ndarray:
-    """The ``many`` nearest signed axes of each row, nearest first: 2 * axis + (1 if negative)."""
-    y = rotate(x, table)
-    # both signs of each axis are candidates: the far sign comes after all near ones
-    near = np.argsort(-np.abs(y), axis=1, kind="stable")
-    code = 2 * near + (np.take_along_axis(y, near, axis=1) < 0)
-    both = np.concatenate([code, code[:, ::-1] ^ 1], axis=1)
-    return both[:, :many]
+def signed(y: np.ndarray) -> np.ndarray:
+    """Each row's coordinate on every signed axis: 2 * axis + (1 if negative)."""
+    return np.stack([y, -y], axis=2).reshape(len(y), -1)
+
+
+#: Of each hash only so many axes are combined with others.
+NEAR_AXES = 48
+
+
+def nearest_axis(x: np.ndarray, number: int) -> np.ndarray:
+    return signed(rotate(x, number)).argmax(axis=1)
+
+
+def probed(x: np.ndarray, numbers: range, many: int) -> np.ndarray:
+    """For each row the ``many`` combinations of one signed axis per hash that lie nearest, as codes."""
+    total, codes = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
+    for number in numbers:
+        all_axes = signed(rotate(x, number))
+        axis = np.argsort(-all_axes, axis=1, kind="stable")[:, :NEAR_AXES]
+        near = np.take_along_axis(all_axes, axis, axis=1)
+        lost = (near[:, :1] - near) ** 2
+        total = (total[:, :, None] + lost[:, None, :]).reshape(len(x), -1)
+        codes = (codes[:, :, None] * all_axes.shape[1] + axis[:, None, :]).reshape(len(x), -1)
+        if total.shape[1] > many:
+            best = np.argpartition(total, many - 1, axis=1)[:, :many]
+            total, codes = np.take_along_axis(total, best, axis=1), np.take_along_axis(codes, best, axis=1)
+    return codes
 
 
-ENTRY = T.StructType([
-    T.StructField("dim", T.IntegerType()), T.StructField("slot", T.IntegerType()), T.StructField("axis", T.IntegerType()),
-    T.StructField("rep", T.LongType()), T.StructField("vector", T.ArrayType(T.DoubleType())),
-])
+FILED = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("slot", T.IntegerType()), T.StructField("code", T.LongType()), T.StructField("rep", T.LongType())])
 
 
-def hashed(vectors: DataFrame, tables: range, many: int | None) -> DataFrame:
-    """Entries (rep, vector) under their ``many`` nearest axes of each table; None: under all axes."""
+def filed(vectors: DataFrame, tables: int, hashes: int, probes: int | None) -> DataFrame:
+    """Each (rep, vector) under its bucket of every table, or under the ``probes`` buckets it visits."""
 
     def run(batches):
-        for batch in batches:
-            reps, lists = batch.column("rep").to_pylist(), batch.column("vector").to_pylist()
-            by_dim: dict[int, list[int]] = {}
-            for i, v in enumerate(lists):
-                by_dim.setdefault(len(v), []).append(i)
-            for dim, at in by_dim.items():
-                x = np.array([lists[i] for i in at], np.float64)
-                x /= np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) * np.abs(x).max(axis=1, keepdims=True)
-                for slot in tables:
-                    code = axes(x, slot, many or 1 << 30)
-                    k = code.shape[1]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([dim] * len(at) * k, pa.int32()),
-                            pa.array([slot] * len(at) * k, pa.int32()),
-                            pa.array(code.ravel().astype(np.int32)),
-                            pa.array(np.repeat([reps[i] for i in at], k), pa.int64()),
-                            pa.array([lists[i] for i in at for _ in range(k)], pa.list_(pa.float64())),
-                        ],
-                        names=ENTRY.names,
-                    )
-
-    return vectors.select("rep", "vector").mapInArrow(run, ENTRY)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 100):
+                batch = whole.slice(at, 100)
+                reps, lists = batch.column("rep").to_numpy(), batch.column("vector").to_pylist()
+                for dim, x, which in by_width(lists):
+                    for slot in range(tables):
+                        numbers = range(slot * hashes, (slot + 1) * hashes)
+                        if probes is None:
+                            code = np.zeros((len(x), 1), np.int64)
+                            for number in numbers:
+                                code = code * 2 * padded(dim) + nearest_axis(x, number)[:, None]
+                        else:
+                            code = probed(x, numbers, probes)
+                        n = code.size
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, slot, np.int32)), pa.array(code.ravel()), pa.array(np.repeat(reps[which], code.shape[1]))],
+                            names=FILED.names,
+                        )
+
+    return vectors.select("rep", "vector").mapInArrow(run, FILED)
+
+
+def padded(dim: int) -> int:
+    return 1 << max(0, (dim - 1).bit_length())
+
+
+def by_width(lists: list) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(width, unit vectors, their places) for each width among ``lists``."""
+    places: dict[int, list[int]] = {}
+    for i, v in enumerate(lists):
+        places.setdefault(len(v), []).append(i)
+    out = []
+    for dim, at in places.items():
+        x = np.array([lists[i] for i in at], np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)  # the scale does not matter, over- and underflow would
+        out.append((dim, x / np.linalg.norm(x, axis=1, keepdims=True), np.array(at)))
+    return out
 
 
 FOUND = T.StructType([T.StructField("query", T.LongType()), T.StructField("rep", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
-def meet(entries: DataFrame, queries: DataFrame, best: int, slice_rows: int = 4096, query_rows: int = 1024) -> DataFrame:
-    """Each query's ``best`` entries of every bucket it visits."""
-    bucket = ["dim", "slot", "axis"]
+#: Kinds of rows of a slice: candidates, queries with stated candidates, pairs, queries that meet all.
+CANDIDATE, QUERY, PAIR, ANY = range(4)
 
-    def slices(rows: DataFrame, most: int, name: str) -> DataFrame:
-        # one row per bucket: at most tables x 2 x width of the vectors
-        return rows.groupBy(*bucket).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
 
-    counts = keep(slices(entries, slice_rows, "es").join(slices(queries, query_rows, "qs"), bucket), "buckets")
-    put = F.pmod(F.xxhash64("rep"), F.col("es")).cast("int")
-    ask = F.pmod(F.xxhash64("rep"), F.col("qs")).cast("int")
-    left = entries.join(counts, bucket).withColumn("e", put).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qs") - 1))).withColumn("asks", F.lit(False))
-    right = queries.join(counts, bucket).withColumn("q", ask).withColumn("e", F.explode(F.sequence(F.lit(0), F.col("es") - 1))).withColumn("asks", F.lit(True))
-    columns = [*bucket, "e", "q", "asks", "rep", "vector"]
+def best_of(slices: DataFrame, best: int) -> DataFrame:
+    """FOUND: each query's ``best`` candidates of every slice (slice, kind, query, rep, vector)."""
 
     def run(_key: tuple, rows: pa.Table) -> pa.Table:
-        asks, reps = rows.column("asks").to_numpy(), rows.column("rep").to_numpy()
-        flat = rows.column("vector").combine_chunks()
-        flat = flat.flatten().to_numpy().reshape(len(asks), -1)
-        flat = flat / np.abs(flat).max(axis=1, keepdims=True)  # the scale does not matter, over- and underflow would
-        norm = np.sqrt(np.einsum("ij,ij->i", flat, flat))
-        c, q = np.flatnonzero(~asks), np.flatnonzero(asks)
-        out: list[np.ndarray] = []
-        if len(c) and len(q):
-            few = min(best + 4, len(c))  # some more: the product below may differ in the last bits
-            rough = (flat[q] / norm[q, None]) @ (flat[c] / norm[c, None]).T
-            top = np.argpartition(-rough, few - 1, axis=1)[:, :few]
-            i, j = np.repeat(q, few), c[top.ravel()]
-            score = np.einsum("ij,ij->i", flat[i], flat[j]) / (norm[i] * norm[j])
-            order = np.lexsort((reps[j], -score, i))
-            i, j, score = i[order], j[order], score[order]
-            rank = np.arange(len(i)) - np.repeat(np.arange(0, len(i), few), few)
-            out = [reps[i][rank < best], reps[j][rank < best], score[rank < best]]
-        return pa.table({n: pa.array(x, t) for n, x, t in zip(FOUND.names, out or [[], [], []], [pa.int64(), pa.int64(), pa.float64()], strict=True)})
-
-    return left.select(columns).unionByName(right.select(columns)).groupBy(*bucket, "e", "q").applyInArrow(run, FOUND)
-
-
-def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = 10, probes: int = 6) -> DataFrame:
+        kind = rows.column("kind").to_numpy()
+        of = {k: rows.take(pa.array(np.flatnonzero(kind == k))) for k in range(4)}
+        pairs = {c: of[PAIR].column(c).to_numpy() for c in ("query", "rep")}
+        sides = []
+        for name, kinds in (("rep", (CANDIDATE,)), ("query", (QUERY, ANY))):
+            t = pa.concat_tables([of[k] for k in kinds])
+            sides.append((t.column(name).to_numpy(), t.column("vector").to_pylist(), t.column("kind").to_numpy()))
+        found: list[tuple[np.ndarray, ...]] = []
+
+        def report(query: np.ndarray, rep: np.ndarray, score: np.ndarray) -> None:
+            order = np.lexsort((rep, -score, query))
+            query, rep, score = query[order], rep[order], score[order]
+            first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.empty(0, int)
+            rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+            found.append((query[rank < best], rep[rank < best], score[rank < best]))
+
+        units = {d: (x, sides[0][0][at]) for d, x, at in by_width(sides[0][1])}
+        for dim, q, at in by_width(sides[1][1]):
+            if dim not in units:
+                continue
+            c, reps = units[dim]
+            names, asks = sides[1][0][at], sides[1][2][at]
+            order, q_order = np.argsort(reps), np.argsort(names)
+            i = np.searchsorted(names[q_order], pairs["query"]).clip(max=len(names) - 1)
+            j = np.searchsorted(reps[order], pairs["rep"]).clip(max=len(reps) - 1)
+            i, j = q_order[i], order[j]
+            here = np.flatnonzero((names[i] == pairs["query"]) & (reps[j] == pairs["rep"]) & (asks[i] == QUERY))
+            got = [np.empty(0)]
+            for s in range(0, len(here), 1 << 15):
+                part = here[s : s + (1 << 15)]
+                got.append(np.einsum("ij,ij->i", q[i[part]], c[j[part]]))
+            report(names[i[here]], reps[j[here]], np.concatenate(got))
+            for one in np.flatnonzero(asks == ANY):
+                report(np.full(len(reps), names[one]), reps, np.einsum("ij,j->i", c, q[one]))
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [[], [], []]
+        return pa.table({n: pa.array(x, t) for n, x, t in zip(FOUND.names, columns, [pa.int64(), pa.int64(), pa.float64()], strict=True)})
+
+    return slices.groupBy("slice").applyInArrow(run, FOUND)
+
+
+def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = 16, probes: int = 12, slice_pairs: int = 500_000, slice_entries: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of each row of ``vectors`` (vec_id,
     embedding) for which the Column ``is_query`` holds; never the row itself.
 
     Cosine in double precision, nearest first, ties to the smaller vec_id. Null and empty vectors,
     zero vectors, vectors with null or non-finite components and rows without vec_id take no part;
     vectors of different lengths are no candidates of each other. Rows that repeat a vec_id are one.
+    A table takes one hash for each power of the number of signed axes that the vectors reach, and
+    ``probes`` buckets to the power of the number of hashes.
     """
     sound = (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), is_query.alias("asks"))
@@ -148,7 +194,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = 10, probes:
     entries = keep(firsts.groupBy("vector").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "ids", "vector"), "entries")
     asking = keep(clean.where("asks").join(entries.select("rep", "vector"), "vector").select("vec_id", "rep").distinct(), "asking")
     query_reps = entries.join(asking.select("rep").distinct(), "rep", "left_semi")
-    index = hashed(entries, range(tables), 1)
+    shape = entries.agg(F.count("*"), F.max(F.size("vector"))).first()
+    hashes = max(1, int(math.log(max(shape[0], 1), 2 * padded(shape[1] or 1))))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
 
     def ranked(found: DataFrame) -> DataFrame:
@@ -159,10 +206,26 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = 10, probes:
         lists = with_ids.groupBy("query").agg(F.sort_array(F.flatten(F.collect_list(hit))).alias("hits"))  # at most (k + 1)^2 entries
         return lists.withColumn("hits", F.slice("hits", 1, k + 1))
 
-    first = keep(ranked(meet(index, hashed(query_reps, range(tables), probes), k + 1)), "found")
+    bucket = ["dim", "slot", "code"]
+    visits = filed(query_reps, tables, hashes, probes**hashes).withColumnRenamed("rep", "query")
+    pairs = keep(visits.join(filed(entries, tables, hashes, None), bucket).select("query", "rep").distinct(), "pairs")
+    n_slices = max(partitions(vectors.sparkSession), -(-pairs.count() // slice_pairs), -(-shape[0] // slice_entries))
+    put, nothing = F.pmod(F.xxhash64("rep"), F.lit(n_slices)).cast("int").alias("slice"), F.lit(None).cast("array<double>").alias("vector")
+
+    def of(kind: int, df: DataFrame, *columns) -> DataFrame:
+        return df.select(columns[0], F.lit(kind).alias("kind"), *columns[1:])
+
+    none = F.lit(None).cast("long")
+    candidates = of(CANDIDATE, entries, put, none.alias("query"), F.col("rep"), F.col("vector"))
+    asked = pairs.select("query", put).distinct().join(query_reps.select(F.col("rep").alias("query"), "vector"), "query")
+    queries = of(QUERY, asked, F.col("slice"), F.col("query"), none.alias("rep"), F.col("vector"))
+    met = of(PAIR, pairs, put, F.col("query"), F.col("rep"), nothing)
+    first = keep(ranked(best_of(candidates.unionByName(queries).unionByName(met), k + 1)), "found")
     short = keep(query_reps.join(first.where(F.size("hits") == k + 1).select(F.col("query").alias("rep")), "rep", "left_anti"), "short")
     if short.limit(1).count():
-        rest = ranked(meet(hashed(entries, range(1), 1), hashed(short, range(1), None), k + 1))
+        every = F.explode(F.sequence(F.lit(0), F.lit(n_slices - 1))).alias("slice")
+        seekers = of(ANY, short.select("rep", "vector", every), F.col("slice"), F.col("rep").alias("query"), none.alias("rep"), F.col("vector"))
+        rest = ranked(best_of(candidates.unionByName(seekers), k + 1))
         first = first.join(short.select(F.col("rep").alias("query")), "query", "left_anti").unionByName(rest)
     answers = asking.join(first.withColumnRenamed("query", "rep"), "rep").select(F.col("vec_id").alias("query_id"), "hits")
     others = F.slice(F.filter("hits", lambda h: h["vec_id"] != F.col("query_id")), 1, k)
