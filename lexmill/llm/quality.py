@@ -31,7 +31,7 @@ U = np.uint64
 #: The context of a document's first word.
 START = U(0x9E3779B97F4A7C15)
 #: A bundle is closed beyond so many words; a shard is meant for so many words of the corpus.
-BUNDLE_WORDS, SHARD_WORDS = 1 << 20, 1 << 22
+BUNDLE_WORDS, SHARD_WORDS = 1 << 19, 1 << 22
 TRAINS, HELD, TOXIC = 1, 2, 3
 
 
