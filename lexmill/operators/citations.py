@@ -22,38 +22,70 @@ def locate(text: Column, quote: Column) -> Column:
     return F.coalesce(F.nullif(F.instr(text, quote), F.lit(0)), F.nullif(F.instr(F.lower(text), F.lower(quote)), F.lit(0))) - 1
 
 
-def locate_quotes(docs: DataFrame, quotes: DataFrame, run: int = 5) -> DataFrame:
-    """doc_id, item_id, pos of every quote (item_id, text) that a document holds.
+#: Keys up to here are looked up inside each row; of more, every run of words of the texts is joined.
+MOST_KEYS = 10_000
 
-    Quotes meet documents by the hash of their first ``run`` words, so only documents with that
-    word run are searched; quotes of fewer words are keyed by all their words.
-    """
-    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    q = quotes.select("item_id", F.col("text").alias("quote"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    q = q.select("item_id", "quote", F.least(F.size("w"), F.lit(run)).alias("n"), F.array_join(F.slice("w", 1, run), " ").alias("key"))
-    sizes = [r["n"] for r in q.select("n").distinct().collect()]  # run values at most
-    d = docs.select("doc_id", words(F.col("text")).alias("w"))
-    keys = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), _slice_of(n)) for n in sizes]))
-    met = d.select("doc_id", F.explode(F.array_distinct(keys)).alias("key")).join(q, "key")
-    return met.join(docs.select("doc_id", "text"), "doc_id").withColumn("pos", locate(F.col("text"), F.col("quote"))).where("pos is not null").select("doc_id", "item_id", "pos")
 
+def _words(c: Column) -> Column:
+    return F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
 
-def _slice_of(n: int):
-    return lambda i: F.array_join(F.slice(F.col("w"), i, n), " ")
 
+def _run_codes(w: Column, n: int) -> Column:
+    """Hashes of every ``n`` neighbouring words."""
+    at = F.sequence(F.lit(0), F.size(w) - n)
+    return F.when(F.size(w) < n, F.array().cast("array<bigint>")).otherwise(F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)])))
 
-def fuzzy_quotes(docs: DataFrame, quotes: DataFrame, least: float = 0.8, run: int = 4) -> DataFrame:
-    """doc_id, item_id, similarity of quotes that a document holds nearly: candidates share a run of
-    words, then 1 - levenshtein / length over the aligned stretch decides."""
-    words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
 
-    def runs(df: DataFrame, key: str) -> DataFrame:
-        w = df.select(key, words(F.col("text")).alias("w")).where(F.size("w") >= run)
-        at = F.transform(F.sequence(F.lit(1), F.size("w") - run + 1), _slice_of(run))
-        return w.select(key, F.posexplode(at).alias("at", "run"))
+def locate_quotes(docs: DataFrame, quotes: DataFrame, run: int = 5, block: int = 1000) -> DataFrame:
+    """doc_id, item_id, pos of every quote (item_id, text) that a document holds.
+
+    A quote's first and last word may be a part of a document's word (behind a bracket, before a
+    comma), so quotes meet documents by the hash of up to ``run`` of their inner words. Quotes of
+    under three words have none and are searched in every document, ``block`` of them at a time.
+    """
+    q = quotes.select("item_id", F.col("text").alias("quote"), _words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    inner = q.where("size(w) > 2").select("item_id", "quote", F.least(F.size("w") - 2, F.lit(run)).alias("n"), "w")
+    code = F.lit(None).cast("long")
+    for n in range(1, run + 1):
+        code = F.when(F.col("n") == n, F.xxhash64(*[F.get("w", F.lit(1 + k)) for k in range(n)])).otherwise(code)
+    keyed = inner.select("item_id", "quote", "n", code.alias("code"))
+    sizes = [r["n"] for r in keyed.select("n").distinct().collect()]  # run values at most
+    keys = [r["code"] for r in keyed.select("code").distinct().limit(MOST_KEYS + 1).collect()]
+    few = len(keys) <= MOST_KEYS
+    w = F.col("w")
+    cut = docs.select("doc_id", "text", _words(F.col("text")).alias("w"))
+    codes = F.array_distinct(F.flatten(F.array(*[_run_codes(w, n) for n in sizes]))) if sizes else F.array().cast("array<bigint>")
+    wanted = cut.select("doc_id", "text", (F.filter(codes, lambda c: c.isin(keys)) if few else codes).alias("codes"))
+    if few:  # only documents with a key go on, so their texts may travel
+        met = wanted.select("doc_id", "text", F.explode_outer("codes").alias("code")).where("code is not null").join(keyed, "code").select("doc_id", "item_id", "text", "quote")
+    else:
+        pairs = wanted.select("doc_id", F.explode_outer("codes").alias("code")).where("code is not null").join(keyed.select("code", "item_id", "quote"), "code")
+        met = pairs.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "item_id", "text", "quote")
+    short = q.where("size(w) < 3").select("item_id", "quote")
+    blocks = max(1, -(-short.count() // block))
+    packed = short.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("item_id", "quote")).alias("qs"))
+    beside = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")).join(packed, "block")
+    held = F.filter("qs", lambda x: F.contains(F.lower("text"), F.lower(x["quote"])))
+    rest = beside.select("doc_id", "text", F.explode_outer(held).alias("x")).where("x is not null").select("doc_id", "x.item_id", "text", "x.quote")
+    found = met.unionByName(rest).withColumn("pos", locate(F.col("text"), F.col("quote")))
+    return found.where("pos is not null").select("doc_id", "item_id", "pos").distinct()
+
 
-    d, q = runs(docs, "doc_id"), runs(quotes, "item_id").withColumnRenamed("at", "offset")
-    places = d.join(q, "run").select("doc_id", "item_id", (F.col("at") - F.col("offset")).alias("start")).where("start >= 0").distinct()
+def fuzzy_quotes(docs: DataFrame, quotes: DataFrame, least: float = 0.8, run: int = 4) -> DataFrame:
+    """doc_id, item_id, similarity of quotes that a document holds nearly: candidates share a run of
+    half the quote's words, ``run`` at most; 1 - levenshtein / length over the aligned stretch decides."""
+    words = _words
+    q = quotes.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("n", F.greatest(F.lit(1), F.least(F.lit(run), F.floor(F.size("w") / 2))).cast("int"))
+    sizes = [r["n"] for r in q.select("n").distinct().collect()]  # run values at most
+    own = F.lit(None).cast("array<bigint>")
+    for n in sizes:
+        own = F.when(F.col("n") == n, _run_codes(F.col("w"), n)).otherwise(own)
+    q = q.select("item_id", F.posexplode(own).alias("offset", "code"))
+    keys = [r["code"] for r in q.select("code").distinct().limit(MOST_KEYS + 1).collect()]
+    runs = F.flatten(F.array(*[F.transform(_run_codes(F.col("w"), n), lambda c, i: F.struct(i.alias("at"), c.alias("code"))) for n in sizes])) if sizes else F.array().cast("array<struct<at:int,code:bigint>>")
+    wanted = F.filter(runs, lambda r: r["code"].isin(keys)) if len(keys) <= MOST_KEYS else runs
+    d = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode_outer(wanted).alias("r")).where("r is not null").select("doc_id", "r.at", "r.code")
+    places = d.join(q, "code").select("doc_id", "item_id", (F.col("at") - F.col("offset")).alias("start")).where("start >= 0").distinct()
     both = places.join(docs.select("doc_id", words(F.col("text")).alias("w")), "doc_id").join(quotes.select("item_id", words(F.col("text")).alias("q")), "item_id")
     stretch, quote = F.array_join(F.slice("w", F.col("start") + 1, F.size("q")), " "), F.array_join("q", " ")
     score = 1 - F.levenshtein(stretch, quote) / F.greatest(F.length(stretch), F.length(quote))

@@ -6,11 +6,15 @@ tokens; nothing compares every query with every sentence.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 K1, B = 1.5, 0.75
+#: Terms up to here are looked up inside each row; of more, the postings are joined with them.
+MOST_TERMS = 10_000
 
 
 def token_array(text: Column) -> Column:
@@ -38,13 +42,19 @@ def query_terms(parts: list[Column], keywords: Column) -> Column:
 def bm25(sents: DataFrame, terms: DataFrame) -> DataFrame:
     """rule_id, doc_id, sent_id, score of sentences that hold a term; ``terms``: (rule_id, token).
 
-    Only the terms' own postings are aggregated: sentence lengths need one pass, frequencies the
-    tokens that some rule asks for.
+    Only the terms' own postings leave the sentence's row, where they are counted: sentence lengths
+    need one pass, frequencies the tokens that some rule asks for.
     """
     cut = sents.select("doc_id", "sent_id", token_array(F.col("text")).alias("t"))
     sizes = cut.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg_len"))
     wanted = terms.select("token").distinct()
-    tf = cut.select("doc_id", "sent_id", F.size("t").alias("len"), F.explode("t").alias("token")).join(wanted, "token", "left_semi").groupBy("doc_id", "sent_id", "len", "token").agg(F.count("*").alias("tf"))
+    known = [r["token"] for r in wanted.limit(MOST_TERMS + 1).collect()]
+    own = F.filter("t", lambda x: x.isin(known)) if len(known) <= MOST_TERMS else F.col("t")
+    counted = F.transform(F.array_distinct("own"), lambda x: F.struct(x.alias("token"), F.size(F.filter("own", lambda y: y == x)).alias("tf")))
+    held = cut.select("doc_id", "sent_id", F.size("t").alias("len"), own.alias("own")).select("doc_id", "sent_id", "len", F.explode_outer(counted).alias("x")).where("x is not null")
+    tf = held.select("doc_id", "sent_id", "len", "x.token", "x.tf")
+    if len(known) > MOST_TERMS:
+        tf = tf.join(wanted, "token", "left_semi")
     tf = tf.withColumn("df", F.count("*").over(Window.partitionBy("doc_id", "token")))
     hits = tf.join(sizes, "doc_id").join(terms, "token")
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
@@ -134,9 +144,35 @@ def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
-def latency_stats(events: DataFrame, value: str = "value") -> DataFrame:
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return events.agg(F.avg(value).alias("mean"), p.alias("p")).select("mean", F.col("p")[0].alias("median"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"))
+def latency_stats(events: DataFrame, value: str = "value", range_rows: int = 1_000_000) -> DataFrame:
+    """mean, median, p95, p99 (linear between neighbours), exact at any size: values are counted in
+    ranges of about ``range_rows`` rows, and only the ranges that hold a wanted rank are ordered."""
+    rows = events.select(F.col(value).cast("double").alias("v")).where("v is not null")
+    n, mean = rows.agg(F.count("*"), F.avg("v")).first()
+    ranges = max(1, min(10_000, n // range_rows))
+    edges = rows.agg(F.percentile_approx("v", [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0] or [] if ranges > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("v"))) if edges else F.lit(0)
+    counted = rows.groupBy("v").agg(F.count("*").alias("n")).withColumn("part", part)
+    sizes = {r["part"]: r["n"] for r in counted.groupBy("part").agg(F.sum("n").alias("n")).collect()} if edges else {0: n}  # one row per range
+    before, so_far = {}, 0
+    for k in sorted(sizes):
+        before[k], so_far = so_far, so_far + sizes[k]
+    at = {p: p * (n - 1) for p in (0.5, 0.95, 0.99)} if n else {}
+    ranks = {r for x in at.values() for r in (math.floor(x), math.ceil(x))}
+    of = {r: max(k for k in before if before[k] <= r) for r in ranks}
+    through = F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.where(F.col("part").isin(sorted(set(of.values())))).withColumn("through", through)
+
+    def value_at(rank: int) -> Column:
+        k = rank - before[of[rank]]
+        return F.max(F.when((F.col("part") == of[rank]) & (F.col("through") > k) & (F.col("through") - F.col("n") <= k), F.col("v")))
+
+    def between(x: float) -> Column:
+        low = math.floor(x)
+        return value_at(low) + (value_at(math.ceil(x)) - value_at(low)) * (x - low)
+
+    found = [between(at[p]) if at else F.max("v") for p in (0.5, 0.95, 0.99)]
+    return placed.agg(*[c.alias(name) for c, name in zip(found, ("median", "p95", "p99"), strict=True)]).select(F.lit(mean).cast("double").alias("mean"), "median", "p95", "p99")
 
 
 def keyword_sections(sents: DataFrame, rules: list[tuple[str, list[str]]], most: int = 10) -> DataFrame:

@@ -225,10 +225,13 @@ def intent_verdicts(docs: DataFrame, rules: list[tuple[str, str, list[str]]]) ->
     return docs.select("doc_id", F.explode(F.array(*cells)).alias("x")).select("doc_id", "x.*")
 
 
-def not_addressed(docs: DataFrame, rules: DataFrame, sections: DataFrame) -> DataFrame:
-    """Documents x rules without any section: not_applicable at .9. The rules are a dimension."""
-    rule_ids = [r["rule_id"] for r in rules.select("rule_id").distinct().limit(10_000).collect()]
-    grid = docs.select("doc_id", F.explode(F.array(*[F.lit(r) for r in sorted(rule_ids)])).alias("rule_id"))
+def not_addressed(docs: DataFrame, rules: DataFrame, sections: DataFrame, block: int = 1000) -> DataFrame:
+    """Documents x rules without any section: not_applicable at .9. Rules travel in blocks of about
+    ``block`` ids, each met by every document; no rule is left out."""
+    blocks = max(1, -(-rules.select("rule_id").distinct().count() // block))
+    packed = rules.groupBy(F.pmod(F.xxhash64("rule_id"), F.lit(blocks)).alias("block")).agg(F.collect_set("rule_id").alias("rule_ids"))
+    met = docs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")).join(packed, "block")
+    grid = met.select("doc_id", F.explode("rule_ids").alias("rule_id"))
     empty = grid.join(sections.select("doc_id", "rule_id").distinct(), ["doc_id", "rule_id"], "left_anti")
     return empty.select("doc_id", "rule_id", F.lit("not_applicable").alias("status"), F.lit(0.9).alias("confidence"))
 
@@ -370,15 +373,47 @@ def evidence_pack(citations: DataFrame) -> DataFrame:
     return citations.groupBy("doc_id", "rule_id").agg(F.count("*").alias("citations"), F.array_sort(F.collect_set("page")).alias("pages"))
 
 
-def check_rule_schema(rules: DataFrame) -> DataFrame:
-    """rule_id and the constraints of the checked schema that a rule breaks."""
+def rule_issue_array() -> Column:
+    """The constraints of the checked schema on a rule's plain fields, as an array of those that it breaks."""
     tests = [
         (F.coalesce("rule_id", F.lit("")) == "", "rule_id: required"),
         (~F.coalesce("rule_id", F.lit("")).rlike(r"^[A-Z]+-[0-9]{3}$"), "rule_id: pattern"),
         (~F.coalesce("priority", F.lit("")).isin(SEVERITIES), "priority: not allowed"),
         (F.length(F.coalesce("description", F.lit(""))) < 10, "description: too short"),
     ]
-    return rules.select("rule_id", F.array_compact(F.array(*[F.when(c, m) for c, m in tests])).alias("issues"))
+    return F.array_compact(F.array(*[F.when(c, m) for c, m in tests]))
+
+
+def check_rule_schema(rules: DataFrame) -> DataFrame:
+    """rule_id and the constraints of the checked schema that a rule's plain fields break."""
+    return rules.select("rule_id", rule_issue_array().alias("issues"))
+
+
+#: The categories and statuses of the checked schema.
+CATEGORIES = [
+    "termination", "payment", "liability", "intellectual_property", "confidentiality", "warranty", "indemnification", "governance",
+    "dispute_resolution", "data_protection", "compliance", "performance",
+]
+STATUSES = ["compliant", "non_compliant", "not_applicable", "unknown"]
+
+
+def nested_rule_issues() -> Column:
+    """The constraints of the checked schema on a rule's category and nested parts, as an array of those that it breaks."""
+    checks, needs, levels = F.col("deterministic_checks"), F.col("evidence_requirements"), F.col("compliance_levels")
+    near = F.coalesce(checks["proximity_rules"], F.array())
+    tests = [
+        (~F.coalesce("category", F.lit("")).isin(CATEGORIES), "category: not allowed"),
+        (F.exists(near, lambda r: F.coalesce(F.size(r["terms"]), F.lit(0)) < 2), "proximity_rules: two terms at least"),
+        (F.exists(near, lambda r: F.coalesce(r["max_distance"], F.lit(0)) < 1), "proximity_rules: max_distance"),
+        (F.exists(F.coalesce("llm_examples", F.array()), lambda e: e["text"].isNull() | e["rationale"].isNull() | ~F.coalesce(e["status"], F.lit("")).isin(STATUSES)), "llm_examples: text, status, rationale"),
+        (F.coalesce(needs["min_citations"], F.lit(-1)) < 0, "evidence_requirements: min_citations"),
+        (needs["require_page_anchors"].isNull(), "evidence_requirements: require_page_anchors"),
+        (F.coalesce(needs["max_citation_distance"], F.lit(1)) < 1, "evidence_requirements: max_citation_distance"),
+        (F.coalesce(F.concat(*[levels[s] for s in STATUSES]).isNull(), F.lit(True)), "compliance_levels: required"),
+        (~F.coalesce(F.col("metadata.version"), F.lit("0.0.0")).rlike(r"^[0-9]+[.][0-9]+[.][0-9]+$"), "metadata: version"),
+        (~F.coalesce("risk_level", F.lit("low")).isin(SEVERITIES), "risk_level: not allowed"),
+    ]
+    return F.array_compact(F.array(*[F.when(c, m) for c, m in tests]))
 
 
 #: Words looked for by family of the rule's name.

@@ -61,18 +61,22 @@ def _kind(p: Column, item: str) -> Column:
     return F.when(comment, "comment").when(p.startswith("#"), "header").when(p.rlike(item), "item").otherwise("text")
 
 
-def pieces(docs: DataFrame, sep: str, item: str) -> DataFrame:
-    """Paragraphs and the sentence candidates in them: doc_id, para_id, kind, piece_id, text."""
-    paras = docs.select("doc_id", F.posexplode(paragraph_array(F.col("text"), sep)).alias("para_id", "para")).withColumn("kind", _kind(F.col("para"), item))
-    content = F.regexp_replace("para", r"^#+\s*", "")
-    cut = F.when(F.col("kind") == "header", F.array(content)).when(F.col("kind") == "item", F.array("para")).otherwise(F.split("para", r"(?<=[.!?])\s+(?=[A-Z])"))
-    kept = paras.where("kind <> 'comment'").select("doc_id", "para_id", "kind", F.posexplode(cut).alias("piece_id", "text"))
-    return kept.withColumn("text", strip(F.col("text")))
+def pieces(text: Column, sep: str, item: str) -> Column:
+    """The sentence candidates of a text in order, as an array of (kind of their paragraph, text)."""
+    kinds = F.transform(paragraph_array(text, sep), lambda p: F.struct(p.alias("para"), _kind(p, item).alias("kind")))
 
+    def cut(s: Column) -> Column:
+        para, kind = s["para"], s["kind"]
+        parts = F.when(kind == "header", F.array(F.regexp_replace(para, r"^#+\s*", ""))).when(kind == "item", F.array(para)).otherwise(F.split(para, r"(?<=[.!?])\s+(?=[A-Z])"))
+        return F.transform(parts, lambda x: F.struct(kind.alias("kind"), strip(x).alias("text")))
 
-def numbered(rows: DataFrame) -> DataFrame:
-    order = Window.partitionBy("doc_id").orderBy("para_id", "piece_id")
-    return rows.select("doc_id", (F.row_number().over(order) - 1).alias("sent_id"), "text")
+    return F.flatten(F.transform(F.filter(kinds, lambda s: s["kind"] != "comment"), cut))
+
+
+def numbered(docs: DataFrame, texts: Column) -> DataFrame:
+    """doc_id, sent_id (from 0), text of an array of texts: numbered in the row, without a shuffle."""
+    # outer, as the plain form would add a filter that computes the texts a second time
+    return docs.select("doc_id", F.posexplode_outer(texts).alias("sent_id", "text")).where("sent_id is not null")
 
 
 def is_sentence(t: Column) -> Column:
@@ -80,20 +84,25 @@ def is_sentence(t: Column) -> Column:
     return (F.length(t) > 30) & (word_count(t) > 3) & ~starts & t.rlike(r"\p{L}") & ~t.rlike(r"^[\d\s]*$")
 
 
+def sentence_array(text: Column, sep: str) -> Column:
+    def good(s: Column) -> Column:
+        t, kind = s["text"], s["kind"]
+        return F.when(kind == "header", F.length(t) > 15).when(kind == "item", F.length(t) > 30).otherwise(is_sentence(t))
+
+    return F.transform(F.filter(pieces(text, sep, L.LIST_ITEM), good), lambda s: s["text"])
+
+
 def sentences(docs: DataFrame, sep: str = "\n\n") -> DataFrame:
     """doc_id, sent_id (from 0), text. Headers and list items stay whole."""
-    t, kind = F.col("text"), F.col("kind")
-    good = F.when(kind == "header", F.length(t) > 15).when(kind == "item", F.length(t) > 30).otherwise(is_sentence(t))
-    return numbered(pieces(docs, sep, L.LIST_ITEM).where(good))
+    return numbered(docs, sentence_array(F.col("text"), sep))
 
 
 def sentence_stats(docs: DataFrame, sep: str = "\n\n") -> DataFrame:
     """Per document: paragraphs, processed, skipped (comments) and sentences."""
-    paras = docs.select("doc_id", F.explode_outer(paragraph_array(F.col("text"), sep)).alias("para"))
-    comment = F.col("para").startswith("<!--") & F.col("para").endswith("-->")
-    counts = paras.groupBy("doc_id").agg(F.count("para").alias("paragraphs"), F.count_if(~comment).alias("processed"), F.count_if(comment).alias("skipped"))
-    found = sentences(docs, sep).groupBy("doc_id").agg(F.count("*").alias("sentences"))
-    return counts.join(found, "doc_id", "left").na.fill(0, ["sentences"])
+    paras = paragraph_array(F.col("text"), sep)
+    comments = F.filter(paras, lambda p: p.startswith("<!--") & p.endswith("-->"))
+    counts = docs.select("doc_id", F.size(paras).cast("long").alias("paragraphs"), F.size(comments).cast("long").alias("skipped"), F.size(sentence_array(F.col("text"), sep)).cast("long").alias("sentences"))
+    return counts.select("doc_id", "paragraphs", (F.col("paragraphs") - F.col("skipped")).alias("processed"), "skipped", "sentences")
 
 
 def drop_noise_lines(docs: DataFrame) -> DataFrame:
@@ -108,20 +117,24 @@ def symbol_share(t: Column, symbols: str) -> Column:
     return (F.length(t) - F.length(gone)) / F.length(t)
 
 
-def is_noise(t: Column) -> Column:
-    """Short, tell-tale or mostly symbols."""
-    low = F.lower(strip(t))
+def is_noise(t: Column, low: Column | None = None, words: Column | None = None) -> Column:
+    """Short, tell-tale or mostly symbols; the stripped lower-case text and its words may be at hand."""
+    low, words = F.lower(strip(t)) if low is None else low, word_count(t) if words is None else words
     tell = low.rlike("|".join(map(re.escape, L.NOISE_INDICATORS)))
-    return (F.length(low) < 15) | tell | (word_count(t) < 4) | (symbol_share(t, L.NOISE_SYMBOLS) > 0.3)
+    return (F.length(low) < 15) | (words < 4) | (symbol_share(t, L.NOISE_SYMBOLS) > 0.3) | tell
 
 
 def reference_sentences(docs: DataFrame, sep: str = "\n\n") -> DataFrame:
     """The stricter variant for reference documents, paragraph by paragraph."""
-    t, kind = F.col("text"), F.col("kind")
-    plain = (F.length(t) > 25) & ~t.rlike(r"^[\d\-*•|]") & (word_count(t) > 5) & t.rlike(r"\p{L}")
-    good = F.when(kind == "header", (F.length(t) > 15) & t.contains(".")).when(kind == "item", t.rlike(r"[.!?;:]$")).otherwise(plain)
-    rows = pieces(docs, sep, L.REFERENCE_ITEM).where(good & ~is_noise(t))
-    return numbered(rows.withColumn("text", F.regexp_replace("text", r"\s+", " ")))
+    measured = F.transform(pieces(F.col("text"), sep, L.REFERENCE_ITEM), lambda s: F.struct(s["kind"].alias("kind"), s["text"].alias("text"), F.lower(strip(s["text"])).alias("low"), word_count(s["text"]).alias("words")))
+
+    def good(s: Column) -> Column:
+        t, kind = s["text"], s["kind"]
+        plain = (F.length(t) > 25) & (s["words"] > 5) & ~t.rlike(r"^[\d\-*•|]") & t.rlike(r"\p{L}")
+        wanted = F.when(kind == "header", (F.length(t) > 15) & t.contains(".")).when(kind == "item", t.rlike(r"[.!?;:]$")).otherwise(plain)
+        return wanted & ~is_noise(t, s["low"], s["words"])
+
+    return numbered(docs, F.transform(F.filter(measured, good), lambda s: F.regexp_replace(s["text"], r"\s+", " ")))
 
 
 def keep_legal(sents: DataFrame, keywords: list[str] = L.LEGAL_KEYWORDS, least: int = 40) -> DataFrame:

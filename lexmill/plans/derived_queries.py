@@ -170,6 +170,11 @@ def contracts(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
 
 
+@query("extract_dates", f"with {CONTRACT} select doc_id, cast(instr(text, strftime(o_orderdate, '%Y-%m-%d')) - 1 as integer) as pos, strftime(o_orderdate, '%Y-%m-%d') as raw, strftime(o_orderdate, '%Y-%m-%d') as date, 100 as confidence_pct from ct join orders on o_orderkey = doc_id")
+def q_extract_dates(spark, sf_dir):
+    return E.extract_dates(contracts(spark, sf_dir)).select("doc_id", "pos", "raw", "date", "confidence_pct")
+
+
 @query("start_date", "select o_orderkey as doc_id, strftime(o_orderdate, '%Y-%m-%d') as date, cast(100 as integer) as confidence_pct from orders")
 def q_start_date(spark, sf_dir):
     d = contracts(spark, sf_dir)

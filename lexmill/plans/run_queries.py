@@ -175,9 +175,9 @@ def answers(spark, sf_dir):
     return scored(spark, sf_dir).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("question_id"), "answer", F.col("conf").alias("confidence"))
 
 
-@query("repeated_answers", "select conv_id % 10 as doc_id, lower(trim(text)) as answer, count(*) as n from conversations group by all having count(*) > 1")
+@query("repeated_answers", "select conv_id % 10 as doc_id, lower(trim(substr(text, 1, 4))) as answer, count(*) as n from conversations group by all having count(*) > 1")
 def q_repeated_answers(spark, sf_dir):
-    return G.repeated_answers(table(spark, sf_dir, "conversations").select((F.col("conv_id") % 10).alias("doc_id"), F.col("text").alias("answer")))
+    return G.repeated_answers(table(spark, sf_dir, "conversations").select((F.col("conv_id") % 10).alias("doc_id"), F.substring("text", 1, 4).alias("answer")))
 
 
 ANSW = f"""{SCORED}, am as (select conv_id as doc_id, count(*) as answers, avg((lower(trim(answer)) = '' or contains(lower(answer), 'not specified'))::int) as unspecified, avg(conf) as average, avg((conf < 0.5)::int) as low, avg((length(answer) < 50)::int) as short from sc group by 1),
@@ -255,25 +255,8 @@ def q_top_entities(spark, sf_dir):
     return E.top_entities(e, 5)
 
 
-@query("extract_dates")
-def q_extract_dates(spark, sf_dir):
-    return E.extract_dates(docs(spark, sf_dir))
-
-
-@query("upsert_documents", """with old as (select doc_id, source, 1 as run from documents where doc_id % 3 <> 0), new as (select doc_id, lang as source, 2 as run from documents where doc_id % 2 = 0)
-select * from new union all select * from old where doc_id not in (select doc_id from new)""")
-def q_upsert_documents(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    return S.merged(d.where("doc_id % 3 <> 0").select("doc_id", "source", F.lit(1).alias("run")), d.where("doc_id % 2 = 0").select("doc_id", F.col("lang").alias("source"), F.lit(2).alias("run")), ["doc_id"], "run")
-
-
 @query("render_report", f"""with {SUMMARY}, fi as (select doc_id, rule_id, severity, row_number() over (partition by doc_id order by list_position(['critical', 'high', 'medium', 'low'], severity), rule_id) as rank, {ACTION} as action from v where status in ('non_compliant', 'partially_compliant', 'requires_review')),
 l as (select doc_id, string_agg('- [' || severity || '] ' || rule_id || ': ' || action, chr(10) order by rank) as ls from fi group by 1)
 select doc_id, concat_ws(chr(10), '# Document ' || doc_id, 'Score: ' || cast(floor(score * 100 + 1e-9) as integer), ls) as report from summary left join l using (doc_id)""")
 def q_render_report(spark, sf_dir):
     return S.render_report(q_compliance_summary(spark, sf_dir), q_findings(spark, sf_dir))
-
-
-@query("write_snapshot", f"with {VERDICTS} select status, count(*) as n, count(distinct doc_id) as documents from v group by 1")
-def q_write_snapshot(spark, sf_dir):
-    return S.state_counters(verdicts(spark, sf_dir))

@@ -21,8 +21,3 @@ def q_topic_row(spark, sf_dir):
 @query("topic_deviation", f"with {VERDICTS} select doc_id, case when bool_or(status = 'non_compliant') then 'Y' else 'N' end as deviation, coalesce(string_agg(rule_id, '; ' order by rule_id) filter (status = 'non_compliant'), '') as details from v group by doc_id")
 def q_topic_deviation(spark, sf_dir):
     return H.topic_deviation(verdicts(spark, sf_dir).withColumn("rationale", F.col("rule_id")))
-
-
-@query("write_verdicts", f"with {VERDICTS} select status, count(*) as n from v group by 1")
-def q_write_verdicts(spark, sf_dir):
-    return verdicts(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))

@@ -182,15 +182,15 @@ LINES20 = r"""c as (select doc_id, unnest(xs) as raw, generate_subscripts(xs, 1)
 l as (select doc_id, pos, """ + STRIP.format("raw") + " as line from c)"
 
 
+CAPITALS = "upper(line) = line and lower(line) <> line and length(line) > 15"
+
+
 @query("doc_title", "with " + LINES20.format(n=20) + rf""", t as (select doc_id, pos, case when starts_with(line, '#') then case when regexp_matches(lower(line), '{"|".join(TITLES)}') then regexp_replace(line, '^#+\s*', '') end
-  when regexp_matches(lower(line), '{"|".join(TITLES)}') then line end as title from l where length(line) >= 10 and not (upper(line) = line and lower(line) <> line and length(line) > 15))
+  when {CAPITALS} then array_to_string(list_transform(string_split(lower(line), ' '), lambda w: upper(w[1]) || w[2:]), ' ')
+  when regexp_matches(lower(line), '{"|".join(TITLES)}') then line end as title from l where length(line) >= 10)
 select doc_id, arg_min(title, pos) as title from t where title is not null group by doc_id""")
 def q_doc_title(spark, sf_dir):
-    plain = docs(spark, sf_dir)
-    lines = F.filter(F.split("text", "\n"), lambda x: F.lit(True))
-    # capitalised lines have no twin in SQL: they are blanked before the scan
-    quiet = F.array_join(F.transform(lines, lambda x: F.when((F.upper(T.strip(x)) == T.strip(x)) & (F.lower(T.strip(x)) != T.strip(x)) & (F.length(T.strip(x)) > 15), "").otherwise(x)), "\n")
-    return T.doc_title(plain.select("doc_id", quiet.alias("text")), TITLES)
+    return T.doc_title(docs(spark, sf_dir), TITLES)
 
 
 @query("section_headers", "with " + LINES20.format(n=200) + r""", h as (select doc_id, pos, trim(case when regexp_matches(line, '(?i)^#+\s+(.+)$') then regexp_extract(line, '(?i)^#+\s+(.+)$', 1)

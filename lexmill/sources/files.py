@@ -7,13 +7,17 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.operators.rules import nested_rule_issues, rule_issue_array
+
 RULES = "id string, name string, description string, rule_text string, default_status string, severity string, keywords array<string>, exceptions array<string>"
 CHECKED = (
     "rule_id string, category string, description string, priority string, enabled boolean, llm_prompt string, risk_level string, remediation_guidance string, "
     "deterministic_checks struct<required_keywords:array<string>,forbidden_keywords:array<string>,regex_patterns:array<string>,"
     "proximity_rules:array<struct<terms:array<string>,max_distance:int>>,section_hints:array<string>>, "
     "evidence_requirements struct<min_citations:int,require_page_anchors:boolean,max_citation_distance:int,require_exact_quotes:boolean>, "
-    "compliance_levels struct<compliant:string,non_compliant:string,not_applicable:string,unknown:string>"
+    "compliance_levels struct<compliant:string,non_compliant:string,not_applicable:string,unknown:string>, "
+    "llm_examples array<struct<text:string,status:string,rationale:string>>, "
+    "metadata struct<version:string,created_date:string,updated_date:string,author:string,tags:array<string>,references:array<string>>"
 )
 
 
@@ -41,8 +45,11 @@ def _fields(ddl: str) -> str:
     return re.sub(r"(\w+) (array<|string|int|boolean|struct<)", r"\1:\2", ddl)
 
 
-def normalise_header(name: str) -> str:
-    return re.sub(r"\s+", "_", name.strip().lower())
+def normalise_header(name: str | Column) -> str | Column:
+    """A header in lower case with underscores for blanks; of a name or of a column of names."""
+    if isinstance(name, str):
+        return re.sub(r"\s+", "_", name.strip().lower())
+    return F.regexp_replace(F.lower(F.btrim(name, F.lit(" \t\n\x0b\x0c\r"))), r"\s+", "_")
 
 
 def scan_rules_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -50,13 +57,18 @@ def scan_rules_csv(spark: SparkSession, path: str) -> DataFrame:
     return rows.toDF(*[normalise_header(c) for c in rows.columns])
 
 
-def scan_rules_checked(spark: SparkSession, path: str) -> DataFrame:
-    """Schema-checked rules; disabled ones are dropped, missing parts get their defaults."""
+def scan_rules_checked(spark: SparkSession, path: str, keep_broken: bool = False) -> DataFrame:
+    """Enabled rules of files that hold an array of rules, an object with ``rules`` or one rule, with
+    defaults for missing parts and ``issues``: the constraints of the schema that a rule breaks. Rules
+    that break any are left out unless ``keep_broken``."""
     raw = spark.read.text(path, wholetext=True)
     one = f"struct<{_fields(CHECKED)}>"
-    rules = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{one}>")).otherwise(F.from_json("value", f"struct<rules:array<{one}>>")["rules"])
-    rows = raw.select(F.explode(rules).alias("r")).select("r.*")
-    return rows.where(F.coalesce("enabled", F.lit(True))).withColumn("priority", F.coalesce("priority", F.lit("medium")))
+    inner = F.coalesce(F.from_json("value", f"struct<rules:array<{one}>>")["rules"], F.array(F.from_json("value", one)))
+    rules = F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<{one}>")).otherwise(inner)
+    rows = raw.select(F.explode(rules).alias("r")).select("r.*").where(F.coalesce("enabled", F.lit(True)))
+    found = rows.withColumn("issues", F.concat(rule_issue_array(), nested_rule_issues()))
+    kept = found if keep_broken else found.where(F.size("issues") == 0)
+    return kept.withColumn("priority", F.coalesce("priority", F.lit("medium")))
 
 
 def scan_run_logs(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -74,15 +86,19 @@ def prefer_processed(original: DataFrame, processed: DataFrame) -> DataFrame:
     return original.join(done, "doc_id", "left").select("doc_id", F.coalesce("converted", "text").alias("text"))
 
 
-def scan_labels(spark: SparkSession, taxonomy: dict[str, dict]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Dimensions of a taxonomy {label: {category, aliases, keywords}}: labels, aliases, keywords."""
-    labels = spark.createDataFrame([(k, v.get("category", "other")) for k, v in taxonomy.items()], "label string, category string")
-    aliases = spark.createDataFrame([(k, a) for k, v in taxonomy.items() for a in v.get("aliases", [])], "label string, alias string")
-    keywords = spark.createDataFrame([(k, w) for k, v in taxonomy.items() for w in v.get("keywords", [])], "label string, keyword string")
-    return labels, aliases, keywords
+def scan_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Dimensions of taxonomy files ``{"labels": {label: {category, aliases, keywords}}}``: labels
+    (label, category; ``other`` if it has none), aliases and keywords."""
+    one = "labels:map<string,struct<category:string,aliases:array<string>,keywords:array<string>>>"
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"struct<{one}>")["labels"]).alias("label", "v"))
+    labels = rows.select("label", F.coalesce("v.category", F.lit("other")).alias("category"))
+    return labels, rows.select("label", F.explode("v.aliases").alias("alias")), rows.select("label", F.explode("v.keywords").alias("keyword"))
 
 
-def scan_questionnaire(spark: SparkSession, sections: dict[str, list[dict]]) -> DataFrame:
-    """section, ordinal, question_id, prompt, guideline in the order of the file."""
-    rows = [(s, q["id"], q.get("prompt", ""), q.get("guideline", "")) for s, qs in sections.items() for q in qs]
-    return spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "ordinal int, section string, question_id string, prompt string, guideline string")
+def scan_questionnaire(spark: SparkSession, path: str) -> DataFrame:
+    """section, ordinal (in the file), question_id, prompt, guideline of files
+    ``{"sections": [{name, questions: [{id, prompt, guideline}]}]}``."""
+    one = "sections:array<struct<name:string,questions:array<struct<id:string,prompt:string,guideline:string>>>>"
+    sections = F.from_json("value", f"struct<{one}>")["sections"]
+    flat = F.flatten(F.transform(sections, lambda s: F.transform(s["questions"], lambda q: F.struct(s["name"].alias("section"), q["id"].alias("question_id"), F.coalesce(q["prompt"], F.lit("")).alias("prompt"), F.coalesce(q["guideline"], F.lit("")).alias("guideline")))))
+    return spark.read.text(path, wholetext=True).select(F.posexplode(flat).alias("ordinal", "q")).select("q.section", "ordinal", "q.question_id", "q.prompt", "q.guideline")

@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that driver and executors share; in local mode it may be a temporary one."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="lexmill-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return f"{where.rstrip('/')}/lexmill-{tag}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
+
+
 def newest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The newest row per key."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
@@ -35,11 +55,16 @@ def read_version(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/v={found[-1]}") if found else None
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: str) -> int:
-    """Write a new version with ``new`` merged in; readers see it once it is complete. Returns its number."""
-    old, n = read_version(spark, path), (_versions(spark, path) or [0])[-1] + 1
+def upsert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: str, keep_versions: int = 2) -> int:
+    """Write a new version with ``new`` merged in; readers see it once it is complete. Versions before
+    the last ``keep_versions`` are removed, so that readers of the one before may finish. Returns its number."""
+    done = _versions(spark, path)
+    old, n = spark.read.parquet(f"{path}/v={done[-1]}") if done else None, (done or [0])[-1] + 1
     rows = merged(old, new, keys, order) if old is not None else newest(new, keys, order)
     rows.write.mode("overwrite").parquet(f"{path}/v={n}")
+    for v in done[: max(0, len(done) + 1 - keep_versions)]:
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
     return n
 
 
@@ -48,9 +73,19 @@ def write_run(rows: DataFrame, path: str, kind: str = "json") -> None:
     rows.write.mode("append").partitionBy("run_id").format(kind).save(path)
 
 
-def replace_partitions(rows: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Replace the rows of the keys at hand, leave all others."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+def replace_rows(rows: DataFrame, path: str, key: str = "doc_id", buckets: int = 64) -> None:
+    """Replace the rows of the keys at hand, leave all others. The table has ``buckets`` partitions
+    by a hash of the key; only those that hold one of the keys are written again."""
+    spark, bucket = rows.sparkSession, F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+    new = rows.withColumn("bucket", bucket)
+    if exists(spark, path):
+        touched = new.select("bucket").distinct()
+        old = spark.read.parquet(path).join(touched, "bucket", "left_semi").join(rows.select(key).distinct(), key, "left_anti")
+        # what is read here is replaced below, so it is written aside first
+        aside = scratch(spark, "replaced")
+        old.unionByName(new, allowMissingColumns=True).write.parquet(aside)
+        new = spark.read.parquet(aside)
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def append_rows(rows: DataFrame, path: str) -> None:

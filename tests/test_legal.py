@@ -75,7 +75,9 @@ def test_rules_are_normalised_and_checked(spark, tmp_path):
     assert files.scan_rules_csv(spark, str(tmp_path / "r.csv")).columns == ["rule_name", "rule_text"]
     (tmp_path / "v2").mkdir()
     (tmp_path / "v2" / "c.json").write_text(json.dumps({"rules": [{"rule_id": "T-1", "enabled": False}, {"rule_id": "T-2", "deterministic_checks": {"required_keywords": ["k"], "proximity_rules": [{"terms": ["a", "b"], "max_distance": 3}]}}]}))
-    checked = one(files.scan_rules_checked(spark, str(tmp_path / "v2")))
+    assert files.scan_rules_checked(spark, str(tmp_path / "v2")).count() == 0
+    checked = one(files.scan_rules_checked(spark, str(tmp_path / "v2"), keep_broken=True))
+    assert {"rule_id: pattern", "category: not allowed", "compliance_levels: required"} <= set(checked.issues)
     assert (checked.rule_id, checked.priority, checked.deterministic_checks.proximity_rules[0].max_distance) == ("T-2", "medium", 3)
 
 
@@ -191,9 +193,11 @@ def test_sinks(spark, tmp_path):
         assert {(r.doc_id, r.x) for r in tables.read_version(spark, path).collect()} == {(1, "a"), (2, "d"), (3, "e")}
     p2 = str(tmp_path / "p")
     tables.append_rows(old, str(tmp_path / "q"))
-    tables.replace_partitions(old, p2)
-    tables.replace_partitions(new.select("doc_id", "x", "ts").where("doc_id = 3"), p2)
-    assert spark.read.parquet(p2).count() == 3
+    tables.replace_rows(old, p2, buckets=2)
+    tables.replace_rows(new.select("doc_id", "x", "ts").where("doc_id = 3"), p2, buckets=2)
+    tables.replace_rows(new.select("doc_id", "x", "ts").where("x = 'd'"), p2, buckets=2)
+    assert {(r.doc_id, r.x) for r in spark.read.parquet(p2).collect()} == {(1, "a"), (2, "d"), (3, "e")}
+    assert len(tables._versions(spark, path)) == 2
     tables.write_run(old.withColumn("run_id", F.lit("r1")), str(tmp_path / "runs"))
     assert files.scan_run_logs(spark, str(tmp_path / "runs"), "doc_id long, x string, run_id string").count() == 2
 
