@@ -150,7 +150,9 @@ def q_negotiation_points(spark, sf_dir):
     return K.negotiation_points(flags(spark, sf_dir))
 
 
-@query("anchored_text")
+@query("anchored_text", """with c as (select doc_id, string_split(text, chr(10)) as xs from documents), l as (select doc_id, unnest(xs) as line, unnest(range(len(xs))) as i, len(xs) as n from c),
+b as (select doc_id, i // 5 as b, any_value(n) as n, string_agg(line, chr(10) order by i) as body from l group by all)
+select doc_id, cast(b + 1 as integer) as ordinal, chr(10) || body || chr(10) as text, cast(b + 2 as integer) as page from b where (b + 1) * 5 < n""")
 def q_anchored_text(spark, sf_dir):
     return P.anchored_text(P.anchor_lines(docs(spark, sf_dir), 5))
 

@@ -131,13 +131,18 @@ def q_no_clause_answer(spark, sf_dir):
     return grid.join(hit, ["doc_id", "question_id"], "left").select("doc_id", "question_id", F.when(F.col("hit").isNull(), "No clauses found").alias("answer"))
 
 
-@query("token_chunks")
+NTOK = r"len(regexp_extract_all(text, '[A-Za-z0-9]+|[^\sA-Za-z0-9]'))"
+
+
+@query("token_chunks", f"""with recursive {SENT}, t as (select doc_id, sent_id, {NTOK} as n, row_number() over (partition by doc_id order by sent_id) as r from sent),
+c as (select doc_id, r, 0 as chunk, sent_id as first, sent_id as last, n from t where r = 1
+  union all select t.doc_id, t.r, case when c.n + t.n <= 200 then c.chunk else c.chunk + 1 end, case when c.n + t.n <= 200 then c.first else t.sent_id end, t.sent_id, case when c.n + t.n <= 200 then c.n + t.n else t.n end from c join t on t.doc_id = c.doc_id and t.r = c.r + 1)
+select doc_id, cast(chunk as integer) as chunk, cast(max(first) as integer) as first, cast(max(last) as integer) as last, cast(max_by(n, r) as integer) as n_tokens from c group by doc_id, chunk""")
 def q_token_chunks(spark, sf_dir):
     s = sents(spark, sf_dir)
     return B.token_chunks(s.select("doc_id", "sent_id", B.token_count(F.col("text")).alias("n_tokens")), 200)
 
 
-NTOK = r"len(regexp_extract_all(text, '[A-Za-z0-9]+|[^\sA-Za-z0-9]'))"
 
 
 @query("token_count", f"select doc_id, {NTOK} as n_tokens from documents")
