@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from lexmill.llm.common import SPACE_CLASS, ascii_lower, keep
 
 SHINGLE, LEAST = 5, 0.8
-#: Items up to here have their index broadcast (some hundred bytes a word); more are joined.
-MOST_BROADCAST = 20_000
+#: Up to so many shingles of all items their index is broadcast (about a hundred bytes each); more are joined.
+MOST_BROADCAST = 500_000
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -37,7 +37,7 @@ def shingle_texts(w: Column) -> Column:
     return F.when(F.size(w) < SHINGLE, F.array().cast("array<string>")).otherwise(_shingles(w, lambda *x: F.concat_ws(" ", *x)))
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """doc_id, item_id, similarity, first_word: each benchmark item (item_id, text) that a document
     (doc_id, text) holds, at the place where it is most alike (the first, on ties).
 
@@ -48,10 +48,10 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     cut = items.where("item_id is not null").select("item_id", leak_words(F.col("text")).alias("w")).select("item_id", shingle_codes(F.col("w")).alias("h"), shingle_texts(F.col("w")).alias("texts"))
     cut = keep(cut, "items").where(F.size("h") > 0)
-    many = cut.count()
+    many = cut.agg(F.sum(F.size("h"))).first()[0] or 0
 
     def within_bound(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if many <= MOST_BROADCAST else df
+        return F.broadcast(df) if many <= most_broadcast else df
 
     index = cut.select("item_id", F.size("h").alias("length"), F.explode_outer(F.array_distinct("h")).alias("code"))
     texts = docs.where("doc_id is not null").select("doc_id", "text")

@@ -45,3 +45,15 @@ def test_copies_with_edited_edges_are_found(spark):
     got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.first_word) for r in decontaminate.leaks(frame(spark, docs), bench).collect()}
     want = brute(docs, items)
     assert len(want) > 80 and got == want
+    joined = decontaminate.leaks(frame(spark, docs), bench, most_broadcast=0).collect()
+    assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.first_word) for r in joined} == want
+
+
+def test_rows_without_id_repeated_ids_and_long_texts(spark):
+    item = " ".join("q%d" % i for i in range(30))
+    long = ["w%d" % (i % 7919) for i in range(30_000)]
+    texts = [(0, item), (0, "other text of the same id"), (1, None), (2, ""), (None, item), (3, " ".join([*long, item, *long])), (4, " ".join([item] * 40)), (5, item.upper()), (5, item.upper())]
+    docs = spark.createDataFrame([(d, t, 7, "x") for d, t in texts], "doc_id long, text string, item_id int, code string")
+    bench = spark.createDataFrame([(0, item, 1), (1, item, 1), (1, item, 1), (None, item, 1), (2, None, 1)], "item_id long, text string, doc_id int")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got == {(d, i): (1.0, at) for d, at in ((0, 0), (3, 30_000), (4, 0), (5, 0)) for i in (0, 1)}
