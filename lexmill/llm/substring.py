@@ -29,6 +29,8 @@ from lexmill.llm.common import give_back, mix64, partitions
 U = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so invertible modulo 2^64
 PROBE_BITS = 46
+#: A chunk is meant for so many bytes of text at most.
+CHUNK_BYTES = 32 << 20
 
 
 class Rolling:
@@ -199,7 +201,9 @@ def repeats(docs: DataFrame, window: int = 50, with_text: bool = False, carry: l
     doc_id take no part. Rows that share a doc_id are judged one by one and never against each other.
     """
     block, n = window // 2, partitions(docs.sparkSession)
-    chunks, shards = 2 * n, n
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    chunks = max(2 * n, -(-size // CHUNK_BYTES))  # so a task holds as much at every size
+    shards = max(n, chunks // 2)
     chunk = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(chunks)).cast("int").alias("chunk")
     carried = [F.struct(*carry).alias("carried")] if carry else []
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried).where("doc_id is not null").select("*", chunk)
