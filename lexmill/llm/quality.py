@@ -24,14 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import give_back, keep, mix64, partitions
+from lexmill.llm.common import give_back, keep, keep_by, mix64, partitions
 from lexmill.llm.substring import arrow, from_planes, pack_ascending, planes_of, shard_of, unpack_ascending
 
 U = np.uint64
 #: The context of a document's first word.
 START = U(0x9E3779B97F4A7C15)
 #: A bundle is closed beyond so many words; a shard is meant for so many words of the corpus.
-BUNDLE_WORDS, SHARD_WORDS = 1 << 19, 1 << 22
+BUNDLE_WORDS, SHARD_WORDS = 1 << 20, 1 << 22
 TRAINS, HELD, TOXIC = 1, 2, 3
 
 
@@ -98,7 +98,7 @@ def bundled(docs: DataFrame) -> DataFrame:
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string"))
-    return keep(rows.mapInArrow(run, BUNDLES), "bundles")
+    return keep_by(rows.mapInArrow(run, BUNDLES), "bundle", "bundles")
 
 
 class Bundle:
@@ -148,14 +148,14 @@ def unpack(data: bytes, bits: int) -> np.ndarray:
 
 
 def table_of(columns: list[np.ndarray]) -> bytes:
-    """Columns of unsigned 32-bit integers or floats, which may be long, one behind the other."""
-    return squeeze(b"".join(planes_of(c.astype("<f4" if c.dtype.kind == "f" else "<u4")) for c in columns))
+    """Columns of unsigned 32-bit integers, one behind the other."""
+    return squeeze(b"".join(planes_of(c.astype("<u4")) for c in columns))
 
 
-def columns_of(data: bytes, kinds: str) -> list[np.ndarray]:
+def columns_of(data: bytes, many: int) -> list[np.ndarray]:
     raw = expand(data)
-    n = len(raw) // len(kinds)
-    return [from_planes(raw[i * n : (i + 1) * n], "<f4" if k == "f" else "<u4") for i, k in enumerate(kinds)]
+    n = len(raw) // many
+    return [from_planes(raw[i * n : (i + 1) * n], "<u4") for i in range(many)]
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -196,7 +196,7 @@ def labelled_bundles(bundles: DataFrame, roles: DataFrame) -> DataFrame:
                 role[[f["at"] for f in r["flags"]]] = [f["role"] for f in r["flags"]]
                 yield from arrow(LABELLED, [(r["bundle"], role[role > 0].tobytes(), *b.of(role > 0))]).to_batches()
 
-    return keep(bundles.join(flags, "bundle").select("bundle", "flags", "sizes", "words", "stream").mapInArrow(run, LABELLED), "labelled")
+    return keep_by(bundles.join(flags, "bundle").select("bundle", "flags", "sizes", "words", "stream").mapInArrow(run, LABELLED), "bundle", "labelled")
 
 
 def count_pairs(labelled: DataFrame, bits: int, shards: int) -> DataFrame:
@@ -213,7 +213,7 @@ def count_pairs(labelled: DataFrame, bits: int, shards: int) -> DataFrame:
     def add(key: tuple, rows: pa.Table) -> pa.Table:
         sent = [unpack(x, bits) for x in rows.column("hashes").to_pylist()]
         values, first, where = np.unique(np.concatenate(sent), return_index=True, return_inverse=True)
-        total = np.bincount(where, np.concatenate([columns_of(x, "u")[0] for x in rows.column("counts").to_pylist()])).astype(np.int64)
+        total = np.bincount(where, np.concatenate([columns_of(x, 1)[0] for x in rows.column("counts").to_pylist()])).astype(np.int64)
         owned = np.zeros(len(where), np.int64)
         owned[first] = total
         edges = np.cumsum([0, *map(len, sent)])
@@ -233,7 +233,7 @@ def count_words(labelled: DataFrame, pairs: DataFrame, bits: int, shards: int) -
         trains = (role == TRAINS)[b.owner]
         _, first = np.unique(b.pairs(bits)[trains], return_index=True)
         replies = sorted(zip(answers.column("shard").to_pylist(), answers.column("counts").to_pylist(), strict=True))
-        n = np.concatenate([columns_of(x, "u")[0] for _, x in replies] or [np.empty(0, np.uint32)])
+        n = np.concatenate([columns_of(x, 1)[0] for _, x in replies] or [np.empty(0, np.uint32)])
         context, word, many = b.before()[trains][first], b.stream[trains][first], len(b.words)
         stats = [np.bincount(context, n, many)] + [np.bincount(context, (n == k) if k < 3 else (n > 2), many) for k in (1, 2, 3)] + [np.bincount(word, n > 0, many)]
         seen = np.unique(b.owner * many + b.stream)  # each word once a document
@@ -245,7 +245,7 @@ def count_words(labelled: DataFrame, pairs: DataFrame, bits: int, shards: int) -
 
     def add(key: tuple, rows: pa.Table) -> pa.Table:
         values, where = np.unique(np.concatenate([unpack(x, bits) for x in rows.column("hashes").to_pylist()]), return_inverse=True)
-        sent = [columns_of(x, "u" * STATS) for x in rows.column("counts").to_pylist()]
+        sent = [columns_of(x, STATS) for x in rows.column("counts").to_pylist()]
         total = [np.bincount(where, np.concatenate(c)).astype(np.int64) for c in zip(*sent, strict=True)]
         before = total[4]
         return arrow(SHARDS, [(key[0].as_py(), None, pack(values, bits), table_of(total), int(before.sum()), int((before > 0).sum()), *counts_of_counts(before))])
@@ -291,19 +291,15 @@ def score(bundles: DataFrame, pairs: DataFrame, words: DataFrame, documents: dic
     def answer(key: tuple, rows: pa.Table, held: pa.Table) -> pa.Table:
         tables = {r["kind"]: r for r in held.to_pylist()}  # at most one of pairs and one of words
         hashes = [unpack(tables[k]["hashes"], bits) if k in tables else np.empty(0, U) for k in (0, 1)]
-        pair_n = columns_of(tables[0]["counts"], "u")[0].astype(np.int64) if 0 in tables else None
-        stats = [c.astype(np.float64) for c in columns_of(tables[1]["counts"], "u" * STATS)] if 1 in tables else None
+        pair_n = columns_of(tables[0]["counts"], 1)[0].astype(np.int64) if 0 in tables else None
+        stats = columns_of(tables[1]["counts"], STATS) if 1 in tables else None
         out = []
         for bundle, p, w in zip(*(rows.column(c).to_pylist() for c in ("bundle", "hashes", "words")), strict=True):
             reply = [None, None]
             if p is not None:
                 reply[0] = table_of(look_up(hashes[0], unpack(p, bits), [pair_n])[:1])
             if w is not None:
-                n, a, b, c, before, good, bad = look_up(hashes[1], unpack(w, bits), stats)
-                unigram = np.where(before > 0, (before - low[np.minimum(before, 3).astype(int)]) / max(total, 1), 0) + unknown
-                mass = (off[1] * a + off[2] * b + off[3] * c) / np.maximum(n, 1)
-                ratio = np.log2((bad + 5) / (toxic + 10)) - np.log2((good + 5) / (trusted + 10))
-                reply[1] = table_of([n.astype(np.int64), unigram, mass, ratio])
+                reply[1] = table_of(look_up(hashes[1], unpack(w, bits), stats))
             out.append((key[0].as_py(), bundle, *reply))
         return arrow(ASKED, out)
 
@@ -313,10 +309,14 @@ def score(bundles: DataFrame, pairs: DataFrame, words: DataFrame, documents: dic
         replies = sorted(zip(*(answers.column(c).to_pylist() for c in ("shard", "hashes", "words")), strict=True), key=lambda x: x[0])
         _, pair_at = np.unique(b.pairs(bits), return_inverse=True)
         _, word_at = np.unique(cut(b.words, bits), return_inverse=True)
-        pair_n = np.concatenate([columns_of(x, "u")[0] for _, x, _ in replies if x is not None] or [np.empty(0)]).astype(np.int64)[pair_at]
-        n, unigram, mass, ratio = (np.concatenate(x)[word_at] for x in zip(*[columns_of(x, "ufff") for *_, x in replies if x is not None], strict=True))
-        context, p = b.before(), unigram[b.stream].astype(np.float64)
-        seen = n[context].astype(np.float64)
+        pair_n = np.concatenate([columns_of(x, 1)[0] for _, x, _ in replies if x is not None] or [np.empty(0)]).astype(np.int64)[pair_at]
+        sent = [columns_of(x, STATS) for *_, x in replies if x is not None]
+        n, once, twice, more, before, good, bad = (np.concatenate(x)[word_at].astype(np.float64) for x in zip(*sent, strict=True))
+        unigram = np.where(before > 0, (before - low[np.minimum(before, 3).astype(int)]) / max(total, 1), 0) + unknown
+        mass = (off[1] * once + off[2] * twice + off[3] * more) / np.maximum(n, 1)
+        ratio = np.log2((bad + 5) / (toxic + 10)) - np.log2((good + 5) / (trusted + 10))
+        context, p = b.before(), unigram[b.stream]
+        seen = n[context]
         p = np.where(seen > 0, (pair_n - off[np.minimum(pair_n, 3)]) / np.maximum(seen, 1) + mass[context] * p, p)
         cost = np.bincount(b.owner, -np.log2(p), len(b.sizes))
         highest = np.full(len(b.sizes), -np.inf)
