@@ -15,6 +15,7 @@ are compared with all entries.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -38,13 +39,17 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(width)
 
 
+@functools.lru_cache(maxsize=1024)
+def signs_of(width: int, table: int) -> np.ndarray:
+    return np.random.default_rng(1_000_003 * width + table).choice([-1.0, 1.0], (3, width))
+
+
 def rotate(x: np.ndarray, table: int) -> np.ndarray:
     """Pseudo-rotation number ``table``, zero-padded to a power of two."""
     width = 1 << max(0, (x.shape[1] - 1).bit_length())
     y = np.zeros((len(x), width))
     y[:, : x.shape[1]] = x
-    signs = np.random.default_rng(1_000_003 * width + table).choice([-1.0, 1.0], (3, width))
-    for s in signs:
+    for s in signs_of(width, table):
         y = hadamard(y * s)
     return y
 
@@ -86,8 +91,9 @@ def filed(vectors: DataFrame, tables: int, hashes: int, probes: int | None) -> D
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 100):
-                batch = whole.slice(at, 100)
+            step = 100 if probes else 2000  # many combinations of axes a query, one a vector
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 reps, lists = batch.column("rep").to_numpy(), batch.column("vector").to_pylist()
                 for dim, x, which in by_width(lists):
                     for slot in range(tables):
@@ -175,7 +181,7 @@ def best_of(slices: DataFrame, best: int) -> DataFrame:
     return slices.groupBy("slice").applyInArrow(run, FOUND)
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = 16, probes: int = 12, slice_pairs: int = 500_000, slice_entries: int = 20_000) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = 16, probes: int = 10, slice_pairs: int = 500_000, slice_entries: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of each row of ``vectors`` (vec_id,
     embedding) for which the Column ``is_query`` holds; never the row itself.
 
