@@ -27,6 +27,11 @@ def test_scans_read_only_what_they_need(spark, sf_dir):
     assert "ReadSchema: struct<value:double>" in text
 
 
+@pytest.mark.parametrize("name", ["sentences", "reference_sentences", "sentence_stats"])
+def test_sentences_are_numbered_without_a_shuffle(spark, sf_dir, name):
+    assert "Exchange" not in plan(registry.queries()[name](spark, sf_dir))
+
+
 def test_entry_points():
     import __spark_entry__ as e
 
