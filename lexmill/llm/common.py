@@ -43,6 +43,15 @@ def keep_by(df: DataFrame, column: str, tag: str) -> DataFrame:
     return found
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the files of a kept table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if "/lexmill" in folder:
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -65,6 +65,7 @@ def test_near_copies_equal_all_pairs(spark):
         texts.append(" ".join("z%d" % max(k, 2 * i) for k in range(120)))
     want = brute(texts)
     assert {r.doc_id: r.component_id for r in near_copies.near_copies(frame(spark, texts)).collect()} == want
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(frame(spark, texts), block=5).collect()} == want
     assert near_copies.near_copies(frame(spark, [])).count() == 0
 
 
