@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lexmill.llm.common import keep, partitions
+from lexmill.llm.common import keep
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -181,7 +181,7 @@ def best_of(slices: DataFrame, best: int) -> DataFrame:
     return slices.groupBy("slice").applyInArrow(run, FOUND)
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = 16, probes: int = 10, slice_pairs: int = 500_000, slice_entries: int = 20_000) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = 16, probes: int = 10, slice_pairs: int = 100_000, slice_entries: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of each row of ``vectors`` (vec_id,
     embedding) for which the Column ``is_query`` holds; never the row itself.
 
@@ -215,7 +215,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = 16, probes:
     bucket = ["dim", "slot", "code"]
     visits = filed(query_reps, tables, hashes, probes**hashes).withColumnRenamed("rep", "query")
     pairs = keep(visits.join(filed(entries, tables, hashes, None), bucket).select("query", "rep").distinct(), "pairs")
-    n_slices = max(partitions(vectors.sparkSession), -(-pairs.count() // slice_pairs), -(-shape[0] // slice_entries))
+    n_slices = max(1, -(-pairs.count() // slice_pairs), -(-shape[0] // slice_entries))
     put, nothing = F.pmod(F.xxhash64("rep"), F.lit(n_slices)).cast("int").alias("slice"), F.lit(None).cast("array<double>").alias("vector")
 
     def of(kind: int, df: DataFrame, *columns) -> DataFrame:
