@@ -26,11 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def keep(df: DataFrame, tag: str) -> DataFrame:
+def keep(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexmill-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

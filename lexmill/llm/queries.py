@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm import ann, chat_format, decontaminate, licenses, packing, quality, simhash, substring, token_file, url_rules
+from lexmill.llm import ann, chat_format, chat_repair, decontaminate, licenses, packing, phrases, quality, repeats, simhash, substring, token_file, url_rules
 from lexmill.llm.common import table
 from lexmill.llm.tokens import public_path
 
@@ -64,6 +64,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(table(spark, sf_dir, "documents"), length=400)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair_chats(chat_repair.damage(table(spark, sf_dir, "conversations"))).drop("repaired")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_file": op1_token_file,
     "op2_ann": op2_ann,
@@ -75,6 +87,9 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": op8_chat_format,
     "op9_url_rules": op9_url_rules,
     "op10_decontaminate": op10_decontaminate,
+    "op11_suffix_repeats": op11_suffix_repeats,
+    "op12_phrases": op12_phrases,
+    "op13_chat_repair": op13_chat_repair,
 }
 
 OP8_SQL = """
@@ -117,4 +132,27 @@ select page_id, host, path, rule, case
 from r
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_chat_format": OP8_SQL, "op9_url_rules": OP9_SQL}
+OP12_SQL = r"""
+with low as (
+  select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+pieces as (select lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) as piece from low),
+cut as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
+grams as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) as g from cut, (select unnest([1, 2, 3, 4]) as k) where len(w) >= k),
+f as (select lang, k, g, count(*) as f from grams group by all),
+n as (select lang, sum(f) as n from f where k = 1 group by lang),
+c as (select * from f where k >= 2 and f >= 30),
+inner_parts as (select lang, k, unnest(list_concat([g[1:k - 1], g[2:k]], case when k = 4 then [g[1:2], g[2:3], g[3:4]] else [] end)) as g, f from c where k >= 3),
+hidden as (select c.lang, c.g from c join inner_parts p on p.lang = c.lang and p.g = c.g where 100::hugeint * p.f >= 80::hugeint * c.f group by all),
+ends as (select lang, k, g, f, unnest(range(1, k)) as j from c),
+parted as (select *, g[1:j] as head, g[j + 1:k] as tail from ends),
+cuts as (
+  select p.lang, p.g, p.f as a, j, l.f as l, r.f as r, cast(2000000::hugeint * p.f // (l.f::hugeint + r.f) as bigint) as score
+  from parted p join f l on l.lang = p.lang and l.g = p.head join f r on r.lang = p.lang and r.g = p.tail),
+best as (select * from cuts qualify row_number() over (partition by lang, g order by score, j) = 1),
+ranked as (
+  select b.lang, array_to_string(b.g, ' ') as phrase, a, l, r, score, row_number() over (partition by b.lang order by score desc, a desc, array_to_string(b.g, ' ')) as rank
+  from best b anti join hidden h on h.lang = b.lang and h.g = b.g)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, score from ranked join n using (lang) where rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_chat_format": OP8_SQL, "op9_url_rules": OP9_SQL, "op12_phrases": OP12_SQL}
