@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexmill.functions import lexicons as L
+from lexmill.operators.matches import matches
 from lexmill.operators.text import word_count
 
 WEIGHTS = {"critical": 100, "high": 75, "medium": 50, "low": 25}
@@ -23,6 +24,17 @@ def red_flag_hits(sents: DataFrame, flags: list[tuple] = L.RED_FLAGS) -> DataFra
     return sents.select("doc_id", "sent_id", F.explode(F.filter(F.array(*cells), lambda x: x["hits"] > 0)).alias("x")).select("doc_id", "sent_id", "x.*")
 
 
+def red_flags(sents: DataFrame, flags: list[tuple] = L.RED_FLAGS, around: int = 50) -> DataFrame:
+    """doc_id, sent_id, ordinal, category, severity, title, action, impact, pos, end, detected_text, location
+    of every match. The location names ``section_name`` and ``page_number`` where the sentences have them."""
+    parts = [F.concat(F.lit(label), F.nullif(F.col(c).cast("string"), F.lit(""))) for label, c in (("Section: ", "section_name"), ("Page: ", "page_number")) if c in sents.columns]
+    location = F.coalesce(F.nullif(F.concat_ws(", ", *parts), F.lit("")), F.lit("Unknown location")) if parts else F.lit("Unknown location")
+    found = matches(sents.select("doc_id", "sent_id", "text", location.alias("location")), [(f[0], "regex", f[2]) for f in flags], around)
+    of = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("category", "severity", "title", "action", "impact"), (f[0], f[1], *f[3:]), strict=True)]) for f in flags])
+    x = F.get(of, F.col("ordinal"))
+    return found.select("doc_id", "sent_id", "ordinal", *[x[k].alias(k) for k in ("category", "severity", "title", "action", "impact")], "pos", "end", F.trim("context").alias("detected_text"), "location")
+
+
 def red_flag_counts(hits: DataFrame) -> DataFrame:
     return hits.groupBy("doc_id").pivot("severity", ["critical", "high", "medium"]).agg(F.sum("hits")).na.fill(0)
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexmill.operators.matches import matches
+
 #: Fixed values.
 STATUS_SYNONYMS = {"compliant": "compliant", "yes": "compliant", "pass": "compliant", "true": "compliant", "non_compliant": "non_compliant", "non-compliant": "non_compliant", "no": "non_compliant", "fail": "non_compliant", "false": "non_compliant", "not_applicable": "not_applicable", "n/a": "not_applicable", "na": "not_applicable", "unknown": "unknown"}
 SEVERITIES = ["low", "medium", "high", "critical"]
@@ -124,6 +126,30 @@ def _sum(parts: list[Column]) -> Column:
     return out
 
 
+def keyword_matches(docs: DataFrame, rules: list[Checks], around: int = 50) -> DataFrame:
+    """doc_id, rule_id, kind, pattern, pos, end, context, confidence: every occurrence of a required word
+    (1.0), and the first of each forbidden one (-1.0)."""
+    asked = [(r.rule_id, kind, w) for r in rules for kind, ws in (("keyword", r.required), ("forbidden", r.forbidden)) for w in ws]
+    return _placed(docs, asked, {"keyword": "word", "forbidden": "first"}, around)
+
+
+def regex_matches(docs: DataFrame, rules: list[Checks], around: int = 50) -> DataFrame:
+    """The same columns of every match of the rules' patterns (0.9)."""
+    return _placed(docs, [(r.rule_id, "regex", p) for r in rules for p in r.patterns], {"regex": "regex"}, around)
+
+
+def _placed(docs: DataFrame, asked: list[tuple[str, str, str]], kinds: dict[str, str], around: int) -> DataFrame:
+    """One search per distinct pattern; a pattern that several rules share is handed to each afterwards."""
+    searches = sorted({(kind, p) for _, kind, p in asked})
+    owners = [[r for r, kind, p in asked if (kind, p) == s] for s in searches]
+    found = matches(docs.select("doc_id", "text"), [(p, kinds[kind], p) for kind, p in searches], around)
+    of = F.array(*[F.array(*map(F.lit, o)) for o in owners])
+    kind = F.element_at(F.array(*[F.lit(k) for k, _ in searches]), F.col("ordinal") + 1)
+    confidence = F.when(kind == "keyword", 1.0).when(kind == "forbidden", -1.0).otherwise(0.9)
+    rows = found.select("doc_id", F.explode(F.get(of, F.col("ordinal"))).alias("rule_id"), kind.alias("kind"), F.col("name").alias("pattern"), "pos", "end", "context", confidence.alias("confidence"))
+    return rows
+
+
 def keyword_hits(docs: DataFrame, rules: list[Checks]) -> DataFrame:
     """doc_id, rule_id, required_hits, required_found, forbidden_hits; one pass over the texts."""
     low = F.lower("text")
@@ -214,6 +240,42 @@ def deterministic_verdicts(docs: DataFrame, sents: DataFrame, rules: list[Checks
     return scored.select(*keys, status.alias("status"), F.when(banned, 0.9).otherwise(F.col("mean")).alias("confidence"), conclusive.alias("conclusive"))
 
 
+#: Wording that forbids, and wording that asks.
+PROHIBITING = ["must not", "prohibit", "shall not", "no "]
+REQUIRING = ["must ", "shall ", "require "]
+
+
+def intent_evidence(sents: DataFrame, rules: list[tuple[str, str, list[str]]], most_quotes: int = 5, most_spans: int = 3) -> DataFrame:
+    """doc_id, rule_id, status, rationale, citations, violating_spans of rules (rule_id, rule_text, keywords)
+    whose wording forbids or asks, in documents with a sentence that holds a keyword.
+
+    Citations are the first ``most_quotes`` such sentences (sent_id, text, anchor), violating spans the first
+    ``most_spans`` where the wording forbids. The first sentences are picked while rows are still apart, so
+    no task holds more of a document than those.
+    """
+    low, cells = F.lower("text"), []
+    for rule_id, rule_text, words in rules:
+        said = rule_text.lower()
+        intent = "prohibit" if any(p in said for p in PROHIBITING) else "require" if any(p in said for p in REQUIRING) else None
+        if intent and words:
+            cells.append(F.when(low.rlike("|".join(re.escape(w.lower()) for w in words)), F.struct(F.lit(rule_id).alias("rule_id"), F.lit(intent).alias("intent"))))
+    if not cells:
+        cells = [F.lit(None).cast("struct<rule_id:string,intent:string>")]
+    hits = sents.select("doc_id", "sent_id", "text", F.explode(F.array_compact(F.array(*cells))).alias("x")).select("doc_id", "x.rule_id", "x.intent", "sent_id", F.trim("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("doc_id", "rule_id").orderBy("sent_id"))
+    first = hits.withColumn("k", rank).where(F.col("k") <= max(most_quotes, most_spans))
+    anchor = F.nullif(F.regexp_extract("text", r"\[\[page=\d+\]\]", 0), F.lit(""))
+    quotes = F.array_sort(F.collect_list(F.struct("sent_id", "text", anchor.alias("anchor"))))
+    rows = first.groupBy("doc_id", "rule_id", "intent").agg(quotes.alias("quotes"))
+    forbids = F.col("intent") == "prohibit"
+    spans = F.when(forbids, F.transform(F.slice("quotes", 1, most_spans), lambda q: q["text"])).otherwise(F.array().cast("array<string>"))
+    rationale = F.when(forbids, "The document holds what the rule forbids").otherwise("The document holds what the rule asks for")
+    return rows.select(
+        "doc_id", "rule_id", F.when(forbids, "non_compliant").otherwise("compliant").alias("status"), rationale.alias("rationale"),
+        F.slice("quotes", 1, most_quotes).alias("citations"), spans.alias("violating_spans"),
+    )
+
+
 def intent_verdicts(docs: DataFrame, rules: list[tuple[str, str, list[str]]]) -> DataFrame:
     """Prohibiting or requiring wording of (rule_id, rule_text, keywords) against the words' presence."""
     cells = []

@@ -104,16 +104,48 @@ def q_dedupe_rules(spark, sf_dir):
     return V.dedupe_rules(table(spark, sf_dir, "part").select(F.col("p_brand").alias("rule_id"), F.col("p_type").alias("rule_text"), F.col("p_partkey").alias("file_order")), "file_order")
 
 
-@query("keyword_hits", f"with {SENT}, {HITS} select doc_id, rule_id, required_hits, required_found, forbidden_hits from khits")
-def q_keyword_hits(spark, sf_dir):
+@query("keyword_counts", f"with {SENT}, {HITS} select doc_id, rule_id, required_hits, required_found, forbidden_hits from khits")
+def q_keyword_counts(spark, sf_dir):
     return V.keyword_hits(docs(spark, sf_dir), CHECKS)
 
 
-@query("regex_hits", f"with {SENT}, {HITS} select * from rhits where hits > 0")
-def q_regex_hits(spark, sf_dir):
+@query("regex_counts", f"with {SENT}, {HITS} select * from rhits where hits > 0")
+def q_regex_counts(spark, sf_dir):
     return V.regex_hits(docs(spark, sf_dir), CHECKS)
 
 
+CONTEXT = "substr(text, greatest(pos - 50, 0) + 1, \"end\" + 50 - greatest(pos - 50, 0)) as context"
+
+
+def _word_rows(kind: str, c: V.Checks, w: str) -> str:
+    picked = "[1:1]" if kind == "forbidden" else ""
+    score = "-1.0" if kind == "forbidden" else "1.0"
+    return f"select doc_id, text, '{c.rule_id}' as rule_id, '{kind}' as kind, '{w}' as pattern, unnest(list_filter(range(0, length(low)), lambda i: substr(low, i + 1, {len(w)}) = '{w}'){picked}) as pos, {len(w)} as n, {score}::double as confidence from low where contains(low, '{w}')"
+
+
+_word_sql = " union all ".join(_word_rows(kind, c, w) for c in CHECKS for kind, ws in (("keyword", c.required), ("forbidden", c.forbidden)) for w in ws)
+
+
+@query("keyword_hits", f"""with low as (select doc_id, lower(text) as low, text from documents), k as ({_word_sql}), p as (select *, pos + n as "end" from k)
+select doc_id, rule_id, kind, pattern, cast(pos as integer) as pos, cast("end" as integer) as "end", {CONTEXT}, confidence from p""")
+def q_keyword_hits(spark, sf_dir):
+    return V.keyword_matches(docs(spark, sf_dir), CHECKS)
+
+
+def _regex_rows(c: V.Checks, p: str) -> str:
+    return f"""select doc_id, text, '{c.rule_id}' as rule_id, '{p}' as pattern, unnest(list_transform(range(1, len(found) + 1), lambda i: cast(list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) as bigint))) as pos, unnest(list_transform(found, lambda x: length(x))) as n
+  from (select doc_id, text, regexp_extract_all(text, '(?i){p}') as found, string_split_regex(text, '(?i){p}') as pieces from documents) where len(found) > 0"""
+
+
+_regex_sql = " union all ".join(_regex_rows(c, p) for c in CHECKS for p in c.patterns)
+
+
+@query("regex_hits", f"""with k as ({_regex_sql}), p as (select *, pos + n as "end" from k)
+select doc_id, rule_id, 'regex' as kind, pattern, cast(pos as integer) as pos, cast("end" as integer) as "end", {CONTEXT}, 0.9::double as confidence from p""")
+def q_regex_hits(spark, sf_dir):
+    return V.regex_matches(docs(spark, sf_dir), CHECKS)
+
+
 @query("proximity_hits", f"with {SENT}, {HITS} select * from nhits")
 def q_proximity_hits(spark, sf_dir):
     return V.proximity_hits(docs(spark, sf_dir), CHECKS)
@@ -137,12 +169,29 @@ def q_conclusive_rate(spark, sf_dir):
 INTENTS = [("r_token", "Texts must not hold a token", ["token"]), ("r_license", "Texts shall name a license", ["license"])]
 
 
-@query("intent_verdict", """select doc_id, 'r_token' as rule_id, case when contains(lower(text), 'token') then 'non_compliant' else 'compliant' end as status from documents
+@query("intent_status", """select doc_id, 'r_token' as rule_id, case when contains(lower(text), 'token') then 'non_compliant' else 'compliant' end as status from documents
 union all select doc_id, 'r_license', case when contains(lower(text), 'license') then 'compliant' else 'non_compliant' end from documents""")
-def q_intent_verdict(spark, sf_dir):
+def q_intent_status(spark, sf_dir):
     return V.intent_verdicts(docs(spark, sf_dir), INTENTS)
 
 
+INTENT_RULES = [("r_token", "Texts must not hold a token", ["token", "api_key"]), ("r_license", "Texts shall name a license", ["License", "(c)"]), ("r_open", "Texts may name anyone", ["the"])]
+
+
+def _intent_rows(rule: tuple[str, str, list[str]], forbids: bool) -> str:
+    hit = " or ".join(f"contains(lower(text), '{w.lower()}')" for w in rule[2])
+    return f"select doc_id, '{rule[0]}' as rule_id, {forbids} as forbids, sent_id, trim(text, ' ') as text, row_number() over (partition by doc_id order by sent_id) as k from sent where {hit}"
+
+
+@query("intent_verdict", f"""with {SENT}, h as ({_intent_rows(INTENT_RULES[0], True)} union all {_intent_rows(INTENT_RULES[1], False)})
+select doc_id, rule_id, case when forbids then 'non_compliant' else 'compliant' end as status,
+  case when forbids then 'The document holds what the rule forbids' else 'The document holds what the rule asks for' end as rationale,
+  list({{'sent_id': sent_id, 'text': text, 'anchor': nullif(regexp_extract(text, '\\[\\[page=\\d+\\]\\]'), '')}} order by sent_id) filter (k <= 5) as citations,
+  case when forbids then list(text order by sent_id) filter (k <= 3) else []::varchar[] end as violating_spans from h group by doc_id, rule_id, forbids""")
+def q_intent_verdict(spark, sf_dir):
+    return V.intent_evidence(sents(spark, sf_dir), INTENT_RULES)
+
+
 @query("not_addressed", f"""with {SECTIONS} select d.doc_id, r.rule_id, 'not_applicable' as status, 0.9::double as confidence from documents d, rules r
 where not exists (select 1 from sections s where s.doc_id = d.doc_id and s.rule_id = r.rule_id)""")
 def q_not_addressed(spark, sf_dir):

@@ -195,11 +195,26 @@ def flags(spark, sf_dir):
     return K.red_flag_hits(sents(spark, sf_dir), FLAG_PACK)
 
 
-@query("red_flag_hits", f"with {FLAG_CTE} select * from fl")
-def q_red_flag_hits(spark, sf_dir):
+@query("red_flag_totals", f"with {FLAG_CTE} select * from fl")
+def q_red_flag_totals(spark, sf_dir):
     return flags(spark, sf_dir)
 
 
+def _flag_rows(n: int, flag: tuple) -> str:
+    c, s, p, t, a, i = flag
+    return f"""select doc_id, sent_id, text, {n} as ordinal, '{c}' as category, '{s}' as severity, '{t}' as title, '{a}' as action, '{i}' as impact, unnest(list_transform(range(1, len(found) + 1), lambda i: cast(list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) as bigint))) as pos, unnest(list_transform(found, lambda x: length(x))) as n
+  from (select doc_id, sent_id, text, regexp_extract_all(text, '(?i){p}') as found, string_split_regex(text, '(?i){p}') as pieces from sent) where len(found) > 0"""
+
+
+_flag_sql = " union all ".join(_flag_rows(n, f) for n, f in enumerate(FLAG_PACK))
+
+
+@query("red_flag_hits", f"""with {SENT}, k as ({_flag_sql}) select doc_id, sent_id, ordinal, category, severity, title, action, impact, cast(pos as integer) as pos, cast(pos + n as integer) as "end",
+  trim(substr(text, greatest(pos - 50, 0) + 1, pos + n + 50 - greatest(pos - 50, 0)), ' ') as detected_text, 'Page: ' || (sent_id // 10 + 1) as location from k""")
+def q_red_flag_hits(spark, sf_dir):
+    return K.red_flags(sents(spark, sf_dir).withColumn("page_number", (F.floor(F.col("sent_id") / 10) + 1).cast("int")), FLAG_PACK)
+
+
 @query("red_flag_counts", f"with {COUNT_CTE} select * from fc")
 def q_red_flag_counts(spark, sf_dir):
     return K.red_flag_counts(flags(spark, sf_dir))
