@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexmill.operators.pages import ANCHOR, estimate_page
+from lexmill.operators.retrieval import literal
 from lexmill.operators.text import strip
 
 
@@ -152,7 +153,7 @@ def citation_location(section: Column, page: Column, sentence_id: Column) -> Col
 
 def fallback_citation(sents: DataFrame, keywords: list[str]) -> DataFrame:
     """The first sentence per document with a keyword, those with a page first, at .4."""
-    hits = sents.where(F.lower("text").rlike("|".join(keywords)))
+    hits = sents.where(F.lower("text").rlike(literal(keywords)))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("page").isNull(), "sent_id"))
     return hits.withColumn("r", rank).where("r = 1").select("doc_id", "sent_id", "page", F.lit(0.4).alias("confidence"))
 

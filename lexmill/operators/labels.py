@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexmill.operators.retrieval import token_array
+from lexmill.operators.retrieval import beside, literal, token_array
 
 
 def canonical_label(labels: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -22,24 +22,82 @@ def allowed_labels(classes: Column, allowed: list[str]) -> Column:
     return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit("none")))
 
 
-def label_sentences(sents: DataFrame, keywords: DataFrame, most_words: int = 3) -> DataFrame:
-    """doc_id, sent_id, classes: labels whose keyword (label, keyword) stands in the sentence.
+#: Taxonomies of up to so many keywords are walked inside each row; larger ones are joined.
+MOST_KEYWORDS = 10_000
 
-    Keywords of up to ``most_words`` words meet the sentence's word runs of that length by equality.
+
+def taxonomy(keywords: DataFrame, compounds: DataFrame | None = None) -> DataFrame:
+    """label, n, run: keywords (label, keyword), and compound terms (keyword, labels) that stand for several
+    labels, cut into words as sentences are. Keywords without a letter or digit have no words and go."""
+    rows = keywords.select("label", "keyword")
+    if compounds is not None:
+        rows = rows.unionByName(compounds.select(F.explode("labels").alias("label"), "keyword"))
+    cut = rows.select("label", token_array(F.col("keyword")).alias("w")).where(F.size("w") > 0)
+    return cut.select("label", F.size("w").alias("n"), F.array_join("w", " ").alias("run")).distinct()
+
+
+def label_sentences(sents: DataFrame, keywords: DataFrame, compounds: DataFrame | None = None) -> DataFrame:
+    """doc_id, sent_id, classes: labels of the keywords and compound terms that stand in the sentence, as a run
+    of its words, of any length.
+
+    The taxonomy is a trie of words whose nodes are named by the words that lead there. Each sentence walks
+    it in its own row, from every word at once: level by level only those starts stay whose run leads to a
+    node, looked up by hash. Nothing is exploded, joined or shuffled. Only beyond MOST_KEYWORDS runs of words
+    are joined with the taxonomy.
     """
-    t = token_array(F.col("text"))
-    runs = F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - n + 1, F.lit(1))), _run("t", n)) for n in range(1, most_words + 1)
-    ]))
-    rows = sents.select("doc_id", "sent_id", t.alias("t")).select("doc_id", "sent_id", F.explode(F.array_distinct(runs)).alias("keyword"))
-    hits = rows.join(keywords.select("label", F.lower("keyword").alias("keyword")).distinct(), "keyword")
-    return hits.groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_set("label")).alias("classes"))
+    keys = taxonomy(keywords, compounds)
+    known = keys.limit(MOST_KEYWORDS + 1).collect()
+    t = sents.select("doc_id", "sent_id", token_array(F.col("text")).alias("t"))
+    if len(known) > MOST_KEYWORDS:
+        return _label_by_join(t, keys)
+    if not known:
+        return t.where(F.lit(False)).select("doc_id", "sent_id", F.array().cast("array<string>").alias("classes"))
+    whole: dict[int, set[str]] = {}
+    nodes: dict[int, set[str]] = {}
+    for r in known:
+        words = r.run.split(" ")
+        whole.setdefault(r.n, set()).add(r.run)
+        for d in range(1, r.n + 1):
+            nodes.setdefault(d, set()).add(" ".join(words[:d]))
+    rows, found = t.withColumn("at", F.filter(F.transform("t", lambda w, i: F.when(w.isin(sorted(nodes[1])), i + 1)), lambda i: i.isNotNull())), []
+    rows = rows.where(F.size("at") > 0)
+    for d in range(1, max(nodes) + 1):
+        run = _run("t", d)
+        if d in whole:
+            rows = rows.withColumn(f"found{d}", F.filter(F.transform("at", run), _within(whole[d])))
+            found.append(f"found{d}")
+        if d + 1 in nodes:
+            rows = rows.withColumn("at", F.filter("at", _leads_to("t", d + 1, nodes[d + 1])))
+    runs_of: dict[str, list[str]] = {}
+    for r in known:
+        runs_of.setdefault(r.label, []).append(r.run)
+    hits = rows.select("doc_id", "sent_id", F.flatten(F.array(*found)).alias("hits")).where(F.size("hits") > 0)
+    classes = F.array_compact(F.array(*[F.when(F.arrays_overlap("hits", F.array(*map(F.lit, sorted(runs_of[k])))), k) for k in sorted(runs_of)]))
+    return hits.select("doc_id", "sent_id", classes.alias("classes"))
 
 
 def _run(column: str, n: int):
     return lambda i: F.array_join(F.slice(F.col(column), i, n), " ")
 
 
+def _within(runs: set[str]):
+    return lambda r: r.isin(sorted(runs))
+
+
+def _leads_to(column: str, n: int, runs: set[str]):
+    return lambda i: _run(column, n)(i).isin(sorted(runs))
+
+
+def _label_by_join(t: DataFrame, keys: DataFrame) -> DataFrame:
+    """The same for large taxonomies: runs of the keywords' lengths whose first word opens a keyword."""
+    sizes = [r.n for r in keys.select("n").distinct().collect()]  # lengths of keywords
+    heads = beside(keys.select(F.split("run", " ")[0].alias("head")).distinct())
+    starts = t.select("doc_id", "sent_id", "t", F.posexplode("t").alias("i", "head")).join(heads, "head", "left_semi")
+    runs = F.array(*[F.when(F.size("t") - F.col("i") >= n, F.array_join(F.slice("t", F.col("i") + 1, n), " ")) for n in sizes])
+    rows = starts.select("doc_id", "sent_id", F.explode(F.array_compact(runs)).alias("run"))
+    return rows.join(beside(keys.select("run", "label")), "run").groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_set("label")).alias("classes"))
+
+
 def label_batches(sents: DataFrame, size: int = 8) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("sent_id")
     return sents.select("doc_id", "sent_id", F.floor((F.row_number().over(order) - 1) / size).cast("int").alias("batch"))
@@ -107,7 +165,7 @@ def keyword_fallback(sents: DataFrame, questions: dict[str, list[str]], answered
     """Questions without labelled sentences: up to ``most`` sentences (doc_id, sent_id, text, page) by
     keyword, those with a page first, in document order."""
     low = F.lower("text")
-    cells = [F.struct(F.lit(q).alias("question_id"), low.rlike("|".join(ks)).alias("hit")) for q, ks in questions.items()]
+    cells = [F.struct(F.lit(q).alias("question_id"), low.rlike(literal(ks)).alias("hit")) for q, ks in questions.items()]
     hits = sents.withColumn("x", F.explode(F.array(*cells))).where("x.hit").select("x.question_id", "doc_id", "sent_id", "text", "page")
     open_ = hits.join(answered.select("question_id", "doc_id").distinct(), ["question_id", "doc_id"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("question_id", "doc_id").orderBy(F.col("page").isNull(), "sent_id"))
@@ -117,20 +175,37 @@ def keyword_fallback(sents: DataFrame, questions: dict[str, list[str]], answered
 def token_chunks(sents: DataFrame, budget: int = 2000) -> DataFrame:
     """Greedy chunks of whole sentences (doc_id, sent_id, n_tokens): doc_id, chunk, first, last, n_tokens.
 
-    A chunk closes when the next sentence would exceed the budget; such resets make it a fold.
+    A chunk closes when the next sentence would exceed the budget. Sums of tokens run in a window; within a
+    document's row each chunk's end is then found by bisection over those sums, so the work is linear in
+    the sentences and in the chunks (two neighbouring chunks exceed the budget together, which bounds
+    their number), not in their product.
     """
-    rows = sents.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_id", F.col("n_tokens").cast("int").alias("n")))).alias("s"))
-    kind = "array<struct<first:int,last:int,n:int>>"
+    order = Window.partitionBy("doc_id").orderBy("sent_id").rowsBetween(Window.unboundedPreceding, 0)
+    summed = sents.select("doc_id", "sent_id", F.sum(F.col("n_tokens").cast("long")).over(order).alias("through"))
+    rows = summed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_id", "through"))).alias("s"))
+    rows = rows.select("doc_id", F.col("s.sent_id").alias("ids"), F.col("s.through").alias("through"), F.size("s").alias("n"))
+    through = lambda i: F.when(i > 0, F.get("through", i - 1)).otherwise(F.lit(0))  # tokens before sentence i
+
+    def next_start(a: Column) -> Column:
+        most = through(a) + budget
+
+        def halve(s: Column, _: Column) -> Column:
+            mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+            over = F.get("through", mid) > most
+            return F.when(s["low"] >= s["high"], s).otherwise(F.struct(F.when(over, s["low"]).otherwise(mid + 1).alias("low"), F.when(over, mid).otherwise(s["high"]).alias("high")))
+
+        steps = F.sequence(F.lit(0), F.ceil(F.log2(F.col("n") + 1)).cast("int"))
+        found = F.aggregate(steps, F.struct(a.alias("low"), F.col("n").alias("high")), halve)
+        return F.greatest(found["low"], a + 1)  # a sentence over the budget is a chunk of its own
 
-    def step(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        fits = (F.size(done) > 0) & (last["n"] + x["n"] <= budget)
-        grown = F.struct(last["first"].alias("first"), x["sent_id"].alias("last"), (last["n"] + x["n"]).alias("n"))
-        own = F.struct(x["sent_id"].alias("first"), x["sent_id"].alias("last"), x["n"].alias("n"))
-        return F.when(fits, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(own)))
+    def step(starts: Column, _: Column) -> Column:
+        last = F.element_at(starts, -1)
+        return F.when(last >= F.col("n"), starts).otherwise(F.array_append(starts, next_start(last)))
 
-    folded = rows.select("doc_id", F.posexplode(F.aggregate("s", F.array().cast(kind), step)).alias("chunk", "x"))
-    return folded.select("doc_id", "chunk", "x.first", "x.last", F.col("x.n").alias("n_tokens"))
+    bound = F.sequence(F.lit(0).cast("long"), 2 * F.floor(F.element_at("through", -1) / budget) + 1)
+    cut = rows.withColumn("starts", F.aggregate(bound, F.array(F.lit(0)), step))
+    one = cut.select("doc_id", "ids", "through", "starts", F.posexplode(F.slice("starts", F.lit(1), F.size("starts") - 1)).alias("chunk", "a")).withColumn("b", F.get("starts", F.col("chunk") + 1))
+    return one.select("doc_id", "chunk", F.get("ids", F.col("a")).alias("first"), F.get("ids", F.col("b") - 1).alias("last"), (through(F.col("b")) - through(F.col("a"))).cast("int").alias("n_tokens"))
 
 
 def token_count(text: Column) -> Column:
@@ -147,6 +222,35 @@ def context_budget(clauses: DataFrame, budget: int) -> DataFrame:
     return kept.groupBy("doc_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("context"))
 
 
+def question_context(target: DataFrame, reference: DataFrame, budget: int, none: str = "No relevant clauses found.") -> DataFrame:
+    """doc_id, question_id, target, reference, tokens: numbered clauses (doc_id, question_id, sent_id, text) of
+    both sides within one budget.
+
+    The target may take half the budget; what its text leaves of the whole budget is the reference's.
+    A side ends before the first clause that would exceed its part. A question is in the result if the target
+    has a clause for it, fitting or not; a target without a fitting clause says ``none``, which costs its
+    tokens as well; a reference without one is null. The reference's limit is known only after the target's
+    sums, so its sums run in a second pass, and clauses meet the limit by an equality of keys.
+    """
+    keys = ["doc_id", "question_id"]
+
+    def numbered(side: DataFrame) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy("sent_id")
+        lines = side.select(*keys, "sent_id", "text", F.row_number().over(order).alias("k")).withColumn("line", F.concat(F.col("k").cast("string"), F.lit(". "), "text"))
+        return lines.withColumn("used", F.sum(token_count(F.col("line"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def joined(lines: Column) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(lines)), lambda x: x["line"]), "\n")
+
+    fits = F.when(F.col("used") <= budget // 2, F.struct("k", "line"))
+    first = numbered(target).groupBy(*keys).agg(joined(fits).alias("target"))
+    first = first.withColumn("target", F.coalesce(F.nullif("target", F.lit("")), F.lit(none))).withColumn("left", budget - token_count(F.col("target")))
+    met = numbered(reference).join(first.select(*keys, "left"), keys).where(F.col("used") <= F.col("left"))
+    second = met.groupBy(*keys).agg(joined(F.struct("k", "line")).alias("reference"))
+    both = first.join(second, keys, "left")
+    return both.select(*keys, "target", "reference", (token_count(F.col("target")) + F.coalesce(token_count(F.col("reference")), F.lit(0))).alias("tokens"))
+
+
 def deviation_flag(target: DataFrame, reference: DataFrame) -> DataFrame:
     """question_id, target, reference, deviates: clause counts of both sides."""
     a = target.groupBy("question_id").agg(F.count("*").alias("target"))

@@ -7,6 +7,7 @@ tokens; nothing compares every query with every sentence.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,21 @@ K1, B = 1.5, 0.75
 MOST_TERMS = 10_000
 
 
+#: Dimensions of up to so many rows are broadcast; larger ones are shuffled.
+MOST_BROADCAST = 100_000
+
+
+def beside(dim: DataFrame) -> DataFrame:
+    """``dim`` with a broadcast hint if counting shows that it is small; otherwise a hint for a merge join,
+    so that the other side, which grows with the corpus, is never broadcast in its place."""
+    return F.broadcast(dim) if dim.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else dim.hint("merge")
+
+
+def literal(words: list[str]) -> str:
+    """A pattern for lower-case text that finds any of the words as it stands, whatever its signs and case."""
+    return "|".join(re.escape(w.lower()) for w in words) or "(?!)"
+
+
 def token_array(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), 0)
 
@@ -25,13 +41,20 @@ def tokens(sents: DataFrame) -> DataFrame:
     return sents.select("doc_id", "sent_id", F.explode(token_array(F.col("text"))).alias("token"))
 
 
+def counted_tokens(own: Column) -> Column:
+    """Distinct tokens of an array with their counts; the array is sorted once, equal tokens are neighbours."""
+    return F.transform(F.array_distinct(own), lambda x: F.struct(x.alias("token"), F.size(F.filter(own, lambda y: y == x)).alias("tf")))
+
+
 def term_index(sents: DataFrame) -> DataFrame:
-    """doc_id, sent_id, token, tf, df, sent_len, n_sents, avg_len."""
-    counts = sents.select("doc_id", "sent_id", token_array(F.col("text")).alias("t"))
-    sizes = counts.groupBy("doc_id").agg(F.count("*").alias("n_sents"), F.avg(F.size("t")).alias("avg_len"))
-    tf = counts.select("doc_id", "sent_id", F.size("t").alias("sent_len"), F.explode("t").alias("token")).groupBy("doc_id", "sent_id", "sent_len", "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("doc_id", "token").agg(F.count("*").alias("df"))
-    return tf.join(df, ["doc_id", "token"]).join(sizes, "doc_id")
+    """doc_id, sent_id, token, tf, df, sent_len, n_sents, avg_len. One shuffle, by document: tokens are counted
+    inside the sentence's row, and the document's sums and frequencies are windows over the same rows."""
+    doc = Window.partitionBy("doc_id")
+    cut = sents.select("doc_id", "sent_id", token_array(F.col("text")).alias("t"))
+    sized = cut.select("doc_id", "sent_id", "t", F.size("t").alias("sent_len"), F.count("*").over(doc).alias("n_sents"), F.avg(F.size("t")).over(doc).alias("avg_len"))
+    tf = sized.select("doc_id", "sent_id", "sent_len", "n_sents", "avg_len", F.explode(counted_tokens(F.col("t"))).alias("x"))
+    rows = tf.select("doc_id", "sent_id", "x.token", F.col("x.tf").cast("long").alias("tf"), "sent_len", "n_sents", "avg_len")
+    return rows.withColumn("df", F.count("*").over(Window.partitionBy("doc_id", "token"))).select("doc_id", "sent_id", "token", "tf", "df", "sent_len", "n_sents", "avg_len")
 
 
 def query_terms(parts: list[Column], keywords: Column) -> Column:
@@ -50,13 +73,13 @@ def bm25(sents: DataFrame, terms: DataFrame) -> DataFrame:
     wanted = terms.select("token").distinct()
     known = [r["token"] for r in wanted.limit(MOST_TERMS + 1).collect()]
     own = F.filter("t", lambda x: x.isin(known)) if len(known) <= MOST_TERMS else F.col("t")
-    counted = F.transform(F.array_distinct("own"), lambda x: F.struct(x.alias("token"), F.size(F.filter("own", lambda y: y == x)).alias("tf")))
+    counted = counted_tokens(F.col("own"))
     held = cut.select("doc_id", "sent_id", F.size("t").alias("len"), own.alias("own")).select("doc_id", "sent_id", "len", F.explode_outer(counted).alias("x")).where("x is not null")
     tf = held.select("doc_id", "sent_id", "len", "x.token", "x.tf")
     if len(known) > MOST_TERMS:
         tf = tf.join(wanted, "token", "left_semi")
     tf = tf.withColumn("df", F.count("*").over(Window.partitionBy("doc_id", "token")))
-    hits = tf.join(sizes, "doc_id").join(terms, "token")
+    hits = tf.join(sizes, "doc_id").join(beside(terms), "token")
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     return hits.groupBy("rule_id", "doc_id", "sent_id").agg(F.sum(part).alias("score")).where("score > 0")
@@ -74,10 +97,13 @@ def top_k(scores: DataFrame, k: int, keys: tuple[str, ...] = ("rule_id", "doc_id
 
 
 def top_k_chunks(scores: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """The best chunks of each rule and document; chunks of one span are one."""
-    joined = scores.join(chunks, ["doc_id", "sent_id"])
+    """The best chunks of each rule and document; chunks of one span are one. Ranks are decided on ids and
+    spans; only the winners meet the chunks' texts, by a merge of both sides, as either grows with the corpus."""
+    keys = ["doc_id", "sent_id"]
+    placed = scores.join(chunks.select(*keys, "indices").hint("merge"), keys)
     span = Window.partitionBy("rule_id", "doc_id", "indices").orderBy(F.desc("score"), "sent_id")
-    return top_k(joined.withColumn("s", F.row_number().over(span)).where("s = 1").drop("s"), k)
+    best = top_k(placed.withColumn("s", F.row_number().over(span)).where("s = 1").drop("s"), k)
+    return best.join(chunks.select(*keys, "chunk").hint("merge"), keys)
 
 
 def max_normalise(scores: DataFrame, keys: tuple[str, ...] = ("rule_id", "doc_id")) -> DataFrame:
@@ -103,13 +129,58 @@ def hybrid_score(lexical: DataFrame, dense: DataFrame, alpha: float = 0.5, keys:
     return both.withColumn("score", F.coalesce(mixed, F.col("lexical")))
 
 
-def paragraph_fallback(paras: DataFrame, terms: DataFrame) -> DataFrame:
-    """rule_id, doc_id, para_id, score: shared distinct tokens over max(5, tokens of the paragraph)."""
+def paragraph_scores(paras: DataFrame, terms: DataFrame) -> DataFrame:
+    """rule_id, doc_id, para_id, score: shared distinct tokens over max(5, tokens of the paragraph). Tokens that
+    no rule asks for stay in their row."""
     cut = paras.select("doc_id", "para_id", F.array_distinct(token_array(F.col("text"))).alias("t"))
-    hits = cut.select("doc_id", "para_id", F.size("t").alias("n"), F.explode("t").alias("token")).join(terms.distinct(), "token")
+    wanted = terms.distinct()
+    known = [r["token"] for r in wanted.select("token").distinct().limit(MOST_TERMS + 1).collect()]
+    own = F.filter("t", lambda x: x.isin(known)) if len(known) <= MOST_TERMS else F.col("t")
+    held = cut.select("doc_id", "para_id", F.size("t").alias("n"), F.explode_outer(own).alias("token")).where("token is not null")
+    hits = held.join(beside(wanted), "token")
     return hits.groupBy("rule_id", "doc_id", "para_id", "n").agg(F.count("*").alias("shared")).select("rule_id", "doc_id", "para_id", (F.col("shared") / F.greatest(F.lit(5), F.col("n"))).alias("score"))
 
 
+def paragraph_fallback(paras: DataFrame, terms: DataFrame, window: int = 1, k: int = 8) -> DataFrame:
+    """rule_id, doc_id, rank, para_id, score, indices, chunk: the ``k`` best paragraphs of a document (doc_id,
+    para_id from 0 without gaps, text) for each rule, each with ``window`` neighbours on both sides.
+
+    Windows of one span are one, as at the ends of short documents; the best paragraph stands for them.
+    """
+    scores = paragraph_scores(paras, terms)
+    sizes = paras.groupBy("doc_id").agg((F.max("para_id") + 1).alias("n"))
+    spans = scores.join(sizes.hint("merge"), "doc_id").select("rule_id", "doc_id", "para_id", "score", F.greatest(F.col("para_id") - window, F.lit(0)).alias("start"), F.least(F.col("para_id") + window, F.col("n") - 1).alias("end"))
+    one = Window.partitionBy("rule_id", "doc_id", "start", "end").orderBy(F.desc("score"), "para_id")
+    best = top_k(spans.withColumn("s", F.row_number().over(one)).where("s = 1").drop("s"), k, order=("para_id",))
+    return _with_text(best, paras, ["rule_id", "doc_id", "rank", "para_id", "score"])
+
+
+def merged_passages(paras: DataFrame, scores: DataFrame, window: int = 1) -> DataFrame:
+    """rule_id, doc_id, para_id, score, indices, chunk: windows of ``window`` neighbours around all hits (rule_id,
+    doc_id, para_id, score), those that meet or touch merged into passages without overlap.
+
+    Gaps and islands: hits in order open a passage where their window starts beyond the end of all before.
+    ``para_id`` and ``score`` are those of the passage's best paragraph.
+    """
+    sizes = paras.groupBy("doc_id").agg((F.max("para_id") + 1).alias("n"))
+    order = Window.partitionBy("rule_id", "doc_id").orderBy("para_id")
+    spans = scores.join(sizes.hint("merge"), "doc_id").select("rule_id", "doc_id", "para_id", "score", F.greatest(F.col("para_id") - window, F.lit(0)).alias("start"), F.least(F.col("para_id") + window, F.col("n") - 1).alias("end"))
+    opens = F.coalesce(F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True))
+    island = spans.withColumn("opens", opens.cast("int")).withColumn("island", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    passages = island.groupBy("rule_id", "doc_id", "island").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score"), F.max_by("para_id", F.struct("score", -F.col("para_id"))).alias("para_id"),
+    )
+    return _with_text(passages, paras, ["rule_id", "doc_id", "para_id", "score"])
+
+
+def _with_text(spans: DataFrame, paras: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` of spans (doc_id, start, end), and the paragraphs of each span as indices and chunk."""
+    wide = spans.select(*keys, "start", "end", F.explode(F.sequence("start", "end")).alias("_i"))
+    text = paras.select("doc_id", F.col("para_id").alias("_i"), "text").hint("merge")
+    met = wide.join(text, ["doc_id", "_i"]).groupBy(*keys, "start", "end").agg(F.array_sort(F.collect_list(F.struct("_i", "text"))).alias("p"))
+    return met.select(*keys, F.col("p._i").alias("indices"), F.array_join(F.col("p.text"), "\n").alias("chunk"))
+
+
 def candidates(ranked: DataFrame, fallback: DataFrame, grid: DataFrame) -> DataFrame:
     """``ranked`` (rule_id, doc_id, unit_id, score), and ``fallback`` for the pairs of ``grid`` without any."""
     empty = grid.join(ranked.select("rule_id", "doc_id").distinct(), ["rule_id", "doc_id"], "left_anti")
@@ -182,10 +253,9 @@ def keyword_sections(sents: DataFrame, rules: list[tuple[str, list[str]]], most:
     """
     around = Window.partitionBy("doc_id").orderBy("sent_id")
     low = F.lower("text")
-    found = [F.struct(F.lit(r).alias("rule_id"), F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: F.contains(F.lower("text"), k)).alias("matched")) for r, ks in rules]
+    found = [F.struct(F.lit(r).alias("rule_id"), F.filter(F.array(*[F.lit(k) for k in ks]), lambda k: F.contains(F.lower("text"), F.lower(k))).alias("matched")) for r, ks in rules]
     rows = sents.select("doc_id", "sent_id", "text", F.lag("text").over(around).alias("before"), F.lead("text").over(around).alias("after"))
-    any_word = "|".join(sorted({k for _, ks in rules for k in ks}))
-    hits = rows.where(low.rlike(any_word)).withColumn("hit", F.explode(F.filter(F.array(*found), lambda x: F.size(x["matched"]) > 0)))
+    hits = rows.where(low.rlike(literal(sorted({k for _, ks in rules for k in ks})))).withColumn("hit", F.explode(F.filter(F.array(*found), lambda x: F.size(x["matched"]) > 0)))
     flat = hits.select("hit.rule_id", "doc_id", "sent_id", F.concat_ws(" ", "before", "text", "after").alias("section"), F.col("hit.matched").alias("matched"))
     rank = F.row_number().over(Window.partitionBy("rule_id", "doc_id").orderBy("sent_id"))
     return flat.withColumn("rank", rank).where(F.col("rank") <= most)

@@ -13,6 +13,9 @@ from lexmill.registry import query, table
 KEYWORDS = [("licence", "license"), ("licence", "licensed"), ("licence", "released under"), ("rights", "rights reserved"), ("secret", "token"), ("secret", "api_key"), ("article", "the"), ("article", "der"), ("link", "with"), ("link", "and"), ("link", "of the")]
 ALIASES = [("en", "english"), ("de", "german"), ("fr", "french"), ("fra", "french")]
 QUESTIONS = {"q_licence": ["licence", "rights"], "q_secret": ["secret"], "q_link": ["link"]}
+#: Keywords with a sign, of four words, and compound terms that stand for two labels.
+SIGNED = [("licence", "open-source license"), ("rights", "all rights reserved by the"), ("link", "with"), ("article", "der/die"), ("secret", "API_KEY=")]
+COMPOUNDS = [("under the", ["licence", "article"]), ("of the", ["link", "article"]), ("that the", ["link", "article"])]
 KW_CTE = f"""kw(label, keyword) as (values {values(KEYWORDS)}),
 toks as (select doc_id, sent_id, regexp_extract_all(lower(text), '{TOK}') as t from sent),
 runs as (select distinct doc_id, sent_id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]), list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]))) as keyword from toks),
@@ -43,6 +46,17 @@ def q_label_sentences(spark, sf_dir):
     return labelled(spark, sf_dir)
 
 
+FULL = SIGNED + KEYWORDS + [(label, k) for k, found in COMPOUNDS for label in found]
+
+
+@query("label_taxonomy", f"""with {SENT}, kw(label, keyword) as (values {values(FULL)}), kt as (select distinct label, regexp_extract_all(lower(keyword), '{TOK}') as k from kw),
+toks as (select doc_id, sent_id, regexp_extract_all(lower(text), '{TOK}') as t from sent), starts as (select *, unnest(range(1, len(t) + 1)) as i from toks)
+select doc_id, sent_id, list_sort(list(distinct label)) as classes from starts join kt on t[i] = k[1] where t[i:i + len(k) - 1] = k group by all""")
+def q_label_taxonomy(spark, sf_dir):
+    keywords = spark.createDataFrame(SIGNED + KEYWORDS, "label string, keyword string")
+    return B.label_sentences(sents(spark, sf_dir), keywords, spark.createDataFrame(COMPOUNDS, "keyword string, labels array<string>"))
+
+
 @query("label_batches", f"with {SENT} select doc_id, sent_id, cast(sent_id // 8 as integer) as batch from sent")
 def q_label_batches(spark, sf_dir):
     return B.label_batches(sents(spark, sf_dir))
@@ -155,6 +169,23 @@ def q_context_budget(spark, sf_dir):
     return B.context_budget(sents(spark, sf_dir), 300)
 
 
+def _side(rows: str, name: str) -> str:
+    return f"{name} as (select *, row_number() over w as k, sum(len(regexp_extract_all(line, '[A-Za-z0-9]+|[^\\sA-Za-z0-9]'))) over (w rows unbounded preceding) as used from ({rows}) window w as (partition by doc_id, question_id order by sent_id))"
+
+
+_TOKENS = r"coalesce(len(regexp_extract_all({}, '[A-Za-z0-9]+|[^\sA-Za-z0-9]')), 0)"
+_LINES = "select doc_id, question_id, sent_id, row_number() over (partition by doc_id, question_id order by sent_id) || '. ' || text as line from qs join sent using (doc_id, sent_id) where sent_id % 2 = {}"
+
+
+@query("question_context", f"""with {SENT}, {KW_CTE}, {Q_CTE}, {_side(_LINES.format(0), 'ta')}, {_side(_LINES.format(1), 'rf')},
+t as (select doc_id, question_id, coalesce(string_agg(line, chr(10) order by k) filter (used <= 150), 'No relevant clauses found.') as target from ta group by all),
+r as (select rf.doc_id, rf.question_id, string_agg(line, chr(10) order by k) as reference from rf join t on t.doc_id = rf.doc_id and t.question_id = rf.question_id where used <= 300 - {_TOKENS.format('target')} group by all)
+select t.doc_id, t.question_id, target, reference, {_TOKENS.format('target')} + {_TOKENS.format('reference')} as tokens from t left join r on r.doc_id = t.doc_id and r.question_id = t.question_id""")
+def q_question_context(spark, sf_dir):
+    clauses = question_hits(spark, sf_dir).join(sents(spark, sf_dir), ["doc_id", "sent_id"])
+    return B.question_context(clauses.where("sent_id % 2 = 0"), clauses.where("sent_id % 2 = 1"), 300)
+
+
 @query("deviation_flag", f"""with {SENT}, {KW_CTE}, {Q_CTE}, t as (select question_id, count(*) as target from qs join documents using (doc_id) where source <> 'src0' group by 1), r as (select question_id, count(*) as reference from qs join documents using (doc_id) where source = 'src0' group by 1)
 select question_id, coalesce(target, 0) as target, coalesce(reference, 0) as reference, coalesce(target, 0) <> coalesce(reference, 0) as deviates from t full join r using (question_id)""")
 def q_deviation_flag(spark, sf_dir):

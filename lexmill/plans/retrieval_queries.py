@@ -188,16 +188,39 @@ FALL = f"""{PARA}, {TERM_CTE}, pt as (select doc_id, para_id, list_distinct(rege
 fb as (select rule_id, doc_id, para_id, count(*) / greatest(5, any_value(n)) as score from (select doc_id, para_id, len(t) as n, unnest(t) as token from pt) join terms using (token) group by all)"""
 
 
+def paragraph_rows(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(T.paragraph_array(F.col("text"), "\n")).alias("para_id", "text"))
+
+
 def fallback(spark, sf_dir):
-    paras = docs(spark, sf_dir).select("doc_id", F.posexplode(T.paragraph_array(F.col("text"), "\n")).alias("para_id", "text"))
-    return R.paragraph_fallback(paras, terms(spark))
+    return R.paragraph_scores(paragraph_rows(spark, sf_dir), terms(spark))
 
 
-@query("paragraph_fallback", f"with {FALL} select rule_id, doc_id, cast(para_id as integer) as para_id, score from fb")
-def q_paragraph_fallback(spark, sf_dir):
+@query("paragraph_scores", f"with {FALL} select rule_id, doc_id, cast(para_id as integer) as para_id, score from fb")
+def q_paragraph_scores(spark, sf_dir):
     return fallback(spark, sf_dir)
 
 
+PSPANS = f"""{FALL}, pn as (select doc_id, max(para_id) + 1 as n from para group by 1),
+ps as (select rule_id, doc_id, para_id, score, greatest(para_id - {{w}}, 0) as s, least(para_id + {{w}}, n - 1) as e from fb join pn using (doc_id))"""
+PTEXT = "list(cast(p.para_id as integer) order by p.para_id) as indices, string_agg(p.p, chr(10) order by p.para_id) as chunk"
+
+
+@query("paragraph_fallback", f"""with {PSPANS.format(w=1)}, one as (select *, row_number() over (partition by rule_id, doc_id, s, e order by score desc, para_id) as k from ps),
+rk as (select *, cast(row_number() over (partition by rule_id, doc_id order by score desc, para_id) as integer) as rank from one where k = 1)
+select r.rule_id, r.doc_id, rank, cast(r.para_id as integer) as para_id, score, {PTEXT} from rk r join para p on p.doc_id = r.doc_id and p.para_id between r.s and r.e where rank <= 8 group by all""")
+def q_paragraph_fallback(spark, sf_dir):
+    return R.paragraph_fallback(paragraph_rows(spark, sf_dir), terms(spark))
+
+
+@query("merged_passages", f"""with {PSPANS.format(w=2)}, op as (select *, case when s > max(e) over (partition by rule_id, doc_id order by para_id rows between unbounded preceding and 1 preceding) + 1 then 1 else 0 end as opens from ps),
+il as (select *, sum(opens) over (partition by rule_id, doc_id order by para_id rows unbounded preceding) as island from op),
+pa as (select rule_id, doc_id, island, min(s) as s, max(e) as e, max(score) as score, arg_min(para_id, (-score, para_id)) as best from il group by all)
+select a.rule_id, a.doc_id, cast(best as integer) as para_id, score, {PTEXT} from pa a join para p on p.doc_id = a.doc_id and p.para_id between a.s and a.e group by a.rule_id, a.doc_id, island, best, score""")
+def q_merged_passages(spark, sf_dir):
+    return R.merged_passages(paragraph_rows(spark, sf_dir), fallback(spark, sf_dir), 2)
+
+
 @query("candidates", f"""with {BM25}, pt as (select doc_id, para_id, list_distinct(regexp_extract_all(lower(p), '{TOK}')) as t from para),
 fb as (select rule_id, doc_id, para_id, count(*) / greatest(5, any_value(n)) as score from (select doc_id, para_id, len(t) as n, unnest(t) as token from pt) join terms using (token) group by all),
 hit as (select * from bm where score > 3)

@@ -74,6 +74,12 @@ def q_scan_labels(spark, sf_dir):
     return labels.join(aliases, "label").join(keywords, "label")
 
 
+@query("scan_compounds", "select p_name || ' ' || p_partkey as keyword, [p_type, p_brand] as labels from part")
+def q_scan_compounds(spark, sf_dir):
+    one = F.struct(F.concat_ws(" ", "p_name", "p_partkey").alias("key"), F.array("p_type", "p_brand").alias("value"))
+    return files.scan_compounds(spark, json_files(table(spark, sf_dir, "part"), one, lambda vs: F.struct(F.map_from_entries(vs).alias("special_mappings")), "p_partkey"))
+
+
 @query("scan_questionnaire", "select p_name as section, cast((row_number() over (partition by p_partkey // 1000 order by p_partkey, q)) - 1 as integer) as ordinal, 'q' || p_partkey || q as question_id, p_type as prompt, case when q = 'a' then p_brand else '' end as guideline from part, (values ('a'), ('b')) x(q)")
 def q_scan_questionnaire(spark, sf_dir):
     questions = F.array(*[F.struct(F.concat(F.lit("q"), key(), F.lit(q)).alias("id"), F.col("p_type").alias("prompt"), (F.col("p_brand") if q == "a" else F.lit(None).cast("string")).alias("guideline")) for q in "ab"])

@@ -95,6 +95,12 @@ def scan_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, D
     return labels, rows.select("label", F.explode("v.aliases").alias("alias")), rows.select("label", F.explode("v.keywords").alias("keyword"))
 
 
+def scan_compounds(spark: SparkSession, path: str) -> DataFrame:
+    """Compound terms of taxonomy files ``{"special_mappings": {term: [label, ...]}}``: keyword, labels."""
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "special_mappings map<string,array<string>>").alias("v"))
+    return rows.select(F.explode("v.special_mappings").alias("keyword", "labels"))
+
+
 def scan_questionnaire(spark: SparkSession, path: str) -> DataFrame:
     """section, ordinal (in the file), question_id, prompt, guideline of files
     ``{"sections": [{name, questions: [{id, prompt, guideline}]}]}``."""
