@@ -293,3 +293,12 @@ def structure_grade(docs: DataFrame) -> DataFrame:
     )
     grade = F.when((F.col("headers") > 3) | (F.col("sections") > 3), "good").when(F.col("paragraphs") > 10, "fair").otherwise("poor")
     return counted.withColumn("grade", grade)
+
+
+def with_measures(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text, ...) with text_length, mostly_blank, broken_tables, garbled and grade, by the same
+    expressions as the operators above, so that one scan serves them all."""
+    for measure, names in ((page_text_length, ("text_length", "mostly_blank")), (table_lines, ("broken_tables",)), (garbled_text, ("garbled",)), (structure_grade, ("grade",))):
+        whole = rows.select(F.struct(*rows.columns).alias("doc_id"), "text")  # an id that carries the row along
+        rows = measure(whole).select("doc_id.*", *names)
+    return rows

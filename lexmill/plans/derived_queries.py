@@ -134,8 +134,8 @@ def q_audit_trail(spark, sf_dir):
     return V.audit_trail(v, v.select("doc_id", "rule_id", level.alias("level")).where("level is not null"))
 
 
-@query("contradictions", f"with {VERDICTS} select a.doc_id, a.rule_id as a, b.rule_id as b from v a join v b using (doc_id) where a.rule_id = 'r_with' and b.rule_id = 'r_de' and a.status = 'compliant' and b.status = 'compliant'")
-def q_contradictions(spark, sf_dir):
+@query("affirmed_pairs", f"with {VERDICTS} select a.doc_id, a.rule_id as a, b.rule_id as b from v a join v b using (doc_id) where a.rule_id = 'r_with' and b.rule_id = 'r_de' and a.status = 'compliant' and b.status = 'compliant'")
+def q_affirmed_pairs(spark, sf_dir):
     answers = verdicts(spark, sf_dir).select("doc_id", F.col("rule_id").alias("question_id"), F.when(F.col("status") == "compliant", "Yes").otherwise("No").alias("answer"))
     return G.contradictions(answers, [("r_with", "r_de")])
 

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from lexmill.operators import entities as E
 from lexmill.operators import gates as G
+from lexmill.operators import rules as V
 from lexmill.operators import runs as U
 from lexmill.plans.label_queries import KW_CTE, labelled
-from lexmill.plans.rule_queries import ACTION, SUMMARY, VERDICTS, q_compliance_summary, q_findings, verdicts
+from lexmill.plans.rule_queries import ACTION, CHECKS, SUMMARY, VERDICTS, q_compliance_summary, q_findings, verdicts
 from lexmill.plans.score_queries import SCORED, scored
 from lexmill.plans.text_queries import SENT, docs, sents
-from lexmill.registry import query, table
+from lexmill.registry import oracle, query, table
 from lexmill.sources import tables as S
 
 
@@ -122,18 +123,20 @@ def q_stream_new_documents(spark, sf_dir):
 CRITICAL = ["licence", "rights", "secret"]
 COVER = f"""{SENT}, {KW_CTE}, j as (select s.doc_id, coalesce(l.classes, ['none']) as classes, (length(s.text) % 100) / 100 as confidence from sent s left join labelled l using (doc_id, sent_id)),
 cv as (select doc_id, count(*) as sentences, avg((classes <> ['none'])::int) as coverage, round(avg(confidence), 9) as average, avg((confidence < 0.5)::int) as low,
-  list_filter(['licence', 'rights', 'secret'], lambda x: not list_contains(list_distinct(flatten(list(classes))), x)) as missing from j group by 1)"""
+  list_filter(['licence', 'rights', 'secret'], lambda x: not list_contains(list_distinct(flatten(list(classes))), x)) as missing from j group by 1),
+am0 as (select distinct doc_id from labelled where list_has_any(classes, ['rights'])), amd as (select doc_id, contains(lower(text), 'license') and doc_id not in (select doc_id from am0) as unlabelled_amendment from documents)"""
 
 
 def coverage(spark, sf_dir):
     s = sents(spark, sf_dir).select("doc_id", "sent_id", ((F.length("text") % 100) / 100).alias("confidence"))
     rows = s.join(labelled(spark, sf_dir), ["doc_id", "sent_id"], "left").withColumn("classes", F.coalesce("classes", F.array(F.lit("none"))))
-    return G.coverage(rows, CRITICAL)
+    odd = G.unlabelled_amendments(docs(spark, sf_dir), rows, ["License"], ["rights"])
+    return G.coverage(rows, CRITICAL).join(odd, "doc_id")
 
 
 CISS = """ci as (select doc_id, 'coverage' as gate, unnest(list_filter([case when coverage < 0.1 then {'type': 'low_coverage', 'severity': 'critical'} end, case when coverage >= 0.1 and coverage < 0.3 then {'type': 'low_coverage', 'severity': 'high'} end,
   case when len(missing) > 1.5 then {'type': 'missing_terms', 'severity': 'medium'} end, case when average < 0.5 then {'type': 'low_confidence', 'severity': 'high'} end, case when low > 0.3 then {'type': 'uncertain_labels', 'severity': 'medium'} end,
-  case when sentences < 20 then {'type': 'few_sentences', 'severity': 'low'} end], lambda x: x is not null)) as x from cv), cj as (select doc_id, gate, x.type as type, x.severity as severity from ci)"""
+  case when sentences < 20 then {'type': 'few_sentences', 'severity': 'low'} end, case when unlabelled_amendment then {'type': 'amendment_not_labelled', 'severity': 'medium'} end], lambda x: x is not null)) as x from cv join amd using (doc_id)), cj as (select doc_id, gate, x.type as type, x.severity as severity from ci)"""
 
 
 @query("coverage_gate", f"with {COVER}, {CISS} select * from cj")
@@ -161,14 +164,23 @@ def q_gate_recommendations(spark, sf_dir):
     return G.recommendations(q_coverage_gate(spark, sf_dir))
 
 
-@query("conversion_gate", r"""with m as (select doc_id, n_chars, (length(text) - length(regexp_replace(text, '[|$%&*#]', '', 'g'))) / length(text) as noise, len(string_split(text, chr(10))) as lines from documents),
-x as (select doc_id, 'conversion' as gate, unnest(list_filter([case when n_chars < 50 then {'type': 'no_text', 'severity': 'critical'} end, case when noise > 0.1 then {'type': 'garbled_text', 'severity': 'high'} end, case when lines < 2 then {'type': 'poor_structure', 'severity': 'low'} end], lambda x: x is not null)) as x from m)
+def _paged(spark, sf_dir):
+    page = F.concat(F.lit("[[page="), (F.length("text") % 3 + 1).cast("string"), F.lit("]]\n"))
+    return docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 4 > 0, F.concat(page, "text")).otherwise(F.col("text")).alias("text"))
+
+
+_GATE_DOCS = "documents as (select doc_id, case when doc_id % 4 > 0 then '[[page=' || (length(text) % 3 + 1) || ']]' || chr(10) || text else text end as text from main.documents)"
+_MEASURES = " join ".join(f"({oracle(n)}) {n}" + (" using (doc_id)" if n != "page_text_length" else "") for n in ("page_text_length", "table_lines", "garbled_text", "structure_grade"))
+
+
+@query("conversion_gate", f"""with {_GATE_DOCS}, pg as (select doc_id, list_transform(regexp_extract_all(text, '\\[\\[page=(\\d+)\\]\\]', 1), lambda x: cast(x as integer)) as ps from documents),
+m as (select *, coalesce(list_max(ps), 0) as pages, len(list_filter(range(1, coalesce(list_max(ps), 0) + 1), lambda x: not list_contains(ps, x))) as missing_pages from {_MEASURES} join pg using (doc_id)),
+x as (select doc_id, 'conversion' as gate, unnest(list_filter([case when text_length < 1000 then {{'type': 'insufficient_text', 'severity': 'high'}} end, case when mostly_blank then {{'type': 'mostly_blank', 'severity': 'high'}} end,
+  case when pages = 0 then {{'type': 'no_page_anchors', 'severity': 'high'}} end, case when missing_pages > 0 then {{'type': 'missing_pages', 'severity': 'medium'}} end, case when pages < 2 then {{'type': 'too_few_pages', 'severity': 'medium'}} end,
+  case when broken_tables then {{'type': 'broken_tables', 'severity': 'low'}} end, case when garbled then {{'type': 'garbled_text', 'severity': 'high'}} end, case when grade = 'poor' then {{'type': 'poor_structure', 'severity': 'low'}} end], lambda x: x is not null)) as x from m)
 select doc_id, gate, x.type as type, x.severity as severity from x""")
 def q_conversion_gate(spark, sf_dir):
-    from lexmill.operators.text import symbol_share
-
-    m = docs(spark, sf_dir).select("doc_id", "n_chars", symbol_share(F.col("text"), "|$%&*#").alias("noise"), F.size(F.split("text", "\n")).alias("lines"))
-    return G.issues(m, "conversion", [("no_text", "critical", F.col("n_chars") < 50), ("garbled_text", "high", F.col("noise") > 0.1), ("poor_structure", "low", F.col("lines") < 2)])
+    return G.conversion_gate(G.conversion_measures(_paged(spark, sf_dir)), least_pages=2)
 
 
 def answers(spark, sf_dir):
@@ -184,13 +196,46 @@ ANSW = f"""{SCORED}, am as (select conv_id as doc_id, count(*) as answers, avg((
 rep as (select doc_id, max(n) as repeated from (select conv_id as doc_id, lower(trim(answer)) as a, count(*) as n from sc group by all) group by 1)"""
 
 
-@query("answer_gate", f"""with {ANSW}, x as (select doc_id, 'answers' as gate, unnest(list_filter([case when unspecified > 0.4 then {{'type': 'unspecified', 'severity': 'high'}} end, case when average < 0.3 then {{'type': 'low_average', 'severity': 'high'}} end,
+@query("answer_shares", f"""with {ANSW}, x as (select doc_id, 'answers' as gate, unnest(list_filter([case when unspecified > 0.4 then {{'type': 'unspecified', 'severity': 'high'}} end, case when average < 0.3 then {{'type': 'low_average', 'severity': 'high'}} end,
   case when low > 0.3 then {{'type': 'uncertain', 'severity': 'medium'}} end, case when repeated > 5 and repeated > 0.3 * answers then {{'type': 'repetitive', 'severity': 'medium'}} end, case when short > 0.7 then {{'type': 'short', 'severity': 'low'}} end], lambda x: x is not null)) as x from am join rep using (doc_id))
 select doc_id, gate, x.type as type, x.severity as severity from x""")
-def q_answer_gate(spark, sf_dir):
+def q_answer_shares(spark, sf_dir):
     return G.answer_gate(G.answer_measures(answers(spark, sf_dir)))
 
 
+#: The corpus pack's questions: conversations are documents, turns questions.
+PAIRS_ASKED = [("q0", "q2"), ("q1", "q3")]
+REVIEWED = """an as (select conv_id as doc_id, 'q' || turn as question_id, lower(case when turn % 5 = 4 then 'unknown' else substr(text, 1, 15 + 10 * (conv_id % 3)) end) as answer, (length(text) % 100) / 100 as confidence, conv_id % 2 = 0 as assessed from conversations)"""
+
+
+def reviewed(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    answer = F.when(F.col("turn") % 5 == 4, "Unknown").otherwise(F.substring("text", F.lit(1), (15 + 10 * (F.col("conv_id") % 3)).cast("int")))
+    return c.select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("q"), "turn").alias("question_id"), answer.alias("answer"), ((F.length("text") % 100) / 100).alias("confidence"), (F.col("conv_id") % 2 == 0).alias("assessed"))
+
+
+CLASH = """cl as (select a.doc_id, a.question_id as a, b.question_id as b, 'exclusive' as kind from an a join an b on a.doc_id = b.doc_id join (values ('q0', 'q2'), ('q1', 'q3')) p(a, b) on a.question_id = p.a and b.question_id = p.b
+  where regexp_matches(a.answer, 'the|is|de') and regexp_matches(b.answer, 'the|is|de') union select a.doc_id, 'q0', 'q1', 'worded' from an a join an b on a.doc_id = b.doc_id and a.question_id = 'q0' and b.question_id = 'q1' where contains(a.answer, 'the') and contains(b.answer, 'in'))"""
+
+
+@query("contradictions", f"with {REVIEWED}, {CLASH} select * from cl")
+def q_contradictions(spark, sf_dir):
+    return G.conflicts(reviewed(spark, sf_dir), PAIRS_ASKED, [("q0", "the", "q1", "in")], ["the", "is", "de"])
+
+
+@query("answer_gate", f"""with {REVIEWED}, {CLASH}, e as (select *, answer in ('not specified', 'not found', 'unknown', '', 'n/a') as none from an),
+b as (select doc_id, count(*) as n, avg(none::int) as unspecified, count(distinct question_id) filter (question_id in ('q0', 'q1', 'q2') and not none) as given, avg(confidence) as average, count(*) filter (confidence < 0.6 and confidence > 0) as low,
+  count(*) filter (length(answer) < 20) as short, count(*) filter (question_id in ('q1', 'q3') and not none and not assessed) as unassessed from e group by 1),
+r as (select doc_id, max(k) as repeated from (select doc_id, answer, count(*) as k from an where answer <> '' group by all) group by 1), m as (select b.*, coalesce(repeated, 0) as repeated, doc_id in (select doc_id from cl) as clash from b left join r using (doc_id)),
+x as (select doc_id, 'answers' as gate, unnest(list_filter([case when unspecified > 0.4 then {{'type': 'too_many_not_specified', 'severity': 'high'}} end, case when given < 3 then {{'type': 'missing_required_fields', 'severity': 'high'}} end,
+  case when average < 0.6 then {{'type': 'low_average_confidence', 'severity': 'medium'}} end, case when low > 0.3 * n then {{'type': 'many_low_confidence', 'severity': 'medium'}} end, case when clash then {{'type': 'contradictory_answers', 'severity': 'high'}} end,
+  case when repeated > 5 and repeated > 0.3 * n then {{'type': 'repeated_answers', 'severity': 'medium'}} end, case when short > 0.7 * n then {{'type': 'short_answers', 'severity': 'medium'}} end,
+  case when unassessed > 0 then {{'type': 'missing_risk_assessments', 'severity': 'medium'}} end], lambda x: x is not null)) as x from m)
+select doc_id, gate, x.type as type, x.severity as severity from x""")
+def q_answer_gate(spark, sf_dir):
+    return G.answer_review(reviewed(spark, sf_dir), ["q0", "q1", "q2"], ["q1", "q3"], PAIRS_ASKED, [("q0", "the", "q1", "in")], assent=["the", "is", "de"])
+
+
 @query("retry_questions", f"""with {SCORED}, r as (select conv_id as doc_id, turn as question_id, case when conf < 0.3 then 2 when turn % 4 = 0 then 3 end as priority from sc), k as (select *, cast(row_number() over (partition by doc_id order by priority, question_id) as integer) as rank from r where priority is not null)
 select doc_id, rank, question_id, priority from k where rank <= 10""")
 def q_retry_questions(spark, sf_dir):
@@ -221,13 +266,43 @@ def q_citation_gate(spark, sf_dir):
     return G.citation_gate(citation_issues(spark, sf_dir))
 
 
-@query("rule_gate", f"""with {VERDICTS}, r as (select doc_id, avg((status <> 'unknown')::int) as evaluated, avg((doc_id % 3 > 0)::int) as backed, avg(confidence) as confidence, count(distinct status) as kinds, count(*) as n from v group by 1)
+@query("rule_shares", f"""with {VERDICTS}, r as (select doc_id, avg((status <> 'unknown')::int) as evaluated, avg((doc_id % 3 > 0)::int) as backed, avg(confidence) as confidence, count(distinct status) as kinds, count(*) as n from v group by 1)
 select doc_id, 0.3::double * evaluated + 0.25::double * backed + 0.25::double * confidence + case when kinds = 1 and n > 3 then 0.0 else 0.2 end::double as quality, list_filter([case when evaluated < 0.5 then 'mostly_unevaluated' end, case when evaluated >= 0.5 and evaluated < 0.7 then 'partly_unevaluated' end,
   case when backed < 0.5 then 'no_evidence' end, case when kinds = 1 and n > 3 then 'all_the_same' end], lambda x: x is not null) as issues from r""")
-def q_rule_gate(spark, sf_dir):
+def q_rule_shares(spark, sf_dir):
     return G.rule_gate(verdicts(spark, sf_dir).withColumn("evidence", F.col("doc_id") % 3))
 
 
+EVIDENCE = f"""kh as ({oracle("keyword_hits")}), ev as (select doc_id, rule_id, lower(context) as text, pos - 20 as start, "end" + 20 as "end" from kh),
+pl as (select ev.*, status from ev join det using (doc_id, rule_id)), ov as (select distinct a.doc_id, a.rule_id as rule_a, b.rule_id as rule_b, greatest(a.start, b.start) as start, least(a."end", b."end") as "end" from pl a join pl b on a.doc_id = b.doc_id
+  where a.status = 'compliant' and b.status = 'non_compliant' and greatest(a.start, b.start) < least(a."end", b."end"))"""
+
+
+def rule_evidence(spark, sf_dir):
+    """Keyword hits as evidence: their contexts, and stretches a little wider than the words."""
+    hits = V.keyword_matches(docs(spark, sf_dir), CHECKS)
+    return hits.select("doc_id", "rule_id", F.col("context").alias("text"), (F.col("pos") - 20).alias("start"), (F.col("end") + 20).alias("end"))
+
+
+@query("overlapping_evidence", f"with {VERDICTS}, {EVIDENCE} select * from ov")
+def q_overlapping_evidence(spark, sf_dir):
+    found = V.deterministic_verdicts(docs(spark, sf_dir), sents(spark, sf_dir), CHECKS)
+    return G.overlapping_evidence(rule_evidence(spark, sf_dir).drop("text").join(found.select("doc_id", "rule_id", "status"), ["doc_id", "rule_id"]), 64)
+
+
+@query("rule_gate", f"""with {VERDICTS}, {EVIDENCE}, w as (select doc_id, rule_id, count(*) as n, bool_or(regexp_matches(replace(text, 'non-compliant', ''), 'compliant|satisfies|meets')) as yes, bool_or(regexp_matches(text, 'non-compliant|violates|fails')) as no from ev group by all),
+sh as (select doc_id, rule_a as rule_id from ov union select doc_id, rule_b from ov), r as (select det.*, coalesce(n, 0) as n, coalesce(yes and no, false) as mixed, sh.rule_id is not null as shared, status = 'unknown' as open_ from det left join w using (doc_id, rule_id) left join sh using (doc_id, rule_id)),
+rm as (select doc_id, count(*) as rules, avg(open_::int) as not_evaluated, count(*) filter (not open_ and n = 0) as no_evidence, count(*) filter ((n > 1 and mixed) or shared) as conflicting, count(*) filter (regexp_matches(rule_id, 'license|token') and (open_ or n = 0)) as critical_missing,
+  bool_and(open_ or status = 'compliant') or bool_and(open_ or status = 'non_compliant') as alike from r group by 1),
+rq as (select *, 0.3::double * (1 - not_evaluated) + 0.25::double * (1 - no_evidence / rules) + 0.25::double * (1 - conflicting / rules) + 0.2::double * (1 - critical_missing / 2) as quality, list_filter([case when not_evaluated > 0.5 then 'mostly_unevaluated' end, case when not_evaluated > 0.3 and not_evaluated <= 0.5 then 'partly_unevaluated' end,
+  case when no_evidence > 0 then 'no_evidence' end, case when conflicting > 0 then 'conflicting_evidence' end, case when critical_missing > 0 then 'critical_rules_missing' end, case when alike and rules > 5 then 'all_the_same' end], lambda x: x is not null) as issues from rm)
+select doc_id, quality, quality >= 0.6 as valid, case when quality < 0.4 then 'critical' when not_evaluated > 0.5 or conflicting > 0 or critical_missing > 0 or quality < 0.6 then 'error' when len(issues) > 0 then 'warning' else 'info' end as severity,
+  issues, not_evaluated, no_evidence, conflicting, critical_missing from rq""")
+def q_rule_gate(spark, sf_dir):
+    found = V.deterministic_verdicts(docs(spark, sf_dir), sents(spark, sf_dir), CHECKS)
+    return G.rule_review(found, rule_evidence(spark, sf_dir), ["license", "token"], 64)
+
+
 # -- entities and sinks ---------------------------------------------------------------------------
 
 

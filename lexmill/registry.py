@@ -27,6 +27,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def oracle(name: str) -> str:
+    """The SQL of a query registered so far, to be used inside another's."""
+    return _SQL[name]
+
+
 def _load() -> None:
     from lexmill import plans
 
