@@ -72,6 +72,26 @@ def locate_quotes(docs: DataFrame, quotes: DataFrame, run: int = 5, block: int =
     return found.where("pos is not null").select("doc_id", "item_id", "pos").distinct()
 
 
+def locate_near(docs: DataFrame, quotes: DataFrame, hints: DataFrame, reach: int = 1000) -> DataFrame:
+    """doc_id, item_id, pos, end, how of every quote (item_id, text) that a document holds; ``hints`` (doc_id, item_id,
+    hint) say where to look first.
+
+    ``near``: the first occurrence that lies whole within ``reach`` of the hint; else ``exact``: the first in the
+    document; else ``folded``: the first whatever its case. Hints join the pairs that are found anyway, by
+    equality; a stretch of the text is searched, not a table of occurrences. Several hints give a row each.
+    """
+    found = locate_quotes(docs, quotes)
+    wanted = found.join(hints.select("doc_id", "item_id", "hint"), ["doc_id", "item_id"], "left")
+    both = wanted.join(docs.select("doc_id", F.col("text").alias("_t")), "doc_id").join(quotes.select("item_id", F.col("text").alias("_q")), "item_id")
+    start = F.greatest(F.col("hint") - reach, F.lit(0))
+    inside = F.instr(F.substring(F.col("_t"), (start + 1).cast("int"), (F.col("hint") + reach - start).cast("int")), F.col("_q"))
+    near = F.when(inside > 0, start + inside - 1)
+    exact = F.nullif(F.instr("_t", F.col("_q")), F.lit(0)) - 1
+    how = F.when(near.isNotNull(), "near").when(exact.isNotNull(), "exact").otherwise("folded")
+    pos = F.coalesce(near, exact, F.col("pos")).cast("int")
+    return both.select("doc_id", "item_id", pos.alias("pos"), (pos + F.length("_q")).alias("end"), how.alias("how"))
+
+
 def fuzzy_quotes(docs: DataFrame, quotes: DataFrame, least: float = 0.8, run: int = 4) -> DataFrame:
     """doc_id, item_id, similarity of quotes that a document holds nearly: candidates share a run of
     half the quote's words, ``run`` at most; 1 - levenshtein / length over the aligned stretch decides."""

@@ -114,6 +114,16 @@ def skip_scored(sents: DataFrame, scored: DataFrame, terminology: str) -> DataFr
     return fresh.join(scored.select("key").distinct(), "key", "left_anti").select("key", "first.doc_id", "first.sent_id")
 
 
+def skip_filed(sents: DataFrame, path: str, terminology: str) -> DataFrame:
+    """As ``skip_scored`` against the keys filed in ``path`` (``sources.merged.add_keys``): their filters decide
+    for new keys, so keys scored before are read only in the buckets of possible hits."""
+    from lexmill.sources.merged import unseen
+
+    keyed = sents.select(cache_key(F.col("text"), terminology).alias("key"), "doc_id", "sent_id")
+    fresh = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "sent_id")).alias("first"))
+    return unseen(fresh, path).select("key", "first.doc_id", "first.sent_id")
+
+
 def cache_stats(sents: DataFrame, scored: DataFrame, terminology: str) -> DataFrame:
     keyed = sents.select(cache_key(F.col("text"), terminology).alias("key"))
     hit = scored.select("key").distinct().withColumn("hit", F.lit(1))

@@ -18,11 +18,22 @@ def q_quoted_spans(spark, sf_dir):
     return C.quoted_spans(docs(spark, sf_dir).select("doc_id", F.replace("text", F.lit(". "), F.lit('." "')).alias("text")))
 
 
-@query("locate_quote", "select doc_id, item_id, cast(coalesce(nullif(instr(d.text, b.text), 0), nullif(instr(lower(d.text), lower(b.text)), 0)) - 1 as integer) as pos from documents d, benchmark b where contains(lower(d.text), lower(b.text))")
-def q_locate_quote(spark, sf_dir):
+@query("first_quote", "select doc_id, item_id, cast(coalesce(nullif(instr(d.text, b.text), 0), nullif(instr(lower(d.text), lower(b.text)), 0)) - 1 as integer) as pos from documents d, benchmark b where contains(lower(d.text), lower(b.text))")
+def q_first_quote(spark, sf_dir):
     return C.locate_quotes(docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+#: Texts said twice, so that a hint at the second half decides between two occurrences.
+@query("locate_quote", """with d as (select doc_id, text || chr(10) || text as text from documents), h as (select d.doc_id, b.item_id, d.text, b.text as q, length(d.text) * 3 // 4 as hint from d, benchmark b where contains(lower(d.text), lower(b.text))),
+n as (select *, greatest(hint - 1000, 0) as s from h), i as (select *, instr(substr(text, s + 1, hint + 1000 - s), q) as k, instr(text, q) as e from n)
+select doc_id, item_id, cast(p as integer) as pos, cast(p + length(q) as integer) as "end", how from (select *, case when k > 0 then s + k - 1 when e > 0 then e - 1 else instr(lower(text), lower(q)) - 1 end as p, case when k > 0 then 'near' when e > 0 then 'exact' else 'folded' end as how from i)""")
+def q_locate_quote(spark, sf_dir):
+    twice = docs(spark, sf_dir).select("doc_id", F.concat("text", F.lit("\n"), "text").alias("text"))
+    items = table(spark, sf_dir, "benchmark")
+    hints = C.locate_quotes(twice, items).join(twice.select("doc_id", F.floor(F.length("text") * 3 / 4).alias("hint")), "doc_id")
+    return C.locate_near(twice, items, hints)
+
+
 @query("fuzzy_quote", r"""with q as (select *, len(w) as m, greatest(1, least(4, len(w) // 2)) as n from (select item_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') as w from benchmark) where len(w) > 0),
 qr as (select item_id, n, i - 1 as at, array_to_string(w[i:i + n - 1], ' ') as run from (select *, unnest(range(1, m - n + 2)) as i from q)),
 d as (select doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') as w from documents),

@@ -8,6 +8,8 @@ from lexmill.operators import labels as B
 from lexmill.plans.retrieval_queries import TOK, values
 from lexmill.plans.text_queries import SENT, docs, sents
 from lexmill.registry import query, table
+from lexmill.sources.merged import add_keys
+from lexmill.sources.tables import scratch
 
 #: The corpus pack's taxonomy: (label, keyword).
 KEYWORDS = [("licence", "license"), ("licence", "licensed"), ("licence", "released under"), ("rights", "rights reserved"), ("secret", "token"), ("secret", "api_key"), ("article", "the"), ("article", "der"), ("link", "with"), ("link", "and"), ("link", "of the")]
@@ -69,12 +71,22 @@ def _scored(s):
     return s.where("doc_id % 2 = 0").select(B.cache_key(F.col("text"), "v1").alias("key"))
 
 
-@query("skip_scored", f"with {SENT}, {SCORED}, k as (select md5(text || '_v1') as key, doc_id, sent_id, row_number() over (partition by text order by doc_id, sent_id) as r from sent) select key, doc_id, sent_id from k where r = 1 and key not in (select key from scored)")
-def q_skip_scored(spark, sf_dir):
+SKIP_SQL = f"with {SENT}, {SCORED}, k as (select md5(text || '_v1') as key, doc_id, sent_id, row_number() over (partition by text order by doc_id, sent_id) as r from sent) select key, doc_id, sent_id from k where r = 1 and key not in (select key from scored)"
+
+
+@query("skip_joined", SKIP_SQL)
+def q_skip_joined(spark, sf_dir):
     s = sents(spark, sf_dir)
     return B.skip_scored(s, _scored(s), "v1")
 
 
+@query("skip_scored", SKIP_SQL)
+def q_skip_scored(spark, sf_dir):
+    s, path = sents(spark, sf_dir), scratch(spark, "scored")
+    add_keys(_scored(s), path)
+    return B.skip_filed(s, path, "v1")
+
+
 @query("cache_stats", f"with {SENT}, {SCORED}, k as (select md5(text || '_v1') as key from sent) select count(*) filter (key in (select key from scored)) as hits, count(*) filter (key not in (select key from scored)) as misses, count(distinct key) as entries from k")
 def q_cache_stats(spark, sf_dir):
     s = sents(spark, sf_dir)

@@ -13,7 +13,10 @@ from lexmill.plans.rule_queries import ACTION, CHECKS, SUMMARY, VERDICTS, q_comp
 from lexmill.plans.score_queries import SCORED, scored
 from lexmill.plans.text_queries import SENT, docs, sents
 from lexmill.registry import oracle, query, table
+from lexmill.sources import merged
 from lexmill.sources import tables as S
+from lexmill.streaming import documents as streams
+from lexmill.streaming import progress
 
 
 def events(spark, sf_dir):
@@ -97,14 +100,48 @@ def q_rollout_bucket(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", U.rollout_bucket("beta", F.col("doc_id").cast("string")).alias("bucket"))
 
 
-@query("latest_progress", "select user_id as job_id, arg_max(event_type, (ts, event_id)) as node, arg_max(event_id, (ts, event_id)) as seq from events group by 1")
-def q_latest_progress(spark, sf_dir):
+@query("last_event", "select user_id as job_id, arg_max(event_type, (ts, event_id)) as node, arg_max(event_id, (ts, event_id)) as seq from events group by 1")
+def q_last_event(spark, sf_dir):
     return U.latest_progress(events(spark, sf_dir))
 
 
+def _stream(rows, name):
+    """A written folder as a stream that ends when the folder has been read."""
+    path = S.scratch(rows.sparkSession, name)
+    rows.repartition(2).write.parquet(f"{path}/in")
+    return path, rows.sparkSession.readStream.schema(rows.schema).parquet(f"{path}/in")
+
+
+@query("latest_progress", """with r as (select user_id as job_id, event_id as seq, event_type as node, ts, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events)
+select job_id, arg_min(node, k) as node, arg_min(seq, k) as seq, list({'ts': ts, 'seq': seq, 'node': node} order by k) as history from r where k <= 10 group by 1""")
+def q_latest_progress(spark, sf_dir):
+    path, stream = _stream(events(spark, sf_dir).select("job_id", F.col("ts").cast("timestamp").alias("ts"), "seq", "node"), "progress")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        told = progress.last_rows(stream).writeStream.outputMode("update")
+        told = told.foreachBatch(lambda b, epoch: b.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")).option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(store, before)
+    told.awaitTermination(600)
+    newest = F.max_by(F.struct("node", "seq", "history"), "epoch").alias("x")
+    return spark.read.parquet(f"{path}/out").groupBy("job_id").agg(newest).select("job_id", "x.*")
+
+
+@query("status_windows", "select time_bucket(interval '1 hour', ts) as start, event_type as node, count(*) as n from events group by all")
+def q_status_windows(spark, sf_dir):
+    return U.status_windows(events(spark, sf_dir))
+
+
 @query("stream_status_windows", "select time_bucket(interval '1 hour', ts) as start, event_type as node, count(*) as n from events group by all")
 def q_stream_status_windows(spark, sf_dir):
-    return U.status_windows(events(spark, sf_dir))
+    path, stream = _stream(events(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), "node"), "windows")
+    counted = streams.window_stream(stream, "3650 days").writeStream.outputMode("complete")
+    told = counted.foreachBatch(lambda b, epoch: b.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")).option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start()
+    told.awaitTermination()
+    whole = spark.read.parquet(f"{path}/out")
+    return whole.where(F.col("epoch") == whole.agg(F.max("epoch")).first()[0]).select("start", "node", "n")
 
 
 @query("status_sessions", """with s as (select *, case when ts - lag(ts) over w < interval '30 minutes' then 0 else 1 end as new from events window w as (partition by user_id order by ts, event_id)),
@@ -113,11 +150,20 @@ def q_status_sessions(spark, sf_dir):
     return U.sessions(events(spark, sf_dir))
 
 
-@query("stream_new_documents", "select sha256(text) as doc_hash, min(doc_id) as doc_id from documents group by 1")
-def q_stream_new_documents(spark, sf_dir):
+@query("new_documents", "select sha256(text) as doc_hash, min(doc_id) as doc_id from documents group by 1")
+def q_new_documents(spark, sf_dir):
     return docs(spark, sf_dir).groupBy(F.sha2("text", 256).alias("doc_hash")).agg(F.min("doc_id").alias("doc_id"))
 
 
+@query("stream_new_documents", "select sha256(text) as doc_hash, min(doc_id) as doc_id, cast(min(length(text)) as integer) as n from documents group by 1")
+def q_stream_new_documents(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("doc_id", "text", F.timestamp_seconds("doc_id").alias("ts"))
+    path, stream = _stream(rows, "once")
+    for _ in range(2):  # the second run finds nothing new
+        streams.process_once(stream, path, f"{path}/check", lambda new: new.select("doc_id", "doc_hash", "ts", F.length("text").alias("n"))).awaitTermination()
+    return merged.read(spark, f"{path}/documents", ["doc_id"]).select("doc_id", "doc_hash", "n")
+
+
 # -- gates ----------------------------------------------------------------------------------------
 
 CRITICAL = ["licence", "rights", "secret"]

@@ -9,6 +9,7 @@ from lexmill.plans.rule_queries import VERDICTS, verdicts
 from lexmill.plans.text_queries import SENT, docs, sents
 from lexmill.registry import query, table
 from lexmill.sources import files
+from lexmill.sources import merged
 from lexmill.sources import tables as S
 
 
@@ -141,15 +142,27 @@ def q_export_rules(spark, sf_dir):
     return found[0].unionByName(found[1])
 
 
-@query("upsert_documents", """with old as (select doc_id, source, 1 as run from documents where doc_id % 3 <> 0), new as (select doc_id, lang as source, 2 as run from documents where doc_id % 2 = 0)
-select * from new union all select * from old where doc_id not in (select doc_id from new)""")
-def q_upsert_documents(spark, sf_dir):
+UPSERT_SQL = """with old as (select doc_id, source, 1 as run from documents where doc_id % 3 <> 0), new as (select doc_id, lang as source, 2 as run from documents where doc_id % 2 = 0)
+select * from new union all select * from old where doc_id not in (select doc_id from new)"""
+
+
+@query("upsert_versions", UPSERT_SQL)
+def q_upsert_versions(spark, sf_dir):
     path, d = S.scratch(spark, "documents"), docs(spark, sf_dir)
     S.upsert(spark, path, d.where("doc_id % 3 <> 0").select("doc_id", "source", F.lit(1).alias("run")), ["doc_id"], "run")
     S.upsert(spark, path, d.where("doc_id % 2 = 0").select("doc_id", F.col("lang").alias("source"), F.lit(2).alias("run")), ["doc_id"], "run")
     return S.read_version(spark, path)
 
 
+@query("upsert_documents", UPSERT_SQL)
+def q_upsert_documents(spark, sf_dir):
+    path, d = S.scratch(spark, "documents"), docs(spark, sf_dir)
+    merged.upsert(d.where("doc_id % 3 <> 0").select("doc_id", "source", F.lit(1).alias("run")), path, ["doc_id"], "run")
+    merged.compact(spark, path, ["doc_id"])
+    merged.upsert(d.where("doc_id % 2 = 0").select("doc_id", F.col("lang").alias("source"), F.lit(2).alias("run")), path, ["doc_id"], "run")
+    return merged.read(spark, path, ["doc_id"])
+
+
 @query("write_snapshot", f"with {VERDICTS} select status, count(*) as n, count(distinct doc_id) as documents from v group by 1")
 def q_write_snapshot(spark, sf_dir):
     path = S.scratch(spark, "snapshots")

@@ -4,7 +4,7 @@ import pytest
 
 from lexmill import registry
 
-PLANS = ["bm25", "label_sentences", "locate_quote", "paragraph_fallback", "deterministic_verdict", "compliance_documents"]
+PLANS = ["bm25", "label_sentences", "locate_quote", "first_quote", "paragraph_scores", "deterministic_verdict", "compliance_documents"]
 
 
 def plan(df):
