@@ -12,9 +12,9 @@ from lexmill.plans.text_queries import SENT, docs, sents
 from lexmill.registry import query, table
 
 
-@query("quoted_spans", r"""with d as (select doc_id, replace(text, '. ', '." "') as text from documents), q as (select doc_id, text, unnest(xs) as quote, generate_subscripts(xs, 1) - 1 as ordinal from (select *, regexp_extract_all(text, '"([^"]+)"', 1) as xs from d))
+@query("quote_pages", r"""with d as (select doc_id, replace(text, '. ', '." "') as text from documents), q as (select doc_id, text, unnest(xs) as quote, generate_subscripts(xs, 1) - 1 as ordinal from (select *, regexp_extract_all(text, '"([^"]+)"', 1) as xs from d))
 select doc_id, cast(ordinal as integer) as ordinal, quote, cast(instr(text, quote) - 1 as integer) as pos, cast((instr(text, quote) - 1) // 3000 + 1 as integer) as page from q where length(quote) between 20 and 500""")
-def q_quoted_spans(spark, sf_dir):
+def q_quote_pages(spark, sf_dir):
     return C.quoted_spans(docs(spark, sf_dir).select("doc_id", F.replace("text", F.lit(". "), F.lit('." "')).alias("text")))
 
 
@@ -124,8 +124,8 @@ def q_citation_summary(spark, sf_dir):
 
 
 
-@query("citation_requirements", f"""with {VERDICTS} select doc_id, rule_id, list_filter([case when status <> 'unknown' and doc_id % 3 < 1 then 'too_few_citations' end, case when status in ('compliant', 'non_compliant') and doc_id % 3 = 0 then 'no_evidence' end, case when length(status) < 20 then 'short_rationale' end], lambda x: x is not null) as problems from v""")
-def q_citation_requirements(spark, sf_dir):
+@query("citation_minimum", f"""with {VERDICTS} select doc_id, rule_id, list_filter([case when status <> 'unknown' and doc_id % 3 < 1 then 'too_few_citations' end, case when status in ('compliant', 'non_compliant') and doc_id % 3 = 0 then 'no_evidence' end, case when length(status) < 20 then 'short_rationale' end], lambda x: x is not null) as problems from v""")
+def q_citation_minimum(spark, sf_dir):
     v = verdicts(spark, sf_dir)
     return v.select("doc_id", "rule_id", C.requirements(F.col("status"), F.col("doc_id") % 3, F.lit(1), F.col("status")).alias("problems"))
 

@@ -24,10 +24,10 @@ def events(spark, sf_dir):
     return e.select(F.col("user_id").alias("run_id"), F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("node"), "ts", "value")
 
 
-@query("node_timing", """with e as (select user_id as run_id, event_type as node, epoch_us(lead(ts) over (partition by user_id order by ts, event_id)) / 1e6 - epoch_us(ts) / 1e6 as seconds from events),
+@query("node_seconds", """with e as (select user_id as run_id, event_type as node, epoch_us(lead(ts) over (partition by user_id order by ts, event_id)) / 1e6 - epoch_us(ts) / 1e6 as seconds from events),
 p as (select run_id, node, sum(seconds) as seconds from e where seconds is not null group by all)
 select run_id, arg_max(node, (round(seconds, 3), node)) as slowest, arg_min(node, (round(seconds, 3), node)) as fastest, round(avg(seconds), 3) as mean, round(sum(seconds), 3) as total from p group by 1""")
-def q_node_timing(spark, sf_dir):
+def q_node_seconds(spark, sf_dir):
     return U.node_timing(events(spark, sf_dir))
 
 

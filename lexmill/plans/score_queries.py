@@ -124,8 +124,8 @@ def q_validation_summary(spark, sf_dir):
     return Q.validation_summary(q_answer_validation(spark, sf_dir).select(F.col("conv_id").alias("doc_id"), "flags"))
 
 
-@query("executive_summary", f"with {SCORED}, s as (select conv_id as doc_id, min(conf) as worst, count(*) filter (conf < 0.4) as risky from sc group by 1) select doc_id, risky, case when worst < 0.25 then 'REJECT' when risky >= 2 then 'NEGOTIATE' when risky = 1 then 'REVIEW' else 'APPROVE' end as recommendation from s")
-def q_executive_summary(spark, sf_dir):
+@query("answer_recommendation", f"with {SCORED}, s as (select conv_id as doc_id, min(conf) as worst, count(*) filter (conf < 0.4) as risky from sc group by 1) select doc_id, risky, case when worst < 0.25 then 'REJECT' when risky >= 2 then 'NEGOTIATE' when risky = 1 then 'REVIEW' else 'APPROVE' end as recommendation from s")
+def q_answer_recommendation(spark, sf_dir):
     s = scored(spark, sf_dir).groupBy(F.col("conv_id").alias("doc_id")).agg(F.min("conf").alias("worst"), F.count_if(F.col("conf") < 0.4).alias("risky"))
     pick = F.when(F.col("worst") < 0.25, "REJECT").when(F.col("risky") >= 2, "NEGOTIATE").when(F.col("risky") == 1, "REVIEW").otherwise("APPROVE")
     return s.select("doc_id", "risky", pick.alias("recommendation"))
@@ -157,8 +157,8 @@ def q_confidence_histogram(spark, sf_dir):
     return Q.histogram(scored(spark, sf_dir).select(F.col("conf").alias("confidence")))
 
 
-@query("dashboard", "select lang as grade, count(*) as n, count(*) / sum(count(*)) over () as share from documents group by lang")
-def q_dashboard(spark, sf_dir):
+@query("grade_shares", "select lang as grade, count(*) as n, count(*) / sum(count(*)) over () as share from documents group by lang")
+def q_grade_shares(spark, sf_dir):
     return Q.shares(docs(spark, sf_dir).select(F.col("lang").alias("grade")), "grade")
 
 
@@ -273,19 +273,19 @@ def q_business_impact(spark, sf_dir):
 PROFILE = "rp as (select doc_id, avg(score) as average, max(score) as largest, count(*) filter (score >= 70) as high_risk from rs group by 1), rq as (select *, case when largest >= 90 or high_risk >= 3 then 'critical' when average >= 70 then 'high' when average >= 40 then 'medium' else 'low' end as level from rp)"
 
 
-@query("risk_profile", f"with {RISK_CTE}, {PROFILE} select * from rq")
-def q_risk_profile(spark, sf_dir):
+@query("risk_levels", f"with {RISK_CTE}, {PROFILE} select * from rq")
+def q_risk_levels(spark, sf_dir):
     return K.risk_profile(q_risk_score(spark, sf_dir))
 
 
 @query("mitigation_urgency", f"with {RISK_CTE}, {PROFILE}, {IMPACT} select doc_id, case when level = 'critical' or impact = 'high' then 'Immediate' when level = 'high' then 'Soon' when level = 'medium' then 'Moderate' else 'Low' end as urgency from rq join bj using (doc_id)")
 def q_mitigation_urgency(spark, sf_dir):
-    both = q_risk_profile(spark, sf_dir).select("doc_id", "level").join(q_business_impact(spark, sf_dir).select("doc_id", "impact"), "doc_id")
+    both = q_risk_levels(spark, sf_dir).select("doc_id", "level").join(q_business_impact(spark, sf_dir).select("doc_id", "impact"), "doc_id")
     return both.select("doc_id", K.urgency(F.col("level"), F.col("impact")).alias("urgency"))
 
 
-@query("risk_guidance", f"with {RISK_CTE}, g as (select doc_id, guidance, min(ordinal) as o from ri group by all) select doc_id, cast(row_number() over (partition by doc_id order by o) as integer) as rank, guidance from g")
-def q_risk_guidance(spark, sf_dir):
+@query("document_guidance", f"with {RISK_CTE}, g as (select doc_id, guidance, min(ordinal) as o from ri group by all) select doc_id, cast(row_number() over (partition by doc_id order by o) as integer) as rank, guidance from g")
+def q_document_guidance(spark, sf_dir):
     return K.risk_guidance(risks(spark, sf_dir))
 
 

@@ -12,9 +12,9 @@ TOPICS = [("notice", ["license", "rights"]), ("secrets", ["token"]), ("links", [
 _yn = "case status when 'compliant' then 'Y' when 'non_compliant' then 'N' when 'not_applicable' then 'N/A' else 'Review' end"
 
 
-@query("topic_row", f"""with {VERDICTS}, o as (select *, {_yn} as yn from v), p as (select doc_id, case when regexp_matches(rule_id, 'license|rights') then 'notice' when regexp_matches(rule_id, 'token') then 'secrets' when regexp_matches(rule_id, 'with|de') then 'links' end as topic, arg_min(yn, rule_id) as yn from o group by all)
+@query("topic_letters", f"""with {VERDICTS}, o as (select *, {_yn} as yn from v), p as (select doc_id, case when regexp_matches(rule_id, 'license|rights') then 'notice' when regexp_matches(rule_id, 'token') then 'secrets' when regexp_matches(rule_id, 'with|de') then 'links' end as topic, arg_min(yn, rule_id) as yn from o group by all)
 select doc_id, max(yn) filter (topic = 'notice') as notice, max(yn) filter (topic = 'secrets') as secrets, max(yn) filter (topic = 'links') as links from p group by doc_id""")
-def q_topic_row(spark, sf_dir):
+def q_topic_letters(spark, sf_dir):
     return H.topic_row(verdicts(spark, sf_dir), TOPICS)
 
 

@@ -145,8 +145,8 @@ def q_sentence_key(spark, sf_dir):
     return sents(spark, sf_dir).select("doc_id", "sent_id", T.sentence_key(F.col("sent_id")).alias("key"))
 
 
-@query("scan_corpus", "select doc_id, source || '/' || doc_id || '.txt' as path, length(text) as n_chars from documents")
-def q_scan_corpus(spark, sf_dir):
+@query("corpus_rows", "select doc_id, source || '/' || doc_id || '.txt' as path, length(text) as n_chars from documents")
+def q_corpus_rows(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.length("text").cast("long").alias("n_chars"))
 
 
@@ -208,8 +208,8 @@ def q_is_amendment(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.mentions_any(F.col("text"), ["license", "reserved", "token"]).alias("amendment"))
 
 
-@query("doc_opening", r"""select doc_id, concat_ws(' | ', 'Name: ' || source, case when n_chars > 2000 then 'Type: ' || lang end, regexp_replace(substr(text, 1, 250), '\n', ' ', 'g')) as opening from documents""")
-def q_doc_opening(spark, sf_dir):
+@query("doc_head", r"""select doc_id, concat_ws(' | ', 'Name: ' || source, case when n_chars > 2000 then 'Type: ' || lang end, regexp_replace(substr(text, 1, 250), '\n', ' ', 'g')) as opening from documents""")
+def q_doc_head(spark, sf_dir):
     kind = F.when(F.col("n_chars") > 2000, F.concat(F.lit("Type: "), "lang"))
     head = F.regexp_replace(F.substring("text", 1, 250), "\n", " ")
     return docs(spark, sf_dir).select("doc_id", F.concat_ws(" | ", F.concat(F.lit("Name: "), "source"), kind, head).alias("opening"))
