@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexmill.operators.pages import ANCHOR, estimate_page
-from lexmill.operators.retrieval import literal
+from lexmill.operators.retrieval import beside, literal
 from lexmill.operators.text import strip
 
 
@@ -92,25 +92,35 @@ def locate_near(docs: DataFrame, quotes: DataFrame, hints: DataFrame, reach: int
     return both.select("doc_id", "item_id", pos.alias("pos"), (pos + F.length("_q")).alias("end"), how.alias("how"))
 
 
-def fuzzy_quotes(docs: DataFrame, quotes: DataFrame, least: float = 0.8, run: int = 4) -> DataFrame:
-    """doc_id, item_id, similarity of quotes that a document holds nearly: candidates share a run of
-    half the quote's words, ``run`` at most; 1 - levenshtein / length over the aligned stretch decides."""
+def fuzzy_quotes(docs: DataFrame, quotes: DataFrame, least: float = 0.8) -> DataFrame:
+    """doc_id, item_id, similarity of quotes that a document holds nearly: the best 1 - levenshtein / length over
+    stretches of as many words as the quote, of at least ``least``.
+
+    Candidates by pigeonhole: of a quote of w words 2 e + 1 disjoint runs are looked up, e = (1 - least) w
+    rounded up, so every stretch in which no more than 2 e words are changed still holds one of them where it
+    belongs. A run has w / (2 e + 1) words, at least one. A stretch all of whose words are
+    changed is found by none of them, and a quote of one word only as that word.
+    """
     words = _words
-    q = quotes.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("n", F.greatest(F.lit(1), F.least(F.lit(run), F.floor(F.size("w") / 2))).cast("int"))
-    sizes = [r["n"] for r in q.select("n").distinct().collect()]  # run values at most
+    w = F.size("w")
+    parts = 2 * F.ceil((1 - least) * w - 1e-9) + 1
+    q = quotes.select("item_id", words(F.col("text")).alias("w")).where(w > 0).withColumn("n", F.greatest(F.lit(1), F.floor(w / parts)).cast("int"))
+    sizes = [r["n"] for r in q.select("n").distinct().collect()]  # lengths of runs, few
     own = F.lit(None).cast("array<bigint>")
     for n in sizes:
         own = F.when(F.col("n") == n, _run_codes(F.col("w"), n)).otherwise(own)
-    q = q.select("item_id", F.posexplode(own).alias("offset", "code"))
+    q = q.select("item_id", "n", F.posexplode(own).alias("offset", "code")).where(F.col("offset") % F.col("n") == 0).drop("n")
     keys = [r["code"] for r in q.select("code").distinct().limit(MOST_KEYS + 1).collect()]
     runs = F.flatten(F.array(*[F.transform(_run_codes(F.col("w"), n), lambda c, i: F.struct(i.alias("at"), c.alias("code"))) for n in sizes])) if sizes else F.array().cast("array<struct<at:int,code:bigint>>")
     wanted = F.filter(runs, lambda r: r["code"].isin(keys)) if len(keys) <= MOST_KEYS else runs
     d = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode_outer(wanted).alias("r")).where("r is not null").select("doc_id", "r.at", "r.code")
-    places = d.join(q, "code").select("doc_id", "item_id", (F.col("at") - F.col("offset")).alias("start")).where("start >= 0").distinct()
-    both = places.join(docs.select("doc_id", words(F.col("text")).alias("w")), "doc_id").join(quotes.select("item_id", words(F.col("text")).alias("q")), "item_id")
-    stretch, quote = F.array_join(F.slice("w", F.col("start") + 1, F.size("q")), " "), F.array_join("q", " ")
-    score = 1 - F.levenshtein(stretch, quote) / F.greatest(F.length(stretch), F.length(quote))
-    return both.groupBy("doc_id", "item_id").agg(F.max(score).alias("similarity")).where(F.col("similarity") >= least)
+    places = d.join(beside(q), "code").select("doc_id", "item_id", (F.col("at") - F.col("offset")).alias("start")).where("start >= 0").distinct()
+    both = places.join(docs.select("doc_id", words(F.col("text")).alias("w")).hint("merge"), "doc_id").join(beside(quotes.select("item_id", words(F.col("text")).alias("q"))), "item_id")
+    pairs = both.select("doc_id", "item_id", F.array_join(F.slice("w", F.col("start") + 1, F.size("q")), " ").alias("a"), F.array_join("q", " ").alias("b"))
+    longest, shortest = F.greatest(F.length("a"), F.length("b")), F.least(F.length("a"), F.length("b"))
+    likely = pairs.where(shortest >= least * longest - 1e-9).withColumn("longest", longest)  # the difference of lengths is a part of the distance
+    score = 1 - F.levenshtein("a", "b") / F.col("longest")
+    return likely.groupBy("doc_id", "item_id").agg(F.max(score).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def citation_problems(found: Column, page: Column, expected: Column, marker: Column) -> Column:

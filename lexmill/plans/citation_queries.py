@@ -34,13 +34,13 @@ def q_locate_quote(spark, sf_dir):
     return C.locate_near(twice, items, hints)
 
 
-@query("fuzzy_quote", r"""with q as (select *, len(w) as m, greatest(1, least(4, len(w) // 2)) as n from (select item_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') as w from benchmark) where len(w) > 0),
-qr as (select item_id, n, i - 1 as at, array_to_string(w[i:i + n - 1], ' ') as run from (select *, unnest(range(1, m - n + 2)) as i from q)),
+@query("fuzzy_quote", r"""with q as (select *, len(w) as m, greatest(1, len(w) // cast(2 * ceil(0.2::double * len(w) - 1e-9) + 1 as bigint)) as n from (select item_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') as w from benchmark) where len(w) > 0),
+qr as (select item_id, n, i - 1 as at, array_to_string(w[i:i + n - 1], ' ') as run from (select *, unnest(range(1, m - n + 2)) as i from q) where (i - 1) % n = 0),
 d as (select doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') as w from documents),
 dr as (select doc_id, n, i - 1 as at, array_to_string(w[i:i + n - 1], ' ') as run from (select d.*, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from q))),
 p as (select distinct doc_id, item_id, dr.at - qr.at as start from dr join qr using (n, run) where dr.at >= qr.at),
 s as (select doc_id, item_id, array_to_string(d.w[start + 1:start + q.m], ' ') as a, array_to_string(q.w, ' ') as b from p join d using (doc_id) join q using (item_id))
-select doc_id, item_id, max(1 - levenshtein(a, b) / greatest(length(a), length(b))) as similarity from s group by all having max(1 - levenshtein(a, b) / greatest(length(a), length(b))) >= 0.8""")
+select doc_id, item_id, max(1 - levenshtein(a, b) / greatest(length(a), length(b))) as similarity from s where least(length(a), length(b)) >= 0.8::double * greatest(length(a), length(b)) - 1e-9 group by all having max(1 - levenshtein(a, b) / greatest(length(a), length(b))) >= 0.8""")
 def q_fuzzy_quote(spark, sf_dir):
     return C.fuzzy_quotes(docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
