@@ -55,16 +55,30 @@ class LexiconScorer:
 
 
 def run_scorer(df: DataFrame, scorer: Scorer, keys: list[str]) -> DataFrame:
-    """Keys, the scorer's columns and an error: a batch that fails keeps its rows with nulls."""
+    """Keys, the scorer's columns and an error. A batch that fails is scored again row by row, so only the rows
+    that fail by themselves have nulls and an error; a scorer that returns another number of rows has failed."""
     fields = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
     names = [c.split()[0] for c in scorer.schema.split(", ")]
 
+    def scored(rows: pd.DataFrame) -> pd.DataFrame:
+        out = scorer.score(rows).reset_index(drop=True)
+        if len(out) != len(rows):
+            raise ValueError(f"{len(out)} scores for {len(rows)} rows")
+        return out.assign(error=None)
+
+    def one(row: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return scored(row)
+        except Exception as e:  # noqa: BLE001  a user's scorer may raise anything
+            return pd.DataFrame(None, index=range(1), columns=names).assign(error=repr(e))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            b = b.reset_index(drop=True)
             try:
-                out, error = scorer.score(b).reset_index(drop=True), None
-            except Exception as e:  # noqa: BLE001  a user's scorer may raise anything
-                out, error = pd.DataFrame(None, index=range(len(b)), columns=names), repr(e)
-            yield pd.concat([b[keys].reset_index(drop=True), out], axis=1).assign(error=error)
+                out = scored(b)
+            except Exception:  # noqa: BLE001
+                out = pd.concat([one(b.iloc[i : i + 1].reset_index(drop=True)) for i in range(len(b))], ignore_index=True)
+            yield pd.concat([b[keys], out[[*names, "error"]]], axis=1)
 
     return df.mapInPandas(run, ", ".join([*fields, scorer.schema, "error string"]))

@@ -42,10 +42,8 @@ def red_flag_counts(hits: DataFrame) -> DataFrame:
 def red_flag_level(counts: DataFrame) -> DataFrame:
     c, h, m = F.col("critical"), F.col("high"), F.col("medium")
     level = F.when(c > 0, "CRITICAL").when(h >= 1, "HIGH").when(m >= 3, "MEDIUM").otherwise("LOW")
-    advice = (
-        F.when(c > 0, "DO NOT SIGN - Critical issues require resolution").when(h >= 3, "CAUTION - Multiple high-risk issues require negotiation")
-        .when(h >= 1, "REVIEW REQUIRED - Address high-risk provisions").when(m >= 3, "NEGOTIATE - Address medium-risk provisions").otherwise("ACCEPTABLE - Standard contract review recommended")
-    )
+    a = L.LEVEL_ADVICE
+    advice = F.when(c > 0, a["critical"]).when(h >= 3, a["many_high"]).when(h >= 1, a["high"]).when(m >= 3, a["medium"]).otherwise(a["low"])
     return counts.select("*", level.alias("level"), advice.alias("recommendation"))
 
 
@@ -69,13 +67,7 @@ def impact_bucket(impact: Column) -> Column:
 def negotiation_points(hits: DataFrame) -> DataFrame:
     """Fixed points by the categories present: doc_id, points."""
     has = hits.groupBy("doc_id").agg(F.collect_set(F.when(F.col("severity") == "high", F.col("category"))).alias("high"), F.max(F.col("severity") == "critical").alias("critical"))
-    points = F.array_compact(F.array(
-        F.when(F.col("critical"), "1. CRITICAL: Address unlimited liability and IP overreach"),
-        F.when(F.array_contains("high", "liability_unlimited"), "2. Negotiate liability caps and limitations"),
-        F.when(F.array_contains("high", "indemnification_asymmetric"), "3. Establish mutual indemnification provisions"),
-        F.when(F.array_contains("high", "termination_unfair"), "4. Balance termination rights and notice periods"),
-        F.when(F.array_contains("high", "ip_overreach"), "5. Limit IP assignment to specific deliverables"),
-    ))
+    points = F.array_compact(F.array(F.when(F.col("critical"), L.CRITICAL_POINT), *[F.when(F.array_contains("high", c), p) for c, p in L.POINTS]))
     return has.select("doc_id", points.alias("points"))
 
 

@@ -224,6 +224,17 @@ def test_user_surface(spark):
     got = {r.doc_id: (r.label, r.error) for r in run_scorer(df, LexiconScorer({"fees": ["fee"]}), ["doc_id"]).collect()}
     assert got == {1: ("fees", None), 2: ("none", None)}
 
+    class Picky:
+        schema = "label string"
+
+        def score(self, batch):
+            if batch["text"].isna().any():
+                raise ValueError("no text")
+            return batch[["text"]].rename(columns={"text": "label"})
+
+    whole = run_scorer(df.coalesce(1), Picky(), ["doc_id"]).collect()  # one bad row costs itself alone
+    assert {r.doc_id: (r.label, r.error) for r in whole} == {1: ("the fee", None), 2: (None, "ValueError('no text')")}
+
     class Broken:
         schema = "label string"
 
