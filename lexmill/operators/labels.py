@@ -59,8 +59,9 @@ def label_sentences(sents: DataFrame, keywords: DataFrame, compounds: DataFrame
         whole.setdefault(r.n, set()).add(r.run)
         for d in range(1, r.n + 1):
             nodes.setdefault(d, set()).add(" ".join(words[:d]))
-    rows, found = t.withColumn("at", F.filter(F.transform("t", lambda w, i: F.when(w.isin(sorted(nodes[1])), i + 1)), lambda i: i.isNotNull())), []
-    rows = rows.where(F.size("at") > 0)
+    starts = F.filter(F.transform("t", lambda w, i: F.when(w.isin(sorted(nodes[1])), i + 1)), lambda i: i.isNotNull())
+    # generated columns are computed once: a filter on them cannot slip below and compute them again
+    rows, found = t.select("doc_id", "sent_id", "t", F.explode_outer(F.array(starts)).alias("at")).where(F.size("at") > 0), []
     for d in range(1, max(nodes) + 1):
         run = _run("t", d)
         if d in whole:
@@ -71,7 +72,7 @@ def label_sentences(sents: DataFrame, keywords: DataFrame, compounds: DataFrame
     runs_of: dict[str, list[str]] = {}
     for r in known:
         runs_of.setdefault(r.label, []).append(r.run)
-    hits = rows.select("doc_id", "sent_id", F.flatten(F.array(*found)).alias("hits")).where(F.size("hits") > 0)
+    hits = rows.select("doc_id", "sent_id", F.explode_outer(F.array(F.flatten(F.array(*found)))).alias("hits")).where(F.size("hits") > 0)
     classes = F.array_compact(F.array(*[F.when(F.arrays_overlap("hits", F.array(*map(F.lit, sorted(runs_of[k])))), k) for k in sorted(runs_of)]))
     return hits.select("doc_id", "sent_id", classes.alias("classes"))
 

@@ -60,7 +60,8 @@ def matches(rows: DataFrame, patterns: list[tuple[str, str, str]], around: int =
         cell = F.struct(F.lit(n).alias("ordinal"), F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.lit(size).alias("size"), pieces.alias("pieces"), raws.alias("raws"))
         cells.append(F.when(there, cell))
     names = rows.columns
-    hit = rows.withColumn("_m", F.explode(F.array_compact(F.array(*cells))))
+    # an outer explode, as a plain one brings a filter along that evaluates all patterns once more
+    hit = rows.withColumn("_m", F.explode_outer(F.array_compact(F.array(*cells)))).where("_m is not null")
     literal = F.col("_m.kind") != "regex"
     gaps = F.slice(F.transform("_m.pieces", lambda p: F.length(p)), F.lit(1), F.size("_m.pieces") - 1)
     gaps = F.when(F.col("_m.kind") == "first", F.slice(gaps, 1, 1)).otherwise(gaps)
