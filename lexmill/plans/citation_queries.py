@@ -87,7 +87,20 @@ def q_phrase_match(spark, sf_dir):
     return rows.select("conv_id", "turn", "phrase", C.phrase_match(F.col("phrase"), F.col("question")).alias("score"))
 
 
-@query("answer_citations")
+_OWN_PHRASES = PHRASES.replace("from qa))", "from qb))")
+_SCORE = "case when contains(t, p) then 1.0 when len(pw) < 3 then 0.0 else coalesce(list_max(list_transform(range(1, len(tw) - len(pw) + 2), lambda i: len(list_filter(range(1, len(pw) + 1), lambda j: pw[j] = tw[i + j - 1])) / len(pw))), 0.0) end"
+
+
+@query("answer_citations", rf"""with {PAIRS}, qb as (select conv_id, turn, question, answer || ' ' || question as answer from qa), {_OWN_PHRASES},
+src as (select conv_id, turn, unnest(xs) as sentence, cast(generate_subscripts(xs, 1) - 1 as integer) as sent_id from (select conv_id, turn, string_split(regexp_replace(question, '([.])\s+', '\1' || chr(1), 'g'), chr(1)) as xs from qa)),
+x as (select conv_id, turn, sent_id, phrase, sentence as text from (select conv_id, turn, unnest(phrases) as phrase from ph) join src using (conv_id, turn)),
+w as (select *, {NORM.format('phrase')} as p, {NORM.format('text')} as t from x), s as (select *, string_split(p, ' ') as pw, string_split(t, ' ') as tw from w),
+b as (select conv_id, turn, sent_id, max({_SCORE}) as confidence from s group by all having max({_SCORE}) >= 0.6),
+m as (select *, row_number() over (partition by conv_id, turn order by sent_id % 2, confidence desc, sent_id) as rank from b),
+open_ as (select conv_id, turn from qb where regexp_replace(coalesce(answer, ''), '\s', '', 'g') <> '' and not exists (select 1 from b where b.conv_id = qb.conv_id and b.turn = qb.turn))
+select conv_id || ':' || turn as answer_id, sent_id, case when confidence >= 0.95 then 'quote' when confidence >= 0.8 then 'paraphrase' else 'inference' end as type, confidence::double as confidence, cast(rank as integer) as rank from m
+union all select conv_id || ':' || turn, arg_min(sent_id, (sent_id % 2, sent_id)), 'inference', 0.3, 1 from open_ join src using (conv_id, turn) group by conv_id, turn
+union all select conv_id || ':' || turn, null, 'not_found', 0.0, 1 from qb where regexp_replace(coalesce(answer, ''), '\s', '', 'g') = ''""")
 def q_answer_citations(spark, sf_dir):
     rows = qa(spark, sf_dir).withColumn("answer_id", F.concat("conv_id", F.lit(":"), "turn"))
     sources = rows.select("answer_id", F.posexplode(F.split("question", r"(?<=[.])\s+")).alias("sent_id", "sentence")).withColumn("page", F.when(F.col("sent_id") % 2 == 0, 1))
