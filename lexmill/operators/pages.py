@@ -17,11 +17,12 @@ def anchor_lines(docs: DataFrame, every: int = 50) -> DataFrame:
 
 
 def page_marker_breaks(docs: DataFrame, marker: str = r"(?i)^\s*page\s+(\d+)") -> DataFrame:
-    """Lines that open a page: doc_id, page, start_line, end_line (exclusive; null: to the end)."""
+    """Lines that open a page: doc_id, page, start_line, end_line (exclusive; null: to the end). A number that
+    no int holds opens a page too; its page is null."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("start_line", "line"))
     found = lines.withColumn("page", F.regexp_extract("line", marker, 1)).where("page <> ''")
     after = F.lead("start_line").over(Window.partitionBy("doc_id").orderBy("start_line"))
-    return found.select("doc_id", F.col("page").cast("int").alias("page"), "start_line", after.alias("end_line"))
+    return found.select("doc_id", F.col("page").try_cast("int").alias("page"), "start_line", after.alias("end_line"))
 
 
 def extract_anchors(docs: DataFrame, around: int = 50) -> DataFrame:
