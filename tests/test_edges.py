@@ -1,9 +1,41 @@
 """Values at the edges: numbers out of range, sums on a threshold, quotes in another case."""
 
+import duckdb
+import pytest
+
+from lexmill import registry
 from lexmill.operators import pages
+from tests.test_oracle import rows
 
 
 def test_a_page_number_out_of_range_still_breaks(spark):
     docs = spark.createDataFrame([(1, "page 1\na\npage 5468294846167456848\nb\npage 3")], "doc_id long, text string")
     got = pages.page_marker_breaks(docs).orderBy("start_line").collect()
     assert [(r.page, r.start_line, r.end_line) for r in got] == [(1, 0, 2), (None, 2, 4), (3, 4, None)]
+
+
+@pytest.fixture
+def tables(tmp_path):
+    """Writes tables that queries and their SQL read."""
+    con = duckdb.connect()
+
+    def write(**found):
+        for name, sql in found.items():
+            con.sql(f"copy ({sql}) to '{tmp_path}/{name}.parquet' (format parquet)")
+            con.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+        return str(tmp_path), con
+
+    return write
+
+
+def both(spark, name, sf_dir, con):
+    df, q = registry.queries()[name](spark, sf_dir), con.sql(registry.oracle_sql()[name])
+    got, want = rows(df.columns, [tuple(r) for r in df.collect()]), rows(q.columns, q.fetchall())
+    return got, want
+
+
+def test_a_citation_in_another_case_is_found(spark, tables):
+    documents = "select 1::bigint as doc_id, 'Before. ALL RIGHTS ARE Reserved here.' as text, 'en' as lang, 's' as source, 36::bigint as n_chars"
+    sf_dir, con = tables(documents=documents, benchmark="select 1::bigint as item_id, 'all rights are reserved' as text union all select 2, 'no such words anywhere'")
+    got, want = both(spark, "validate_citation", sf_dir, con)
+    assert got == want and got[1] == ["(1, ())", "(2, ('not_found',))"]
