@@ -20,9 +20,12 @@ def word_overlap(a: Column, b: Column) -> Column:
 
 
 def specificity(t: Column) -> Column:
+    """0.3 for a number, 0.3 for a date, 0.05 for each name up to 0.4; null counts as empty. Summed in hundredths, so
+    that no error of 0.05 * n moves a score across a threshold."""
+    t = F.coalesce(t, F.lit(""))
     proper = F.regexp_count(t, F.lit(r"(?<![A-Za-z0-9_])[A-Z][a-zA-Z]{2,}(?![A-Za-z0-9_])"))
     date = t.rlike(r"(?<![A-Za-z0-9_])(\d{1,2}\s+[A-Za-z]{3,9}\s+\d{2,4}|\d{4}-\d{2}-\d{2})(?![A-Za-z0-9_])")
-    return F.least(F.lit(1.0), F.when(t.rlike(r"\d"), 0.3).otherwise(0.0) + F.when(date, 0.3).otherwise(0.0) + F.least(F.lit(0.4), proper * 0.05))
+    return F.least(F.lit(100), F.when(t.rlike(r"\d"), 30).otherwise(0) + F.when(date, 30).otherwise(0) + F.least(F.lit(40), proper * 5)) / 100
 
 
 def completeness(t: Column, enhanced: bool = False) -> Column:

@@ -124,7 +124,11 @@ def q_validation_summary(spark, sf_dir):
     return Q.validation_summary(q_answer_validation(spark, sf_dir).select(F.col("conv_id").alias("doc_id"), "flags"))
 
 
-@query("answer_recommendation", f"with {SCORED}, s as (select conv_id as doc_id, min(conf) as worst, count(*) filter (conf < 0.4) as risky from sc group by 1) select doc_id, risky, case when worst < 0.25 then 'REJECT' when risky >= 2 then 'NEGOTIATE' when risky = 1 then 'REVIEW' else 'APPROVE' end as recommendation from s")
+#: As the scorer has it: null answers are empty, and those without words overlap by 0.
+_WHOLE = SCORED.replace(OVERLAP, f"coalesce(case when len({SET.format('answer')}) > 0 then {OVERLAP} end, 0.0)").replace("question, answer from pairs", "question, coalesce(answer, '') as answer from pairs")
+
+
+@query("answer_recommendation", f"with {_WHOLE}, s as (select conv_id as doc_id, min(conf) as worst, count(*) filter (conf < 0.4) as risky from sc group by 1) select doc_id, risky, case when worst < 0.25 then 'REJECT' when risky >= 2 then 'NEGOTIATE' when risky = 1 then 'REVIEW' else 'APPROVE' end as recommendation from s")
 def q_answer_recommendation(spark, sf_dir):
     s = scored(spark, sf_dir).groupBy(F.col("conv_id").alias("doc_id")).agg(F.min("conf").alias("worst"), F.count_if(F.col("conf") < 0.4).alias("risky"))
     pick = F.when(F.col("worst") < 0.25, "REJECT").when(F.col("risky") >= 2, "NEGOTIATE").when(F.col("risky") == 1, "REVIEW").otherwise("APPROVE")

@@ -2,9 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lexmill import registry
-from lexmill.operators import pages
+from lexmill.operators import pages, quality
 from tests.test_oracle import rows
 
 
@@ -39,3 +40,17 @@ def test_a_citation_in_another_case_is_found(spark, tables):
     sf_dir, con = tables(documents=documents, benchmark="select 1::bigint as item_id, 'all rights are reserved' as text union all select 2, 'no such words anywhere'")
     got, want = both(spark, "validate_citation", sf_dir, con)
     assert got == want and got[1] == ["(1, ())", "(2, ('not_found',))"]
+
+
+def test_a_score_on_a_threshold(spark, tables):
+    # 80 words of which 17 are asked for, seven names: 0.3 * 0.7 + 0.4 * 17 / 80 + 0.3 * 0.35, just under 0.4 in doubles
+    names = ["Abc", "Abd", "Abe", "Abf", "Abg", "Abh", "Abi"]
+    answer = " ".join(names + ["".join("abcdefghij"[int(d)] for d in f"{n:06d}") for n in range(73)])
+    asked = " ".join(answer.split()[7:24])
+    turns = [(1, asked, answer), (2, "who", "?!"), (3, "who", None)]
+    lines = [f"select {c}::bigint as conv_id, {t}::int as turn, '{r}' as role, {'null' if x is None else repr(x)}::varchar as text" for c, q, a in turns for t, r, x in ((0, "user", q), (1, "assistant", a))]
+    sf_dir, con = tables(conversations=" union all ".join(lines))
+    got, want = both(spark, "answer_recommendation", sf_dir, con)
+    assert got == want and got[1] == ["(1, 'REVIEW', 1)", "(2, 'REJECT', 1)", "(3, 'REJECT', 1)"]
+    scores = spark.createDataFrame([(" ".join(names),), (None,)], "t string").select(quality.specificity(F.col("t")).alias("s")).collect()
+    assert [r.s for r in scores] == [0.35, 0.0]
