@@ -54,3 +54,10 @@ def test_a_score_on_a_threshold(spark, tables):
     assert got == want and got[1] == ["(1, 'REVIEW', 1)", "(2, 'REJECT', 1)", "(3, 'REJECT', 1)"]
     scores = spark.createDataFrame([(" ".join(names),), (None,)], "t string").select(quality.specificity(F.col("t")).alias("s")).collect()
     assert [r.s for r in scores] == [0.35, 0.0]
+
+
+def test_contradictions_cover_conversations_and_documents(spark, sf_dir):
+    queries = registry.queries()
+    found = {(r.doc_id, r.a, r.b) for r in queries["contradictions"](spark, sf_dir).collect()}
+    ruled = {(r.doc_id, r.a, r.b) for r in queries["affirmed_pairs"](spark, sf_dir).collect()}
+    assert ruled and ruled < found and any(a == "q0" for _, a, _ in found)
