@@ -68,7 +68,8 @@ def matches(rows: DataFrame, patterns: list[tuple[str, str, str]], around: int =
     steps = F.when(literal, gaps).otherwise(F.zip_with(gaps, F.transform("_m.raws", lambda r: F.length(r)), lambda g, r: g + r))
     lined = hit.select(*names, F.col("_m.ordinal").alias("ordinal"), F.col("_m.name").alias("name"), F.col("_m.size").alias("_size"), F.col("_m.raws").alias("_raws"), steps.alias("_steps"))
     lined = lined.withColumn("_at", running("_steps")).withColumn("_blocks", F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0)))
-    one = lined.select("*", F.posexplode("_at").alias("_k", "_e"))
+    # outer again: the filter on size(_at) would put the whole of its expression in place of each _steps
+    one = lined.select("*", F.posexplode_outer("_at").alias("_k", "_e")).where("_e is not null")
     raw_size = F.when(F.col("_size") > 0, F.col("_size")).otherwise(F.length(F.get("_raws", F.col("_k"))))
     # the running sum of a literal stands behind the sign in front and before the word, that of a pattern behind its match
     placed = one.withColumn("pos", F.when(F.col("_size") > 0, F.col("_e") - 1).otherwise(F.col("_e") - raw_size)).withColumn("end", F.col("pos") + raw_size)

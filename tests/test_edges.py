@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmill import registry
 from lexmill.operators import pages, quality
+from lexmill.operators.matches import matches
 from tests.test_oracle import rows
 
 
@@ -61,3 +62,10 @@ def test_contradictions_cover_conversations_and_documents(spark, sf_dir):
     found = {(r.doc_id, r.a, r.b) for r in queries["contradictions"](spark, sf_dir).collect()}
     ruled = {(r.doc_id, r.a, r.b) for r in queries["affirmed_pairs"](spark, sf_dir).collect()}
     assert ruled and ruled < found and any(a == "q0" for _, a, _ in found)
+
+
+def test_offsets_are_not_computed_by_a_filter(spark):
+    found = matches(spark.range(3).selectExpr("id as doc_id", "'a b a' as text"), [("a", "word", "a"), ("b", "regex", "b")])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "aggregate(" in line]
+    assert sorted((r.doc_id, r.pos) for r in found.collect()) == [(d, p) for d in range(3) for p in (0, 2, 4)]
