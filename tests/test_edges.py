@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill import registry
-from lexmill.operators import pages, quality
+from lexmill.operators import citations, pages, quality
 from lexmill.operators.matches import matches
 from tests.test_oracle import rows
 
@@ -69,3 +69,12 @@ def test_offsets_are_not_computed_by_a_filter(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "aggregate(" in line]
     assert sorted((r.doc_id, r.pos) for r in found.collect()) == [(d, p) for d in range(3) for p in (0, 2, 4)]
+
+
+def test_near_quotes_compute_one_bounded_distance(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "aa bb cc dd ee ff")], "doc_id long, text string")
+    found = citations.fuzzy_quotes(docs, spark.createDataFrame([(7, "one two thrxx four five six")], "item_id long, text string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("levenshtein(") == 1 and "Some(" in plan.split("levenshtein(")[1].split("AS distance")[0]
+    (r,) = found.collect()
+    assert (r.doc_id, r.item_id) == (1, 7) and abs(r.similarity - (1 - 2 / 27)) < 1e-12
