@@ -96,3 +96,32 @@ def test_equal_fingerprints_alone_do_not_merge_texts(spark):
     assert len({simhash.fingerprint(simhash.shingle_hashes(t, 3)) for t in texts}) == 1
     assert {r.doc_id: r.component_id for r in near_copies.near_copies(frame(spark, texts)).collect()} == {0: 0, 1: 1, 2: 2}
     assert corpus_pipeline.near_duplicate_stage(spark, frame(spark, texts), "").count() == 3
+
+
+def test_near_fingerprints_meet_by_pigeonring(spark):
+    rng = np.random.default_rng(27)
+    texts = []
+    for _ in range(40):
+        w = ["v%d" % x for x in rng.integers(0, 10**6, 200)]
+        texts += [" ".join(w), " ".join(edited(rng, w, 0.95)), " ".join(w)]
+    rows = near_copies.shingle_sets(frame(spark, texts), 5, printed=True).select("key", "fp").distinct().collect()
+    fp = {r.key: r.fp & (2**64 - 1) for r in rows}
+    want = {(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= near_copies.RADIUS}
+    pairs = {(min(r.a, r.b), max(r.a, r.b)) for r in near_copies.print_pairs(spark.createDataFrame(rows)).collect()}
+    assert want and pairs <= want
+    parent = {k: k for k in fp}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[root(a)] = root(b)
+    assert all(root(a) == root(b) for a, b in want)
+
+
+def test_rows_that_repeat_whole_are_one(spark):
+    docs = frame(spark, ["one two three four five six", "another text of some seven words here"])
+    left = corpus_pipeline.near_duplicate_stage(spark, docs.unionByName(docs), "")
+    assert sorted(r.doc_id for r in left.collect()) == [0, 1]
