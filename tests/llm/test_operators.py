@@ -335,3 +335,8 @@ def test_queries_have_the_contract_columns(spark, sf_dir):
         assert df.columns == columns, json.dumps({name: df.columns})
         assert df.count() > 0
     assert {"op3_licenses", "op5_quality", "op10_decontaminate"} <= set(QUERIES)
+
+
+def test_substring_deals_large_inputs_into_small_chunks():
+    """An executor of 3000 MB holds the words and hashes of two chunks beside its JVM."""
+    assert substring.CHUNK_BYTES <= 8 << 20
