@@ -32,6 +32,11 @@ def test_sentences_are_numbered_without_a_shuffle(spark, sf_dir, name):
     assert "Exchange" not in plan(registry.queries()[name](spark, sf_dir))
 
 
+def test_bm25_cuts_texts_once_and_shuffles_once(spark, sf_dir):
+    text = plan(registry.queries()["bm25"](spark, sf_dir))
+    assert text.count("Exchange hashpartitioning") == 1 and text.count("FileScan") == 1
+
+
 def test_entry_points():
     import __spark_entry__ as e
 
