@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -168,12 +168,16 @@ def _word_cells(low: Column, r: Checks) -> list[Column]:
 
 
 def factor_rows(docs: DataFrame, rules: list[Checks]) -> DataFrame:
-    """doc_id, rule_id, asked, required_found, forbidden_hits, pattern: what one look at a text decides."""
-    low = F.lower("text")
-    cells = [
-        F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(len(r.required)).alias("asked"), *_word_cells(low, r), (F.col("text").rlike("(?i)" + "|".join(f"(?:{p})" for p in r.patterns)) if r.patterns else F.lit(False)).alias("pattern"))
-        for r in rules
-    ]
+    """doc_id, rule_id, asked, required_found, forbidden_hits, pattern, near: what one look at a text decides.
+    ``near`` holds for the pairs of terms that ``in_row`` takes."""
+    low, no = F.lower("text"), F.lit(False)
+    cells = []
+    for r in rules:
+        pattern = F.col("text").rlike("(?i)" + "|".join(f"(?:{p})" for p in r.patterns)) if r.patterns else no
+        near = no
+        for a, b, d in in_row(r):
+            near = near | terms_near(low, a, b, d)
+        cells.append(F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(len(r.required)).alias("asked"), *_word_cells(low, r), pattern.alias("pattern"), near.alias("near")))
     return docs.select("doc_id", F.explode(F.array(*cells)).alias("x")).select("doc_id", "x.*")
 
 
@@ -207,6 +211,25 @@ def proximity_hits(docs: DataFrame, rules: list[Checks]) -> DataFrame:
     return pairs.groupBy("doc_id", "rule_id").agg(F.count("*").alias("hits"))
 
 
+def has_border(word: str) -> bool:
+    """Whether a word can overlap itself, as ``abab`` can."""
+    return any(word.startswith(word[k:]) for k in range(1, len(word)))
+
+
+def in_row(rule: Checks) -> list[tuple[str, str, int]]:
+    """Pairs of terms whose nearness a search in the text decides: words that can't overlap themselves."""
+    return [n for n in rule.near if all(w and not has_border(w) for w in n[:2])]
+
+
+def terms_near(low: Column, a: str, b: str, d: int) -> Column:
+    """Whether some ``a`` and ``b`` start at most ``d`` words of five characters apart in a lower-case text,
+    decided by one search inside the row. Of words that can overlap themselves it would also find places that
+    are no occurrences of their own."""
+    reach = (d + 1) * 5 - 1
+    one, other = (f"(?={re.escape(x)})" for x in (a, b))
+    return low.contains(a) & low.contains(b) & low.rlike(f"(?s){one}.{{0,{reach}}}?{other}|{other}.{{0,{reach}}}?{one}")
+
+
 def section_hints(sents: DataFrame, rules: list[Checks]) -> DataFrame:
     """doc_id, rule_id of documents with a hint in a short sentence among the first 50."""
     head = sents.where((F.col("sent_id") < 50) & (F.length("text") < 100))
@@ -222,13 +245,17 @@ def deterministic_verdicts(docs: DataFrame, sents: DataFrame, rules: list[Checks
     Factors: required words found over asked, 0 with a forbidden word, .9 for a pattern, .8 for
     terms close together, .5 for a section hint; their mean is the confidence, .7 and more is
     conclusive. Conclusive with two positive factors is compliant, else non-compliant; a forbidden
-    word is non-compliant at .9.
+    word is non-compliant at .9. Whether terms are close is asked of the text itself; positions are made and
+    joined only for words that can overlap themselves.
     """
     keys = ["doc_id", "rule_id"]
-    rows = factor_rows(docs, rules)
-    near = proximity_hits(docs, rules).select(*keys, F.lit(0.8).alias("near"))
+    rows = factor_rows(docs, rules).withColumn("near", F.when(F.col("near") & F.col("doc_id").isNotNull(), 0.8))
+    rest = [replace(r, near=pairs) for r in rules if (pairs := [n for n in r.near if n not in in_row(r)])]
+    if rest:
+        met = proximity_hits(docs, rest).select(*keys, F.lit(0.8).alias("met"))
+        rows = rows.join(met, keys, "left").withColumn("near", F.coalesce("near", "met"))
     hints = section_hints(sents, rules).select(*keys, F.lit(0.5).alias("hint"))
-    all_ = rows.join(near, keys, "left").join(hints, keys, "left")
+    all_ = rows.join(hints, keys, "left")
     words = F.when(F.col("asked") > 0, F.col("required_found") / F.col("asked"))
     forbidden = F.when(F.col("forbidden_hits") > 0, F.lit(0.0))
     factors = F.array_compact(F.array(words, forbidden, F.when(F.col("pattern"), 0.9), F.col("near"), F.col("hint")))
