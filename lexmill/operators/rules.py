@@ -150,14 +150,19 @@ def _placed(docs: DataFrame, asked: list[tuple[str, str, str]], kinds: dict[str,
     return rows
 
 
+def with_low(docs: DataFrame) -> DataFrame:
+    """doc_id, text, low: generated, so that a text is lowered once and not by each condition that asks for it."""
+    return docs.select("doc_id", "text", F.explode_outer(F.array(F.lower("text"))).alias("low"))
+
+
 def keyword_hits(docs: DataFrame, rules: list[Checks]) -> DataFrame:
     """doc_id, rule_id, required_hits, required_found, forbidden_hits; one pass over the texts."""
-    low = F.lower("text")
+    low = F.col("low")
     cells = []
     for r in rules:
         counts = [occurrences(low, w.lower()) for w in r.required]
         cells.append(F.struct(F.lit(r.rule_id).alias("rule_id"), _sum(counts).alias("required_hits"), *_word_cells(low, r)))
-    return docs.select("doc_id", F.explode(F.array(*cells)).alias("x")).select("doc_id", "x.*")
+    return with_low(docs).select("doc_id", F.explode(F.array(*cells)).alias("x")).select("doc_id", "x.*")
 
 
 def _word_cells(low: Column, r: Checks) -> list[Column]:
@@ -170,7 +175,7 @@ def _word_cells(low: Column, r: Checks) -> list[Column]:
 def factor_rows(docs: DataFrame, rules: list[Checks]) -> DataFrame:
     """doc_id, rule_id, asked, required_found, forbidden_hits, pattern, near: what one look at a text decides.
     ``near`` holds for the pairs of terms that ``in_row`` takes."""
-    low, no = F.lower("text"), F.lit(False)
+    low, no = F.col("low"), F.lit(False)
     cells = []
     for r in rules:
         pattern = F.col("text").rlike("(?i)" + "|".join(f"(?:{p})" for p in r.patterns)) if r.patterns else no
@@ -178,7 +183,7 @@ def factor_rows(docs: DataFrame, rules: list[Checks]) -> DataFrame:
         for a, b, d in in_row(r):
             near = near | terms_near(low, a, b, d)
         cells.append(F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(len(r.required)).alias("asked"), *_word_cells(low, r), pattern.alias("pattern"), near.alias("near")))
-    return docs.select("doc_id", F.explode(F.array(*cells)).alias("x")).select("doc_id", "x.*")
+    return with_low(docs).select("doc_id", F.explode(F.array(*cells)).alias("x")).select("doc_id", "x.*")
 
 
 def regex_hits(docs: DataFrame, rules: list[Checks]) -> DataFrame:
