@@ -125,3 +125,27 @@ def test_rows_that_repeat_whole_are_one(spark):
     docs = frame(spark, ["one two three four five six", "another text of some seven words here"])
     left = corpus_pipeline.near_duplicate_stage(spark, docs.unionByName(docs), "")
     assert sorted(r.doc_id for r in left.collect()) == [0, 1]
+
+
+def test_families_and_long_texts_leave_few_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(28)
+    texts, base = [], ["b%d" % i for i in range(400)]
+    for _ in range(80):  # each differs by about an eighth from the original, and by twice that from the others
+        w = list(base)
+        for i in rng.integers(0, 400, 10):
+            w[i] = "e%d" % rng.integers(10**6)
+        texts.append(" ".join(w))
+    texts.append(" ".join(base))
+    for _ in range(30):  # long texts that share one passage and nothing else
+        w = ["v%d" % x for x in rng.integers(0, 10**6, 900)]
+        texts.append(" ".join([*w[:450], *("p%d" % i for i in range(6)), *w[450:]]))
+    counted, across = [], near_copies.across
+
+    def count(*args):
+        pairs = across(*args)
+        counted.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near_copies, "across", count)
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(frame(spark, texts)).collect()} == brute(texts)
+    assert counted[0] < 100
