@@ -2,9 +2,9 @@
 
 A hash turns every unit vector by a pseudo-rotation (three rounds of random signs and a fast Hadamard
 transform) and takes the nearest signed axis. A table files a vector under several hashes together,
-one for each time the number of vectors holds the number of signed axes as a factor, so that buckets
-stay small as the vectors grow in number. A query visits, per table, those combinations of axes that
-are nearest to it in sum; the share of all vectors that it meets falls with every further hash.
+the last of which has only so many axes that the buckets are a fixed share of the vectors in number, whatever
+that is. A query visits, per table, those combinations of axes that are nearest to it in sum, a number
+that grows with a power (about 0.47 at 128 axes) of that of the buckets.
 
 Only ids are filed and looked up. The pairs that meet are dealt by candidate into slices, each slice
 gets the vectors of its candidates and of the queries that ask for them, and reports its best few per
@@ -63,20 +63,35 @@ def signed(y: np.ndarray) -> np.ndarray:
 NEAR_AXES = 48
 
 
-def nearest_axis(x: np.ndarray, number: int) -> np.ndarray:
-    return signed(rotate(x, number)).argmax(axis=1)
+#: A table has a bucket for so many vectors.
+BUCKET = 3
 
 
-def probed(x: np.ndarray, numbers: range, many: int) -> np.ndarray:
+def grid(entries: int, axes: int, probes: int) -> tuple[list[int], int]:
+    """The numbers of signed axes of a table's hashes, and how many buckets a query visits: ``probes`` of the ``axes``
+    of one hash, and with more buckets the same power of their number. Both grow with the entries
+    without a jump, which a whole further hash would be."""
+    sizes, left = [axes], entries / BUCKET / axes
+    while (size := int(min(left, axes)) // 2 * 2) >= 2:
+        sizes.append(size)
+        left /= size
+    return sizes, min(math.prod(sizes), round(probes ** (math.log(math.prod(sizes)) / math.log(axes))))
+
+
+def nearest_axis(x: np.ndarray, number: int, size: int) -> np.ndarray:
+    return signed(rotate(x, number)[:, : size // 2]).argmax(axis=1)
+
+
+def probed(x: np.ndarray, numbers: range, sizes: list[int], many: int) -> np.ndarray:
     """For each row the ``many`` combinations of one signed axis per hash that lie nearest, as codes."""
     total, codes = np.zeros((len(x), 1)), np.zeros((len(x), 1), np.int64)
-    for number in numbers:
-        all_axes = signed(rotate(x, number))
+    for number, size in zip(numbers, sizes, strict=True):
+        all_axes = signed(rotate(x, number)[:, : size // 2])
         axis = np.argsort(-all_axes, axis=1, kind="stable")[:, :NEAR_AXES]
         near = np.take_along_axis(all_axes, axis, axis=1)
         lost = (near[:, :1] - near) ** 2
         total = (total[:, :, None] + lost[:, None, :]).reshape(len(x), -1)
-        codes = (codes[:, :, None] * all_axes.shape[1] + axis[:, None, :]).reshape(len(x), -1)
+        codes = (codes[:, :, None] * size + axis[:, None, :]).reshape(len(x), -1)
         if total.shape[1] > many:
             best = np.argpartition(total, many - 1, axis=1)[:, :many]
             total, codes = np.take_along_axis(total, best, axis=1), np.take_along_axis(codes, best, axis=1)
@@ -86,7 +101,7 @@ def probed(x: np.ndarray, numbers: range, many: int) -> np.ndarray:
 FILED = T.StructType([T.StructField("dim", T.IntegerType()), T.StructField("slot", T.IntegerType()), T.StructField("code", T.LongType()), T.StructField("rep", T.LongType())])
 
 
-def filed(vectors: DataFrame, tables: int, hashes: int, probes: int | None) -> DataFrame:
+def filed(vectors: DataFrame, tables: int, sizes: list[int], probes: int | None) -> DataFrame:
     """Each (rep, vector) under its bucket of every table, or under the ``probes`` buckets it visits."""
 
     def run(batches):
@@ -97,13 +112,13 @@ def filed(vectors: DataFrame, tables: int, hashes: int, probes: int | None) -> D
                 reps, lists = batch.column("rep").to_numpy(), batch.column("vector").to_pylist()
                 for dim, x, which in by_width(lists):
                     for slot in range(tables):
-                        numbers = range(slot * hashes, (slot + 1) * hashes)
+                        numbers = range(slot * len(sizes), (slot + 1) * len(sizes))
                         if probes is None:
                             code = np.zeros((len(x), 1), np.int64)
-                            for number in numbers:
-                                code = code * 2 * padded(dim) + nearest_axis(x, number)[:, None]
+                            for number, size in zip(numbers, sizes, strict=True):
+                                code = code * size + nearest_axis(x, number, size)[:, None]
                         else:
-                            code = probed(x, numbers, probes)
+                            code = probed(x, numbers, sizes, probes)
                         n = code.size
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, slot, np.int32)), pa.array(code.ravel()), pa.array(np.repeat(reps[which], code.shape[1]))],
@@ -188,8 +203,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = 16, probes:
     Cosine in double precision, nearest first, ties to the smaller vec_id. Null and empty vectors,
     zero vectors, vectors with null or non-finite components and rows without vec_id take no part;
     vectors of different lengths are no candidates of each other. Rows that repeat a vec_id are one.
-    A table takes one hash for each power of the number of signed axes that the vectors reach, and
-    ``probes`` buckets to the power of the number of hashes.
+    A query visits ``probes`` buckets of a table of one hash; ``grid`` says how many of more.
     """
     sound = (F.size("vector") > 0) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     clean = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), is_query.alias("asks"))
@@ -201,7 +215,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = 16, probes:
     asking = keep(clean.where("asks").join(entries.select("rep", "vector"), "vector").select("vec_id", "rep").distinct(), "asking")
     query_reps = entries.join(asking.select("rep").distinct(), "rep", "left_semi")
     shape = entries.agg(F.count("*"), F.max(F.size("vector"))).first()
-    hashes = max(1, int(math.log(max(shape[0], 1), 2 * padded(shape[1] or 1))))
+    sizes, visited = grid(shape[0], 2 * padded(shape[1] or 1), probes)
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
 
     def ranked(found: DataFrame) -> DataFrame:
@@ -213,8 +227,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, tables: int = 16, probes:
         return lists.withColumn("hits", F.slice("hits", 1, k + 1))
 
     bucket = ["dim", "slot", "code"]
-    visits = filed(query_reps, tables, hashes, probes**hashes).withColumnRenamed("rep", "query")
-    pairs = keep(visits.join(filed(entries, tables, hashes, None), bucket).select("query", "rep").distinct(), "pairs")
+    visits = filed(query_reps, tables, sizes, visited).withColumnRenamed("rep", "query")
+    pairs = keep(visits.join(filed(entries, tables, sizes, None), bucket).select("query", "rep").distinct(), "pairs")
     n_slices = max(1, -(-pairs.count() // slice_pairs), -(-shape[0] // slice_entries))
     put, nothing = F.pmod(F.xxhash64("rep"), F.lit(n_slices)).cast("int").alias("slice"), F.lit(None).cast("array<double>").alias("vector")
 

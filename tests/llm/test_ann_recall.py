@@ -30,3 +30,30 @@ def test_recall_and_ties(spark, width, many, hashes):
         total += 5
     assert hits / total >= 0.9
     assert [got[50][k][0] for k in range(1, 6)] == [51, 52, 53, 54, 55]
+
+
+def test_filed_rows_do_not_jump_with_a_further_hash(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(320, 8))
+    filed, counted = ann.filed, []
+
+    def count(*args):
+        rows = filed(*args)
+        counted.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(ann, "filed", count)
+    made = []
+    for many in (240, 320):  # on either side of the square of the number of signed axes
+        counted.clear()
+        df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x[:many])], "vec_id long, embedding array<double>")
+        assert ann.nearest(df, F.col("vec_id") % 2 == 0).count() == 5 * many // 2
+        made.append(sum(counted))
+    assert made[1] < 3 * made[0]
+
+
+def test_buckets_visited_grow_slower_than_vectors():
+    for axes in (16, 128):
+        for n in (100, 1000, 2000, 10_000, 50_000, 51_282, 300_000, 3_000_000):
+            (few, at), (many, then) = ann.grid(n, axes, 10), ann.grid(5 * n, axes, 10)
+            assert math.prod(few) <= max(axes, n / ann.BUCKET) and then <= 7 * at
