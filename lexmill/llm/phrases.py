@@ -157,7 +157,7 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int) -> tuple[DataFra
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     shards = max(partitions(spark), -(-size // SHARD_BYTES))
-    state = keep(docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(cut_words, WORDS), "phrases", "zstd")
+    state = keep(docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(cut_words, WORDS), "phrases", "zstd", row_group=1)
     totals = state.select(F.explode(F.arrays_zip("langs", "n")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.n").alias("n"))
     streams = []
     for level in range(longest):
@@ -167,7 +167,7 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int) -> tuple[DataFra
             return next_state({c: rows.column(c)[0].as_py() for c in rows.column_names}, replies)
 
         parts = state.drop("n") if level == 0 else state.drop("told")
-        state = keep(parts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(receive, STATE), "phrases", "zstd")
+        state = keep(parts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(receive, STATE), "phrases", "zstd", row_group=1)
         streams.append(state.select(F.inline("told")))
     return totals, streams
 

@@ -2,11 +2,15 @@
 
 import collections
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 
-from lexmill.llm import phrases, queries
+from lexmill.llm import naming, phrases, queries
 
 COLUMNS = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
@@ -60,3 +64,41 @@ def test_query_and_sql(spark, sf_dir):
     con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
     want = sorted(con.sql(queries.OP12_SQL).select(*COLUMNS).fetchall())
     assert want and sorted(tuple(r) for r in queries.op12_phrases(spark, sf_dir).select(COLUMNS).collect()) == want
+
+
+def test_a_task_reads_one_chunk_at_a_time(spark, monkeypatch):
+    """However many chunks lie in a file: Spark reads a row group of up to 4096 rows at once."""
+    kept, keep = [], phrases.keep
+    monkeypatch.setattr(phrases, "keep", lambda *a, **b: kept.append(keep(*a, **b)) or kept[-1])
+    docs = spark.range(28).selectExpr("repeat('one two three ', 75000) text", "'en' lang").coalesce(1)
+    totals, streams = phrases.frequent_phrases(docs, 2, 30)
+    assert [tuple(r) for r in totals.collect()] == [("en", 28 * 3 * 75000)]
+    assert [s.count() for s in streams] == [3, 3] and len(kept) == 3
+    for state in kept:
+        files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in state.inputFiles()]
+        assert sum(m.num_rows for m in files) > len(files)
+        assert all(m.row_group(i).num_rows == 1 for m in files for i in range(m.num_row_groups))
+
+
+def test_a_shard_sorts_its_keys_in_ranges(monkeypatch):
+    rng = np.random.default_rng(7)
+    chunks = [np.unique(rng.integers(0, 1 << 64, n, np.uint64) >> np.uint64(44) << np.uint64(44)) for n in (700_000, 1, 400_000, 600_000)]
+    counts = [rng.integers(1, 300, len(k)).astype(np.uint64) for k in chunks]
+    sent = [m for i, (k, c) in enumerate(zip(chunks, counts, strict=True)) for m in naming.messages(i, k, c, 1)]
+    rows = pa.table({n: [m[i] for m in sent] for i, n in enumerate(["shard", "chunk", "keys", "counts"])})
+    tracemalloc.start()
+    got = naming.match(200)((pa.scalar(0),), rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    keys, total = np.unique(np.concatenate(chunks)), collections.Counter()
+    for k, c in zip(chunks, counts, strict=True):
+        total.update(dict(zip(k.tolist(), c.tolist(), strict=True)))
+    frequent = {k: i for i, k in enumerate((k for k in keys.tolist() if total[k] >= 200), 1)}
+    told = set()
+    for i, k in enumerate(chunks):
+        name, tell, all_of = naming.answered(got.filter(pc.equal(got.column("chunk"), i)), len(k))
+        assert (name & np.uint64((1 << 40) - 1)).tolist() == [frequent.get(x, 0) for x in k.tolist()]
+        assert {x for x, t in zip(k.tolist(), tell.tolist(), strict=True) if t} == {x for x in k.tolist() if x in frequent} - told
+        assert all(n == total[x] for x, t, n in zip(k.tolist(), tell.tolist(), all_of.tolist(), strict=True) if t)
+        told |= frequent.keys() & set(k.tolist())
+    assert peak < 60 * sum(map(len, chunks)), peak
