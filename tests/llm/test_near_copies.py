@@ -149,3 +149,18 @@ def test_families_and_long_texts_leave_few_candidates(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "across", count)
     assert {r.doc_id: r.component_id for r in near_copies.near_copies(frame(spark, texts)).collect()} == brute(texts)
     assert counted[0] < 100
+
+
+def test_every_text_counts_for_the_order(spark, monkeypatch):
+    texts = ["a line that all of these texts share %s" % " ".join("w%d" % (k * i) for k in range(20)) for i in range(700)]
+    seen, prefixes = [], near_copies.prefixes
+    monkeypatch.setattr(near_copies, "prefixes", lambda sets, counts, least: seen.append(counts) or prefixes(sets, counts, least))
+    got = near_copies.near_copies(frame(spark, texts).coalesce(1))
+    assert {r.doc_id: r.component_id for r in got.collect()} == brute(texts)
+    n = np.zeros(near_copies.CELLS)
+    for t in texts:
+        n[np.unique(simhash.shingle_hashes(t, 5) % np.uint64(near_copies.CELLS)).astype(int)] += 1
+    order = np.argsort(n, kind="stable")[-2000:]
+    assert n[order[0]] < 2 and n[order[-1]] == 700
+    assert (np.diff(seen[0][order].astype(int)) >= 0).all() and len(np.unique(seen[0][n > 0])) == len(np.unique(n[n > 0]))
+    assert ((seen[0] > 0) == (n > 0)).all()
