@@ -33,7 +33,7 @@ from lexmill.llm.naming import ANSWER, B, U, answered, ask, combine, distinct, s
 TABLE = bytes(
     10 if b in b".,;:!?" or 10 <= b <= 13 else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256)
 )
-CHUNK_BYTES, SHARD_BYTES = 8 << 20, 64 << 20
+CHUNK_BYTES, SHARD_BYTES = 8 << 20, 32 << 20
 
 WORDS = schema(chunk=T.LongType(), ids=B, names=B, words=B, lang_of=B, langs=T.ArrayType(T.StringType()), n=T.ArrayType(T.LongType()))
 TOLD = schema(name=T.LongType(), prefix=T.LongType(), suffix=T.LongType(), f=T.LongType(), lang=T.StringType(), word=T.StringType())
